@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, url_filter
+from . import packing, pieces, quality, url_filter
 
 
 def queries():
     return {
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
     }
 
 
