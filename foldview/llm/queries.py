@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, url_filter
+from . import imatch, packing, pieces, quality, toxicity, url_filter
 
 
 def queries():
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_sentencepiece": pieces.op9_sentencepiece,
+        "op10_imatch": imatch.op10_imatch,
     }
 
 
