@@ -3,7 +3,8 @@
 Terms are words, A-Z lower-cased.  Document frequencies are counted over all documents; the lexicon keeps the
 terms whose inverse document frequency ln(N / df) lies in a band.  The band's upper edge bounds the lexicon: at
 most (mean distinct terms of a document) / exp(-idf_high) terms, whatever the corpus size, which is why it may
-be broadcast.  `subsets` lexicons keep each term with probability `keep` by a seeded hash; of a text, the
+be broadcast.  `subsets` lexicons keep each term by a seeded hash, with probability `keep`,
+keep / 2, keep / 4 and keep / 8 in turn, for short and long texts; of a text, the
 distinct terms in each subset are sorted and hashed, which gives one 32-bit part of the fingerprint.  The
 likeness of two fingerprints is the share of equal parts among those that are not empty in both.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 IDF_LOW, IDF_HIGH = 1.0, 5.3
-SUBSETS, KEEP = 64, 0.008
+SUBSETS, KEEP = 64, 0.016
 SPACE = r"[\x20\x09-\x0D]+"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +53,7 @@ class Fingerprinter:
         most, self.subsets, self.where = int(keep * 2**32), subsets, {}
         for t in terms:
             raw = t.encode()
-            self.where[raw] = [k for k in range(subsets) if xxhash.xxh32_intdigest(raw, seed=k) < most]
+            self.where[raw] = [k for k in range(subsets) if xxhash.xxh32_intdigest(raw, seed=k) < most >> k % 4]
 
     def parts(self, text: str) -> list[bytes | None]:
         """One hash for each subset (None: no term of it), or a single one where no term is in the lexicon."""
