@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import imatch, packing, pieces, quality, toxicity, url_filter
+from . import imatch, packing, pieces, quality, secrets, toxicity, url_filter
 
 
 def queries():
     return {
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_sentencepiece": pieces.op9_sentencepiece,
