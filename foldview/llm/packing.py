@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import settled, table
 
 SIZE, END = 1024, 2
-CACHE = 1_000_000
+CACHE = 700_000
 TAIL = ".,;:!?*$%&#|"
 
 
@@ -51,29 +51,63 @@ class SegmentTokenizer:
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"": b""}
         self.tails: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_bare: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
+        self.line_id = int(np.frombuffer(self.line, "<u4")[0])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], cache: dict[str, bytes], before: str) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(fresh) > self.size:
-            cache.clear()
-            if not before:
-                cache[""] = b""
-            fresh = list(dict.fromkeys(words))
+    def _many(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of many words in one call, between line feeds, whose id no other token shares."""
+        if any(not w or w[-1].isspace() for w in words):
+            return self._ids([before + w for w in words])
+        ids = np.array(self.lib.encode("\n".join([before + w for w in words]), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_id)
+        if len(cuts) != len(words) - 1:
+            return self._ids([before + w for w in words])
+        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends)]
+
+    def _learn(self, words: list[str], cache: dict[str, bytes], old: dict[str, bytes], before: str) -> None:
+        """Put words in the cache: from the older generation, from their letters and their tail, or from the tokenizer."""
+        fresh = []
+        for w in dict.fromkeys(words):
+            if w in cache:
+                continue
+            known = old.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                cache[w] = known
         # letters and the punctuation behind them are separate tokens to the pre-tokenizer, so words share their letters' ids
         split = {w: head for w in fresh if len(head := w.rstrip(TAIL)) < len(w) and head.isalpha()}
-        plain = [w for w in dict.fromkeys(split.get(w, w) for w in fresh) if w not in cache]
-        cache.update(zip(plain, self._ids([before + w for w in plain])))
+        plain = []
+        for w in dict.fromkeys([split.get(w, w) for w in fresh]):
+            if w not in cache:
+                known = old.get(w)
+                if known is None:
+                    plain.append(w)
+                else:
+                    cache[w] = known
+        if plain:
+            cache.update(zip(plain, self._many(plain, before)))
         for w, head in split.items():
             tail = w[len(head) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._ids([tail])[0]
+            ids = self.tails.get(tail)
+            if ids is None:
                 if len(self.tails) > 10_000:
-                    self.tails = {tail: self.tails[tail]}
-            cache[w] = cache[head] + self.tails[tail]
+                    self.tails.clear()
+                ids = self.tails[tail] = self._ids([tail])[0]
+            cache[w] = cache[head] + ids
+
+    def turn(self) -> None:
+        """When the young generation is full it becomes the old one, and what is used again moves over."""
+        if len(self.spaced) > self.size:
+            self.spaced, self.old_spaced = {}, self.spaced
+        if len(self.bare) > self.size // 4:
+            self.bare, self.old_bare = {"": b""}, self.bare
 
     def encode(self, text: str) -> bytes:
         if self.whole.search(text):
@@ -82,21 +116,23 @@ class SegmentTokenizer:
         out = list(map(self.spaced.get, words))
         if None in out:
             holes = [i for i, x in enumerate(out) if x is None]
-            parts = {i: words[i].split("\n") for i in holes}
-            self._learn([p[0] for p in parts.values()], self.spaced, " ")
-            self._learn([x for p in parts.values() for x in p[1:]], self.bare, "")
-            for i, (first, *rest) in parts.items():
-                ids = self.spaced.get(first)
-                out[i] = (self._ids([" " + first])[0] if ids is None else ids) + b"".join(self.line + self._bare(x) for x in rest)
+            missing = [words[i] for i in holes]
+            parts = {w: w.split("\n") for w in missing if "\n" in w}
+            if parts:
+                self._learn([w for w in missing if w not in parts] + [p[0] for p in parts.values()], self.spaced, self.old_spaced, " ")
+                self._learn([x for p in parts.values() for x in p[1:]], self.bare, self.old_bare, "")
+                made = {w: self.spaced[first] + b"".join([self.line + self.bare[x] for x in rest]) for w, (first, *rest) in parts.items()}
+                for i, w in zip(holes, missing):
+                    out[i] = made[w] if w in made else self.spaced[w]
+            else:
+                self._learn(missing, self.spaced, self.old_spaced, " ")
+                for i, w in zip(holes, missing):
+                    out[i] = self.spaced[w]
         lines = head.split("\n")
-        return b"".join([self.line.join(map(self._bare, lines)), *out])
-
-    def _bare(self, word: str) -> bytes:
-        ids = self.bare.get(word)
-        if ids is None:
-            self._learn([word], self.bare, "")
-            ids = self.bare[word]
-        return ids
+        self._learn(lines, self.bare, self.old_bare, "")
+        whole = b"".join([self.line.join([self.bare[x] for x in lines]), *out])
+        self.turn()
+        return whole
 
 
 _tokenizers: dict[str, SegmentTokenizer] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import imatch, packing, pieces, quality, secrets, toxicity, url_filter
+from . import imatch, packing, pieces, quality, secrets, substring, toxicity, url_filter
 
 
 def queries():
     return {
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_secret_scan": secrets.op6_secret_scan,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_url_filter": url_filter.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+    return {"op2_substring_dedup": substring.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
