@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import imatch, packing, pieces, quality, secrets, substring, toxicity, url_filter
+from . import imatch, jaccard, packing, pieces, quality, secrets, substring, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": substring.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+    return {"op1_ngram_jaccard": jaccard.oracle_sql(), "op2_substring_dedup": substring.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}

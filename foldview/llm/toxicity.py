@@ -102,7 +102,7 @@ def train(sample: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray,
         for batch in batches:
             y = batch.column("toxic").to_numpy(zero_copy_only=False).astype(int)
             docs += np.bincount(y, minlength=2)
-            for a, b, raw, offsets in string_chunks(batch.column("text")):
+            for a, b, raw, offsets in string_chunks(batch.column("text"), 1 << 19):
                 doc, slot = document_slots(raw, offsets)
                 for c in (0, 1):
                     seen[c] += np.bincount(slot[y[a:b][doc] == c], minlength=1 << BITS).astype(np.int32)
