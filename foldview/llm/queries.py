@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, jaccard, packing, pieces, quality, secrets, substring, toxicity, url_filter
+from . import extract, imatch, jaccard, packing, pieces, quality, secrets, substring, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_html_extraction": extract.op5_html_extraction,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
