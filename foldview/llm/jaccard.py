@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, release, settled, splitmix, string_chunks, table
@@ -258,9 +258,14 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that have a smaller doc_id in their component."""
-    gone = linked(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the documents that have a smaller doc_id in their component; of rows of equal doc_id the one with the smallest text stays."""
+    found = settled(docs.sparkSession, linked(docs, k, percent), "linked")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    ranked = out.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
+    return ranked.where("_rank = 1 or doc_id is null").drop("_rank")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

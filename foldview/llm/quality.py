@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_GROUP = 100
@@ -104,29 +104,29 @@ def fences(hist: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(k))).alias(f"{k}_{m}") for m in MEASURES for k in ("lo", "hi")])
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs."""
-    base = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")).drop("text")
-    base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return _verdict(_rates(base), min_group)
-
-
-def _verdict(rated: DataFrame, min_group: int) -> DataFrame:
-    from .common import settled
-
-    rated = settled(rated.sparkSession, rated, "quality")  # measured once, used by the sketches and by the filter
+def _judged(docs: DataFrame, min_group: int) -> DataFrame:
+    """Every row's measures and verdict, with _h, which tells rows of equal doc_id apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    base = measured(docs).drop("text").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    rated = settled(docs.sparkSession, _rates(base), "quality")  # measured once, used by the sketches and by the filter
     f = fences(sketches(rated), min_group).withColumnsRenamed({"lang": "_l", "source": "_s"})
     joined = rated.join(f, rated["lang"].eqNullSafe(F.col("_l")) & rated["source"].eqNullSafe(F.col("_s")), "left")
     inside = F.lit(True)
     for m in MEASURES:
         inside &= F.coalesce((F.col(m) <= F.col(f"hi_{m}")) & (F.col(f"lo_{m}").isNull() | (F.col(m) >= F.col(f"lo_{m}"))), F.lit(False))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs."""
+    return _judged(docs, min_group).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    kept = judge(docs, min_group).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The rows that the rules keep, with all their columns."""
+    kept = _judged(docs, min_group).where("kept").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).distinct()
+    own = F.xxhash64(F.col("text").cast("string")) == F.col("_k")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & own, "left_semi")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
