@@ -7,7 +7,8 @@ so every executor, attempt and run gives the same values.
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,22 @@ U64 = np.uint64
 STEP_BYTES = 1 << 21
 
 
+#: bytes of an Arrow batch, so that a batch of very long texts takes no more memory than one of short ones
+BATCH_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Limit this session's Arrow batches by bytes; a smaller limit of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key).lower())
+    if not have or int(have[1]) << 10 * " kmg".index(have[2].replace("b", "") or " ") > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -36,18 +51,35 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{work_dir(spark)}/foldview-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished stages that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a stage to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    path = f"{work_dir(bounded(spark))}/foldview-{name}-{uuid.uuid4().hex}"
+    with cleaned(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foldview_path = path
+    return out
+
+
+def discard(spark: SparkSession, *stages: DataFrame) -> None:
+    """Delete settled stages that nothing will read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for stage in stages:
+        path = jvm.org.apache.hadoop.fs.Path(stage._foldview_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     before = mark(edges)
     for _ in range(rounds):
-        edges = settled(spark, _small_star(_large_star(edges)), "links")
+        old, edges = edges, settled(spark, _small_star(_large_star(edges)), "links")
+        discard(spark, old)
         after = mark(edges)
         if after == before:
             break

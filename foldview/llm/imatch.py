@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cleaned, settled, table
 
 IDF_LOW, IDF_HIGH = 1.0, 5.3
 SUBSETS, KEEP = 64, 0.016
@@ -44,7 +44,8 @@ def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIG
     counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # for few documents the band would end below one document
     band = counted.where((F.col("df") >= max(2, math.ceil(n * math.exp(-idf_high)))) & (F.col("df") <= n * math.exp(-idf_low)))
-    return sorted(r[0] for r in band.select("term").collect())
+    with cleaned(docs.sparkSession):
+        return sorted(r[0] for r in band.select("term").collect())
 
 
 class Fingerprinter:
@@ -131,8 +132,6 @@ def fingerprints(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = ID
             rows.append((last[0], *none, part, "tail", last[1]))
         yield batch_of(rows)
 
-    from .common import settled
-
     ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     first = settled(spark, ranged.mapInArrow(run, schema), "imatch")
     # two rows for each partition: which partition follows which is a list of partition numbers

@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, release, settled, splitmix, string_chunks, table
+from .common import U64, Words, discard, settled, splitmix, string_chunks, table
 from .components import components
 from .substring import _keyed
 
 K, PERCENT = 5, 80
 ORDERS = 3
 HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 100_000
+FEW = 20_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -192,8 +193,14 @@ def _share(x: bytes, y: bytes, width: int) -> int:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: sizes and the other orders' prefixes are intersected first, whole sets compared then."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    spark = pairs.sparkSession
+
+    def fetched(pairs: DataFrame, column: str) -> DataFrame:
+        """a, b and both sides' column; both joins share one exchange of the sets."""
+        own = sets.select("rep", "n", column)
+        left = pairs.join(own, pairs["b"] == own["rep"]).select("a", "b", F.col("n").alias("b_n"), F.col(column).alias(f"b_{column}"))
+        own = sets.select("rep", "n", column)
+        return left.join(own, left["a"] == own["rep"]).select("a", "b", F.col("n").alias("a_n"), F.col(column).alias(f"a_{column}"), "b_n", f"b_{column}")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,10 +216,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * ((len(p) + len(q)) // 6 - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(side("a", "n", "others"), "a").join(side("b", "n", "others"), "b")
-    near = near.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).select("a", "b", "a_others", "b_others").mapInArrow(filtered, "a long, b long")
-    near = settled(pairs.sparkSession, near, "candidates")
-    return near.join(side("a", "whole"), "a").join(side("b", "whole"), "b").select("a", "b", "a_whole", "b_whole").mapInArrow(compared, "a long, b long")
+    pairs = settled(spark, pairs, "pairs")
+    few = pairs.limit(FEW + 1).count()
+    if few <= FEW:  # so few sets are wanted that their ids, FEW pairs at most, are sent to the sets
+        named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = settled(spark, sets.join(F.broadcast(named), "rep", "left_semi"), "some-sets")
+    near = fetched(pairs, "others").where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    near = settled(spark, near.select("a", "b", "a_others", "b_others").mapInArrow(filtered, "a long, b long"), "candidates")
+    out = settled(spark, fetched(near, "whole").select("a", "b", "a_whole", "b_whole").mapInArrow(compared, "a long, b long"), "links")
+    discard(spark, pairs, near, *([sets] if few <= FEW else []))
+    return out
 
 
 def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET) -> DataFrame:
@@ -223,23 +236,22 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     tokens, counts = heavy_shingles(keyed, k)
     made = [Order(0x9D5C + 7919 * i, tokens, counts) for i in range(orders)]
     first, others = sc.broadcast(made[0]), sc.broadcast(made[1:])
-    seen = settled(spark, _profiles(keyed, k, percent, first, bucket), "profiles")
+    full = settled(spark, _profiles(keyed, k, percent, first, bucket), "profiles")
+    seen = settled(spark, full.drop("prefix"), "sizes")
     real = seen.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"))
+    classes = full.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"))
     # a heavy token's class is in its name: buckets that may be large are split by a salt until they are filtered
     top = F.shiftrightunsigned("token", 58)
     parts = F.when(top > 0, F.ceil(F.pow(F.lit(2.0), top.cast("double")) / bucket)).otherwise(1).cast("int")
     entries = classes.select(F.explode("prefix").alias("token"), F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h"))
     entries = entries.select("token", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts) + 1).otherwise(0).cast("int").alias("salt"), "rep", "h")
     buckets = settled(spark, _shared_only(entries), "buckets")
-    release(spark)
+    discard(spark, full)
     wanted = buckets.select(F.col("rep").alias("doc_id"), "h").distinct()
     sets = settled(spark, _sets(keyed.join(wanted, ["doc_id", "h"]), k, percent, others), "sets")
-    release(spark)
     pivots = buckets.groupBy("token").agg(F.min("rep").alias("a"))
     stars = settled(spark, buckets.join(pivots, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    links = settled(spark, verified(stars, sets, percent), "links")
-    release(spark)
+    links = verified(stars, sets, percent)
     label = components(links)
     # what the stars leave open: members of different components that share a token
     named = buckets.select("token", "rep").join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
@@ -247,8 +259,8 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     named = settled(spark, named.join(opened, "token"), "open")
     x, y = named.select("token", F.col("rep").alias("a"), F.col("c").alias("ca")), named.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"))
     rest = x.join(y, "token").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = settled(spark, verified(rest, sets, percent), "links")
-    release(spark)
+    more = verified(rest, sets, percent)
+    discard(spark, sets, buckets, named)
     label = components(links.unionByName(more))
     reps = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     owner = reps.join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
 MASK = "[SECRET]"
 CUT = 0.5
@@ -192,7 +192,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> Dat
 
 def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> DataFrame:
     """docs with every secret of text replaced by MASK; all rows and columns stay."""
-    model = docs.sparkSession.sparkContext.broadcast(forest or train())
+    model = bounded(docs.sparkSession).sparkContext.broadcast(forest or train())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _R, _R_INV, U64, Words, _power, release, settled, splitmix, string_chunks, table
+from .common import _R, _R_INV, U64, Words, _power, discard, settled, splitmix, string_chunks, table
 
 WINDOW, GRAM, HOT = 50, 8, 50_000
 MOST = U64(0xFFFFFFFFFFFFFFFF)
@@ -224,15 +224,17 @@ def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     keyed = _keyed(docs).where("doc_id is not null")
     seen = settled(spark, _sequences(keyed, window, gram).where(F.col("n") >= window), "sequences")
     classes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h"))["h"].alias("rep_h"), F.first("ms").alias("ms"))
+    # the classes' minimisers are counted and joined back: read once, used twice
     entries = settled(spark, classes.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), F.explode("ms").alias("m")), "minimisers")
     shared = entries.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
     shared = shared.select("m", F.greatest(F.ceil(F.col("c") / hot), F.lit(1)).cast("int").alias("salts"))
     flags = entries.join(shared, "m").groupBy("doc_id", "h").agg(F.collect_list(F.struct("m", "salts")).alias("x"))
     flags = flags.select("doc_id", "h", F.col("x.m").alias("ms"), F.col("x.salts").alias("salts"))
     sent = settled(spark, _super_kmers(keyed.join(flags, ["doc_id", "h"]), window, gram), "super-kmers")
-    release(spark)
+    discard(spark, entries)
     at_once = sent.where("packed is null").select("doc_id", "h", "start", "n")
-    found = at_once.unionByName(_buckets(sent.where("packed is not null"), window))
+    found = settled(spark, at_once.unionByName(_buckets(sent.where("packed is not null"), window)), "marked")
+    discard(spark, sent)
     reps = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s1", "s2", "rep")
     copies = seen.join(reps, ["s1", "s2"]).where("doc_id > rep").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n"))
     return found.unionByName(copies).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
