@@ -2,15 +2,21 @@
 
 A document's set is its distinct `k`-word shingles (A-Z lower-cased).  Two sets with Jaccard likeness of at least
 `percent` share a token in their prefixes under *every* global token order: the first n - ceil(percent n / 100) + 1
-tokens.  Orders differ in a seeded hash; all put heavy shingles (found over all documents, see `heavy_shingles`)
-last, by class of frequency, so common passages stay out of prefixes.  Candidates meet by a prefix token of the first
-order; the prefixes under the other orders, 24 bits a token, and the sizes are intersected with that before the
-whole sets are fetched and compared.
+tokens.  The orders put rare tokens first, by class of document frequency, and differ in a seeded hash within a class.
+
+Frequencies are counted over all documents: tokens travel once, packed by range, to be counted, and those that more
+than one document has come back to their documents.  A token of one document only fills its prefix but meets nobody,
+and it cannot be in an intersection, so prefixes, filters and the final comparison need the others alone; most
+documents then have nothing left to compare.  Shingles of very many documents (see `heavy_shingles`) are known
+beforehand and stay out of that shuffle, so none gathers its documents in one task.
+
+Candidates meet by a prefix token of the first order; sizes and the prefixes under the other orders, 24 bits a token,
+are intersected with that before whole sets are fetched and compared.
 
 Copies: documents with one set are one class, and only its smallest doc_id goes on.  Groups of near copies: within a
 token's bucket every member is compared with the smallest member first; components of those links are formed, and
 then only members of *different* components that share a token are compared, so a group costs its size, not its
-square, and no link between components is lost.  Heavy tokens' buckets are split by a salt while they are filtered.
+square, and no link between components is lost.  Large buckets are split by a salt while they are filtered.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than k words give the
 whole sequence as the one shingle; rows of equal doc_id are one document with all their links, each row with its own
@@ -20,10 +26,13 @@ ignored by `linked` and kept by `one_of_each`.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +44,8 @@ K, PERCENT = 5, 80
 ORDERS = 3
 HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 100_000
 FEW = 20_000
+#: of a 64-bit shingle hash, 46 bits travel
+CUT = U64(18)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -63,33 +74,41 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-class Order:
-    """A global token order: class of frequency first, then a seeded hash.  The rank is the token's name from then on."""
+def ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    """Places in a global order: class of frequency first, then a seeded hash.  A rank is its token's name from then on."""
+    return splitmix(tokens ^ U64(0x9D5C + 7919 * order)) >> U64(6) | classes.astype(U64) << U64(58)
+
+
+def prefix(tokens: np.ndarray, classes: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
+    """The ranks of a prefix that other documents can share: the n - len(tokens) tokens of this document alone come first."""
+    size = prefix_size(n, percent) - (n - len(tokens))
+    if size <= 0:
+        return np.empty(0, U64)
+    r = ranks(tokens, classes, order)
+    return np.partition(r, size - 1)[:size] if size < len(r) else r
+
+
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """0 for one document, else 1 and more by powers of two."""
+    return np.where(counts > 1, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0).clip(0, 62).astype(np.uint8)
+
+
+class Heavy:
+    """The shingles of very many documents, with their classes."""
 
-    def __init__(self, seed: int, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by = np.argsort(tokens)
-        self.seed, self.tokens = U64(seed), tokens[by]
-        self.classes = np.minimum(np.log2(np.maximum(counts[by], 1)), 62).astype(U64) + U64(1)
-        self.counts = counts[by]
+        self.tokens, self.classes = tokens[by], class_of(counts[by])
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(self.tokens >> U64(42)).astype(np.int64)] = True
 
-    def heavy(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of heavy tokens, and their index in the list."""
         hit = np.flatnonzero(self.maybe[(tokens >> U64(42)).astype(np.int64)])
-        at = np.searchsorted(self.tokens, tokens[hit])
-        same = (at < len(self.tokens)) & (self.tokens[np.minimum(at, max(len(self.tokens) - 1, 0))] == tokens[hit]) if len(self.tokens) else np.zeros(len(hit), bool)
+        at = np.minimum(np.searchsorted(self.tokens, tokens[hit]), max(len(self.tokens) - 1, 0))
+        same = self.tokens[at] == tokens[hit] if len(self.tokens) else np.zeros(len(hit), dtype=bool)
         return hit[same], at[same]
 
-    def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        out = splitmix(tokens ^ self.seed) >> U64(6)
-        hit, at = self.heavy(tokens)
-        out[hit] |= self.classes[at] << U64(58)
-        return out
-
-    def prefix(self, ranks: np.ndarray, size: int) -> np.ndarray:
-        return np.partition(ranks, size - 1)[:size] if size < len(ranks) else ranks
-
 
 def heavy_shingles(keyed: DataFrame, k: int, most: int = HEAVY_MOST) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many documents and their counts: at most `most`, the largest.
@@ -110,29 +129,118 @@ def heavy_shingles(keyed: DataFrame, k: int, most: int = HEAVY_MOST) -> tuple[np
     return rows["token"].to_numpy(dtype=np.int64).view(U64), rows["c"].to_numpy(dtype=np.int64)
 
 
-def _profiles(keyed: DataFrame, k: int, percent: int, order, bucket: int) -> DataFrame:
-    """doc_id, h, n, s1, s2 (hash of the set), and the prefix under the first order with a salt for each token."""
+PACKED = "bucket int, part int, batch int, tokens binary, docs binary, classes binary"
+
+
+def _packed(keyed: DataFrame, k: int, heavy, bits: int) -> DataFrame:
+    """PACKED rows of each Arrow batch: its tokens by range of hash, and with bucket -1 what its documents are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = order.value
+        known, part, number = heavy.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b, raw, offsets in string_chunks(batch.column("text")):
-                sets = shingle_sets(raw, offsets, k)
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                tokens = np.concatenate(sets) if len(sets) else np.empty(0, U64)
-                with np.errstate(over="ignore"):
-                    sums = [np.append(U64(0), np.cumsum(splitmix(tokens ^ U64(x)), dtype=U64)) for x in (0x3C, 0x5A)]
-                    s1, s2 = ((x[ends] - x[ends - sizes]).view(np.int64) for x in sums)
-                ranks = first.ranks(tokens)
-                prefixes = [np.sort(first.prefix(ranks[e - n : e], prefix_size(int(n), percent))) for e, n in zip(ends.tolist(), sizes.tolist())]
-                cuts = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
-                part = batch.slice(a, b - a)
-                flat = np.concatenate(prefixes) if prefixes else np.empty(0, U64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))], names=["doc_id", "h", "n", "s1", "s2", "prefix"])
+            if not batch.num_rows:
+                continue
+            sets = [s for _, _, raw, offsets in string_chunks(batch.column("text")) for s in shingle_sets(raw, offsets, k)]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+            ends = np.cumsum(sizes)
+            with np.errstate(over="ignore"):
+                sums = [np.append(U64(0), np.cumsum(splitmix(tokens ^ U64(x)), dtype=U64)) for x in (0x3C, 0x5A)]
+                s1, s2 = ((x[ends] - x[ends - sizes]).view(np.int64).tolist() for x in sums)
+            hit, at = known.find(tokens)
+            info = pickle.dumps((batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), sizes.tolist(), s1, s2))
+            rows = [(-1, part, number, _low_bytes(tokens[hit] >> CUT, 6), doc[hit].tobytes(), known.classes[at].tobytes() + info)]
+            rest = np.ones(len(tokens), dtype=bool)
+            rest[hit] = False
+            short, doc = tokens[rest] >> CUT, doc[rest]
+            bucket = (short >> U64(46 - bits)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by], np.arange((1 << bits) + 1)).tolist()
+            low, doc = _low_bytes(short[by], 5), doc[by]
+            rows += [(b, part, number, low[5 * x : 5 * y], doc[x:y].tobytes(), None) for b, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
+            number += 1
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in PACKED.split(", ")])
+
+    return keyed.mapInArrow(run, PACKED)
+
+
+def _counted(packed: DataFrame, bits: int) -> DataFrame:
+    """PACKED rows with the tokens that more than one document has, and their classes.  A range of hashes is counted at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PACKED.split(", ")]
+
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            tokens = _from_bytes(b"".join(r[3] for r in rows), 5)
+            _, which, count = np.unique(tokens, return_inverse=True, return_counts=True)
+            classes, at, made = class_of(count)[which], 0, []
+            for bucket, part, batch, raw, docs, _ in rows:
+                n = len(raw) // 5
+                own = classes[at : at + n]
+                keep = own > 0
+                if keep.any():
+                    whole = _from_bytes(raw, 5)[keep] & U64((1 << 46 - bits) - 1) | U64(bucket << 46 - bits)
+                    made.append((bucket, part, batch, _low_bytes(whole, 6), np.frombuffer(docs, np.uint32)[keep].tobytes(), own[keep].tobytes()))
+                at += n
+            for x in range(0, len(made), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[x : x + 1000]), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+
+        held: list[tuple] = []
+        for batch in batches:
+            info = batch.filter(pc.less(batch.column("bucket"), 0))
+            if info.num_rows:
+                yield info
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] < 0:
+                    continue
+                if held and held[-1][0] != row[0]:
+                    yield from out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from out(held)
+
+    dealt = F.when(F.col("bucket") < 0, F.xxhash64("part", "batch")).otherwise(F.xxhash64("bucket"))
+    return packed.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+
+
+PROFILE = "doc_id long, h long, n long, s1 long, s2 long, prefix array<long>, whole binary, classes binary"
 
-    return keyed.mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, prefix array<long>")
+
+def _gathered(counted: DataFrame, percent: int) -> DataFrame:
+    """PROFILE rows: a batch's tokens from all ranges put back to its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            info = next(r for r in rows if r[0] < 0)
+            own = len(info[4]) // 4
+            ids, hs, sizes, s1, s2 = pickle.loads(info[5][own:])
+            tokens = np.concatenate([_from_bytes(r[3], 6) for r in rows])
+            doc = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
+            classes = np.concatenate([np.frombuffer(r[5][: len(r[4]) // 4], np.uint8) for r in rows])
+            by = np.lexsort((tokens, doc))
+            tokens, doc, classes = tokens[by], doc[by], classes[by]
+            edges = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
+            cut = [(tokens[a:b], classes[a:b]) for a, b in zip(edges, edges[1:])]
+            firsts = [np.sort(prefix(t, c, n, percent, 0)).view(np.int64) for (t, c), n in zip(cut, sizes)]
+            ends = np.append(0, np.cumsum([len(x) for x in firsts])).astype(np.int32)
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts))), pa.array([_low_bytes(t, 6) for t, _ in cut], pa.binary()), pa.array([c.tobytes() for _, c in cut], pa.binary()),
+            ], names=[x.split()[0] for x in PROFILE.split(", ")])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][1:3] != row[1:3]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
+
+    return counted.repartition("part", "batch").sortWithinPartitions("part", "batch").mapInArrow(run, PROFILE)
 
 
 def _shared_only(entries: DataFrame) -> DataFrame:
@@ -173,17 +281,18 @@ def _from_bytes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(keyed: DataFrame, k: int, percent: int, orders) -> DataFrame:
-    """rep, n, whole (the set, 48 bits a token) and others (prefixes under the other orders, 24 bits a token)."""
+def _sets(profiles: DataFrame, percent: int, orders: int) -> DataFrame:
+    """rep, n, whole (the tokens it may share) and others (prefixes under the other orders, 24 bits a token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offsets in string_chunks(batch.column("text")):
-                sets = shingle_sets(raw, offsets, k)
-                others = [[_low_bytes(np.unique(o.prefix(o.ranks(s), prefix_size(len(s), percent)) & U64(0xFFFFFF)), 3) for o in orders.value] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_low_bytes(s >> U64(16), 6) for s in sets], pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=["rep", "n", "whole", "others"])
+            others = []
+            for n, whole, classes in zip(*(batch.column(c).to_pylist() for c in ("n", "whole", "classes"))):
+                t, c = _from_bytes(whole, 6), np.frombuffer(classes, np.uint8)
+                others.append([_low_bytes(np.unique(prefix(t, c, n, percent, o) & U64(0xFFFFFF)), 3) for o in range(1, orders)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("whole"), pa.array(others, pa.list_(pa.binary()))], names=["rep", "n", "whole", "others"])
 
-    return keyed.select("doc_id", "text").mapInArrow(run, "rep long, n long, whole binary, others array<binary>")
+    return profiles.select("doc_id", "n", "whole", "classes").mapInArrow(run, "rep long, n long, whole binary, others array<binary>")
 
 
 def _share(x: bytes, y: bytes, width: int) -> int:
@@ -211,9 +320,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column("a_whole").to_pylist(), batch.column("b_whole").to_pylist()):
+            for p, q, m, n in zip(*(batch.column(c).to_pylist() for c in ("a_whole", "b_whole", "a_n", "b_n"))):
                 both = _share(p, q, 6)
-                keep.append(100 * both >= percent * ((len(p) + len(q)) // 6 - both))
+                keep.append(100 * both >= percent * (m + n - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = settled(spark, pairs, "pairs")
@@ -223,7 +332,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets = settled(spark, sets.join(F.broadcast(named), "rep", "left_semi"), "some-sets")
     near = fetched(pairs, "others").where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
     near = settled(spark, near.select("a", "b", "a_others", "b_others").mapInArrow(filtered, "a long, b long"), "candidates")
-    out = settled(spark, fetched(near, "whole").select("a", "b", "a_whole", "b_whole").mapInArrow(compared, "a long, b long"), "links")
+    out = settled(spark, fetched(near, "whole").select("a", "b", "a_whole", "b_whole", "a_n", "b_n").mapInArrow(compared, "a long, b long"), "links")
     discard(spark, pairs, near, *([sets] if few <= FEW else []))
     return out
 
@@ -233,22 +342,21 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     spark = docs.sparkSession
     sc = spark.sparkContext
     keyed = _keyed(docs)
-    tokens, counts = heavy_shingles(keyed, k)
-    made = [Order(0x9D5C + 7919 * i, tokens, counts) for i in range(orders)]
-    first, others = sc.broadcast(made[0]), sc.broadcast(made[1:])
-    full = settled(spark, _profiles(keyed, k, percent, first, bucket), "profiles")
-    seen = settled(spark, full.drop("prefix"), "sizes")
+    heavy = sc.broadcast(Heavy(*heavy_shingles(keyed, k)))
+    bits = min(max(6, (16 * keyed.rdd.getNumPartitions()).bit_length()), 24)
+    full = settled(spark, _gathered(_counted(_packed(keyed, k, heavy, bits), bits), percent), "profiles")
+    seen = settled(spark, full.select("doc_id", "h", "n", "s1", "s2"), "sizes")
     real = seen.where("n > 0 and doc_id is not null")
-    classes = full.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"))
-    # a heavy token's class is in its name: buckets that may be large are split by a salt until they are filtered
+    classes = full.where("size(prefix) > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"))
+    # a token's class is in its name: buckets that may be large are split by a salt until they are filtered
     top = F.shiftrightunsigned("token", 58)
-    parts = F.when(top > 0, F.ceil(F.pow(F.lit(2.0), top.cast("double")) / bucket)).otherwise(1).cast("int")
+    parts = F.ceil(F.pow(F.lit(2.0), top.cast("double")) / bucket).cast("int")
     entries = classes.select(F.explode("prefix").alias("token"), F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h"))
     entries = entries.select("token", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts) + 1).otherwise(0).cast("int").alias("salt"), "rep", "h")
     buckets = settled(spark, _shared_only(entries), "buckets")
-    discard(spark, full)
     wanted = buckets.select(F.col("rep").alias("doc_id"), "h").distinct()
-    sets = settled(spark, _sets(keyed.join(wanted, ["doc_id", "h"]), k, percent, others), "sets")
+    sets = settled(spark, _sets(full.join(wanted, ["doc_id", "h"], "left_semi"), percent, orders), "sets")
+    discard(spark, full)
     pivots = buckets.groupBy("token").agg(F.min("rep").alias("a"))
     stars = settled(spark, buckets.join(pivots, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     links = verified(stars, sets, percent)
