@@ -5,7 +5,7 @@ terms whose inverse document frequency ln(N / df) lies in a band.  The band's up
 most (mean distinct terms of a document) / exp(-idf_high) terms, whatever the corpus size, which is why it may
 be broadcast.  `subsets` lexicons keep each term by a seeded hash, with probability `keep`,
 keep / 2, keep / 4 and keep / 8 in turn, for short and long texts; of a text, the
-distinct terms in each subset are sorted and hashed, which gives one 32-bit part of the fingerprint.  The
+distinct terms in each subset are sorted and hashed, which gives one 16-bit part of the fingerprint.  The
 likeness of two fingerprints is the share of equal parts among those that are not empty in both.
 
 The next document is found by dealing documents out by ranges of doc_id and sorting each range, so a document's
@@ -69,11 +69,11 @@ class Fingerprinter:
                     held[k].append(w)
         if not any(held):
             return [hashlib.blake2b(b" ".join(words), digest_size=16).digest()]
-        return [xxhash.xxh32_digest(b" ".join(h)) if h else None for h in held]
+        return [xxhash.xxh32_digest(b" ".join(h))[:2] if h else None for h in held]
 
 
 def written(parts: list[bytes | None]) -> str:
-    return "".join(p.hex() if p is not None else "-" * 8 for p in parts) if len(parts) > 1 else "=" + (parts[0] or b"").hex()
+    return "".join(p.hex() if p is not None else "-" * 4 for p in parts) if len(parts) > 1 else "=" + (parts[0] or b"").hex()
 
 
 def likeness(a: list[bytes | None], b: list[bytes | None]) -> float:
