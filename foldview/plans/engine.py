@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.mappers import Emit, Expr, Mapper, SelectAll
 from ..functions.reducers import FoldExpr, Reducer
+from ..session import reachable
 from . import batch
 from .schema import parse, parse_signature
 from .spec import MapSpec, ViewSpec, ordered
@@ -76,7 +77,7 @@ class View:
 
 class Engine:
     def __init__(self, spark: SparkSession, namespace: str = ""):
-        self.spark, self.namespace = spark, namespace
+        self.spark, self.namespace = reachable(spark), namespace
         self.sources: dict[str, Source] = {}
         self.views: dict[str, ViewSpec] = {}
 
