@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reachable
+
 U64 = np.uint64
 #: bytes of text that one vectorised step works on; bounds the memory of a Python worker
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 #: bytes of an Arrow batch, so that a batch of very long texts takes no more memory than one of short ones
@@ -30,6 +32,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def bounded(spark: SparkSession) -> SparkSession:
     """Limit this session's Arrow batches by bytes; a smaller limit of the session's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    reachable(spark)
     have = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key).lower())
     if not have or int(have[1]) << 10 * " kmg".index(have[2].replace("b", "") or " ") > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))

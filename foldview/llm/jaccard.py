@@ -16,7 +16,8 @@ are intersected with that before whole sets are fetched and compared.
 Copies: documents with one set are one class, and only its smallest doc_id goes on.  Groups of near copies: within a
 token's bucket every member is compared with the smallest member first; components of those links are formed, and
 then only members of *different* components that share a token are compared, so a group costs its size, not its
-square, and no link between components is lost.  Large buckets are split by a salt while they are filtered.
+square, and no link between components is lost: pairs from small buckets, and from large ones the few that stand
+outside the main component against blocks of all members.  Large buckets are split by a salt while they are filtered.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than k words give the
 whole sequence as the one shingle; rows of equal doc_id are one document with all their links, each row with its own
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, discard, settled, splitmix, string_chunks, table
@@ -44,6 +45,7 @@ K, PERCENT = 5, 80
 ORDERS = 3
 HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 100_000
 FEW = 20_000
+SMALL, BLOCK = 64, 2_000
 #: of a 64-bit shingle hash, 46 bits travel
 CUT = U64(18)
 
@@ -244,10 +246,10 @@ def _gathered(counted: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_only(entries: DataFrame) -> DataFrame:
-    """Of (token, salt, rep, h), the rows whose token has another row, or whose bucket is split."""
+    """Of (token, salt, rep, …), the rows whose token has another row, or whose bucket is split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # the last row, which may have its partner in the next batch
         for batch in batches:
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
@@ -258,17 +260,16 @@ def _shared_only(entries: DataFrame) -> DataFrame:
             token, salt = batch.column("token").to_numpy(), batch.column("salt").to_numpy()
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
             keep = (salt > 0) | np.append(False, same) | np.append(same, False)
-            # the last row may have its partner in the next batch; if it has one here it goes on now and once more as a witness
-            yield batch.slice(0, n - 1).filter(pa.array(keep[: n - 1]))
-            last = batch.slice(n - 1, 1)
-            if keep[n - 1]:
-                yield last
-                held = pa.RecordBatch.from_arrays([*last.columns[:2], pa.array([None], pa.int64()), last.columns[3]], names=last.schema.names)
+            held = batch.slice(n - 1, 1)
+            if keep[n - 1]:  # it goes on now, and stays without a rep as a witness
+                yield batch.filter(pa.array(keep))
+                at = held.schema.get_field_index("rep")
+                held = held.set_column(at, held.schema.field(at), pa.array([None], pa.int64()))
             else:
-                held = last
+                yield batch.slice(0, n - 1).filter(pa.array(keep[: n - 1]))
 
-    kept = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, "token long, salt int, rep long, h long")
-    return kept.where("rep is not null").select("token", "rep", "h")
+    kept = entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, entries.schema)
+    return kept.where("rep is not null").drop("salt")
 
 
 def _low_bytes(x: np.ndarray, width: int) -> bytes:
@@ -337,7 +338,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET) -> DataFrame:
+def _in_blocks(named: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) across components among the members of large buckets, without making their pairs.
+
+    Buckets with one and the same major component are a cluster.  Its members outside that component are the queries;
+    they are sent to every block of the cluster's members and compared with a block's sets at once.
+    """
+    per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("cluster"))
+    cluster = settled(named.sparkSession, named.join(per, "token").select("cluster", "rep", "c").distinct(), "clusters")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    held = cluster.join(blocks, "cluster").join(sets.select("rep", "n", "whole"), "rep")
+    members = held.select("cluster", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "c", "n", "whole")
+    asked = held.where("c <> cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "c", "n", "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, index, out = None, [], None, []
+        for batch in batches:
+            for cluster, number, role, rep, c, n, whole in zip(*(x.to_pylist() for x in batch.columns)):
+                if (cluster, number) != group:
+                    group, rows, index = (cluster, number), [], None
+                if not role:
+                    rows.append((rep, c, n, _from_bytes(whole, 6)))
+                    continue
+                if not rows:
+                    continue
+                if index is None:  # all members of a block come before its queries
+                    owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+                    tokens = np.concatenate([r[3] for r in rows])
+                    by = np.argsort(tokens, kind="stable")
+                    index = tokens[by], owner[by], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+                tokens, owner, reps, cs, ns = index
+                mine = _from_bytes(whole, 6)
+                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                hits = np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist())]) if len(mine) else owner[:0]
+                both = np.bincount(hits, minlength=len(reps))
+                linked_ = (100 * both >= percent * (ns + n - both)) & (cs != c)
+                out += [(min(rep, r), max(rep, r)) for r in reps[linked_].tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+                out = []
+
+    dealt = members.unionByName(asked).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _may_link(an: str, am: str, bn: str, bm: str, percent: int) -> Column:
+    """Whether sizes allow a link, where am of an tokens are in other documents: no more than those can be shared."""
+    both = F.least(am, bm).cast("long")
+    return 100 * both >= percent * (F.col(an) + F.col(bn) - both)
+
+
+def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -347,34 +398,41 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     full = settled(spark, _gathered(_counted(_packed(keyed, k, heavy, bits), bits), percent), "profiles")
     seen = settled(spark, full.select("doc_id", "h", "n", "s1", "s2"), "sizes")
     real = seen.where("n > 0 and doc_id is not null")
-    classes = full.where("size(prefix) > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"))
+    whole = full.where("size(prefix) > 0 and doc_id is not null").withColumn("m", (F.length("whole") / 6).cast("int"))
+    classes = whole.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"), F.first("n").cast("int").alias("n"), F.first("m").alias("m"))
     # a token's class is in its name: buckets that may be large are split by a salt until they are filtered
     top = F.shiftrightunsigned("token", 58)
     parts = F.ceil(F.pow(F.lit(2.0), top.cast("double")) / bucket).cast("int")
-    entries = classes.select(F.explode("prefix").alias("token"), F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h"))
-    entries = entries.select("token", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts) + 1).otherwise(0).cast("int").alias("salt"), "rep", "h")
+    entries = classes.select(F.explode("prefix").alias("token"), F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h"), "n", "m")
+    entries = entries.select("token", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts) + 1).otherwise(0).cast("int").alias("salt"), "rep", "h", "n", "m")
     buckets = settled(spark, _shared_only(entries), "buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id"), "h").distinct()
     sets = settled(spark, _sets(full.join(wanted, ["doc_id", "h"], "left_semi"), percent, orders), "sets")
     discard(spark, full)
-    pivots = buckets.groupBy("token").agg(F.min("rep").alias("a"))
-    stars = settled(spark, buckets.join(pivots, "token").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    # the pivot of a token is the member with the smallest share of tokens of its own: of a group of edited copies, the original
+    pivots = buckets.groupBy("token").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("own"), "rep", "n", "m")).alias("p"))
+    pivots = pivots.select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("an"), F.col("p.m").alias("am"))
+    stars = buckets.join(pivots, "token").where((F.col("rep") != F.col("a")) & _may_link("n", "m", "an", "am", percent))
+    stars = settled(spark, stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
     links = verified(stars, sets, percent)
     label = components(links)
     # what the stars leave open: members of different components that share a token
-    named = buckets.select("token", "rep").join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
-    opened = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    named = buckets.join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "m", F.coalesce("component", "rep").alias("c"))
+    opened = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("token", "size")
     named = settled(spark, named.join(opened, "token"), "open")
-    x, y = named.select("token", F.col("rep").alias("a"), F.col("c").alias("ca")), named.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "token").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    few = named.where(F.col("size") <= small)
+    x, y = (few.select("token", F.col("rep").alias(s), F.col("c").alias(f"{s}c"), F.col("n").alias(f"{s}n"), F.col("m").alias(f"{s}m")) for s in "ab")
+    rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _may_link("an", "am", "bn", "bm", percent))
+    rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(rest, sets, percent)
+    blocked = settled(spark, _in_blocks(named.where(F.col("size") > small), sets, percent, block), "links")
     discard(spark, sets, buckets, named)
-    label = components(links.unionByName(more))
+    label = components(links.unionByName(more).unionByName(blocked))
     reps = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     owner = reps.join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    whole = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    sized = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return whole.unionByName(alone)
+    return sized.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
