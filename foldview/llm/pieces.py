@@ -161,7 +161,7 @@ class MergeEncoder:
         """Ids as little-endian unsigned 32-bit integers, without begin and end."""
         if not text:
             return b""
-        if MARK in text or "  " in text:
+        if MARK in text or "  " in text or text[0] == " ":
             return b"".join(self._runs(text))
         words = text.split(" ")
         out = list(map(self.marked.get, words))
