@@ -1,0 +1,174 @@
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foldview.llm import extract, imatch, secrets, toxicity, url_filter
+
+# ---- URL filter
+
+
+URLS = ["https://www.casino-win.example.org/en/1", "http://shop.example.com/en/cheap-pills?x=1", "https://a.net/es/x", "https://a.net/ex", "http://WWW.Example.COM/en/adult", "http://com/", "http://com", "x.com/free/bets", None, "", "://", "http://essex.org/freebets", "https://b.net/fr/free#bets", "http://u.org/a?adult-x", "ftp://H.org?porn", "http://example.com/en/"]
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, URLS[0]])], "page_id long, url string").withColumn("rule", F.lit("mine")).withColumn("n_soft", F.lit(9))
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages).collect()}
+    assert [got[i]["verdict"] for i in range(len(URLS))] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow", "block", "block", "block", "block"]
+    assert (got[4]["host"], got[4]["path"], got[4]["rule"]) == ("www.example.com", "/en/adult", "www.example.com/en/")
+    assert (got[5]["rule"], got[6]["rule"], got[6]["path"]) == ("com/", None, "") and (got[14]["host"], got[14]["path"]) == ("h.org", "")
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url").toArrow())
+    want = con.execute(url_filter.oracle_sql())
+    names = [c[0] for c in want.description]
+    assert sorted((tuple(r[n] for n in names) for r in url_filter.filter_urls(pages).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+# ---- HTML extraction
+
+
+def test_blocks():
+    page = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="has-sidebar"><header>top</header><nav><ul><li>menu</ul></nav><div class="cookie-notice">c</div><div class="ad">buy</div><article><div class="entry-header"><h1>A &amp; B</h1></div><p>one<br>two <b>bo</b>ld<p>three<ul><li>a<li>b</ul><aside>side</aside><form><input>go</form><p class="ad-slot">x</p><pre>y\n  z &lt;</pre></article><section id="comments"><article>nice</article></section><footer>&copy; f</footer></body></html>'
+    assert [t for a, t in extract.blocks(page) if a] == ["A & B", "one two bold", "three", "a", "b", "y z <"]
+    assert extract.blocks("") == [] and extract.blocks("<p") == [(False, "<p")] and extract.blocks("just text") == [(False, "just text")]
+    assert extract.blocks("<script>x") == [] and extract.blocks("a<!-- b --><b>c</b>") == [(False, "ac")]
+    assert len(extract.blocks("<p>x" * 5000)) == 5000
+
+
+def test_suffix_array_against_sorting():
+    rnd = random.Random(1)
+    for _ in range(50):
+        x = np.array([rnd.randint(0, 3) for _ in range(rnd.randint(0, 60))], dtype=np.int64)
+        order, common = extract.suffix_array(x)
+        want = sorted(range(len(x)), key=lambda i: x[i:].tolist())
+        assert order.tolist() == want
+        for k in range(1, len(x)):
+            a, b = x[want[k - 1] :].tolist(), x[want[k] :].tolist()
+            assert common[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+
+
+def test_repeated_runs_against_counting():
+    rnd = random.Random(2)
+    for _ in range(20):
+        pages = [[rnd.choice("abc") for _ in range(rnd.randint(0, 30))] for _ in range(6)]
+        where = {}
+        for k, p in enumerate(pages):
+            for i in range(len(p) - 3):
+                where.setdefault(tuple(p[i : i + 4]), set()).add(k)
+        for p, hit in zip(pages, extract.repeated(pages, 4, 3)):
+            want = [any(len(where[tuple(p[j : j + 4])]) >= 3 for j in range(max(0, i - 3), i + 1) if j + 4 <= len(p)) for i in range(len(p))]
+            assert hit.tolist() == want
+
+
+def test_pages_without_an_article(spark):
+    rnd = random.Random(3)
+    boiler = "all rights reserved by the host of these pages"
+    own = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(30)) for _ in range(12)]
+    pages = [(i, f"https://h.org/{i}", f"<div>{boiler}</div><div>{t}</div>") for i, t in enumerate(own)] + [(50, "https://h.org/x", None), (51, None, ""), (52, "https://h.org/y", "<main><p>m</main>")]
+    df = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string").withColumn("text", F.lit("mine")).withColumn("shard", F.lit(1))
+    for shard in (400, 4):
+        got = {r["page_id"]: r["text"] for r in extract.extract(df, shard=shard).collect()}
+        assert got == {**dict(enumerate(own)), 50: "", 51: "", 52: "m"} or shard == 4 and sum(got[i] == own[i] for i in range(12)) >= 6
+    assert extract.extract(df).count() == len(pages) + 1 and extract.extract(df.limit(0)).count() == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in extract.extract(df).collect())
+
+
+# ---- secrets
+
+
+def test_forest_on_held_out_findings():
+    forest = secrets.train()
+    x, y = secrets.labelled_findings(1500, seed=77)
+    p = forest.probability(x) >= 0.5
+    assert (p == y).mean() > 0.97
+    again = secrets.train()
+    assert (again.probability(x) == forest.probability(x)).all()
+
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def test_scan_and_redact(frame, odd_rows):
+    data = [*odd_rows, (500, f'start token = "{KEY}" end', "en", "s", 1), (501, f"commit {KEY} was fine", "en", "s", 1), (502, "token = something ordinary", "en", "s", 1), (503, f'é𝕏 password: "{KEY[:30]}"', "en", None, 1)]
+    found = [r for r in secrets.scan(frame(data)).collect() if r["is_secret"]]
+    assert sorted(r["doc_id"] for r in found) == [500, 503]
+    by = {d: t for d, t, *_ in data}
+    assert {hashlib.sha256(by[r["doc_id"]][r["start"] : r["end"]].encode()).hexdigest() == r["value_sha256"] for r in found} == {True}
+    df = frame(data).withColumn("kind", F.lit("mine"))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    texts = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert texts[500] == f'start token = "{secrets.MASK}" end' and texts[501] == by[501] and out.count() == len(data)
+    assert secrets.scan(frame([])).count() == 0 and secrets.redact(frame([])).count() == 0
+
+
+# ---- toxicity
+
+
+def test_toxicity(frame, spark):
+    rnd = random.Random(6)
+    bad = ["idiots", "pathetic", "worthless", "clowns"]
+    data, labels = [], []
+    for i in range(600):
+        words = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 8))) for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(60), rnd.choice(bad))
+        data.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    data += [(900, None, None, None, None), (901, "", "en", "s", 0), (None, "x", "en", "s", 1), (5, data[5][1], "en", "s", 1)]
+    marks = spark.createDataFrame([*labels, labels[0], (1, 1, None), (2, 1, 7), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(frame(data).withColumn("score", F.lit(1)), marks).collect()
+    from llm_helpers import crc
+
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert all(crc(r["doc_id"]) == 2 for r in held) and len(got) == len(data)
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.9
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (900, 901)}) == 1
+    none = toxicity.classify(frame(data[:3]), marks.limit(0)).collect()
+    assert len(none) == 3 and {r["predicted"] for r in none} == {0}
+    assert toxicity.classify(frame([]), marks).count() == 0
+
+
+# ---- I-Match
+
+
+def brute_imatch(rows, fp):
+    rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        a, b, c = fp.parts(t), fp.parts(edited), fp.parts(nxt)
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), imatch.written(a), imatch.written(b), imatch.likeness(a, b), imatch.likeness(a, c)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_imatch(frame, odd_rows, parts):
+    df = frame(odd_rows, parts).withColumn("edge", F.lit("mine"))
+    terms = imatch.lexicon(df)
+    fp = imatch.Fingerprinter(terms, imatch.SUBSETS, imatch.KEEP)
+    assert sorted((tuple(r) for r in imatch.fingerprints(df).collect()), key=repr) == brute_imatch(odd_rows, fp)
+    assert imatch.fingerprints(frame([])).count() == 0
+    one = imatch.fingerprints(frame(odd_rows[:1])).first()
+    assert one["near_next"] == 1.0
+
+
+def test_lexicon_counts_all(frame, corpus):
+    import math
+
+    n, df = len(corpus), {}
+    for _, t, *_ in corpus:
+        for w in set((t or "").encode().lower().split()):
+            df[w] = df.get(w, 0) + 1
+    want = sorted(w.decode() for w, c in df.items() if max(2, math.ceil(n * math.exp(-imatch.IDF_HIGH))) <= c <= n * math.exp(-imatch.IDF_LOW))
+    assert imatch.lexicon(frame(corpus)) == want
