@@ -54,6 +54,10 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: settled stages of this process that are not discarded yet
+_written: list[str] = []
+
+
 @contextlib.contextmanager
 def cleaned(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside drop their shuffle files when they end."""
@@ -72,17 +76,28 @@ def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(bounded(spark))}/foldview-{name}-{uuid.uuid4().hex}"
     with cleaned(spark):
         df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foldview_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.remove(path)
+
+
 def discard(spark: SparkSession, *stages: DataFrame) -> None:
     """Delete settled stages that nothing will read any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for stage in stages:
-        path = jvm.org.apache.hadoop.fs.Path(stage._foldview_path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, stage._foldview_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all settled stages of this process: to be called when no result that reads them is needed any more."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -172,3 +172,20 @@ def test_lexicon_counts_all(frame, corpus):
             df[w] = df.get(w, 0) + 1
     want = sorted(w.decode() for w, c in df.items() if max(2, math.ceil(n * math.exp(-imatch.IDF_HIGH))) <= c <= n * math.exp(-imatch.IDF_LOW))
     assert imatch.lexicon(frame(corpus)) == want
+
+
+# ---- settled stages
+
+
+def test_stages_are_cleared(spark):
+    import os
+
+    from foldview.llm import common
+
+    df = common.settled(spark, spark.range(10), "test")
+    other = common.settled(spark, spark.range(5), "test")
+    assert df.count() == 10 and os.path.isdir(df._foldview_path.removeprefix("file:"))
+    common.discard(spark, df)
+    assert not os.path.exists(df._foldview_path.removeprefix("file:")) and other.count() == 5
+    common.clear(spark)
+    assert not os.path.exists(other._foldview_path.removeprefix("file:"))
