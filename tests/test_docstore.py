@@ -54,3 +54,27 @@ def test_flat(spark):
     df = spark.createDataFrame([(1, 10, 5, "x", None)], "id long, child long, ts long, a string, b long")
     assert rows(docstore.flat(df, "t", ["id"], "ts").select("path", "value")) == [(("a",), '"x"'), (("b",), "null"), (("child",), "10")]
     assert rows(docstore.flat(df, "t", ["id", "child"], "ts", prefix=("kids", "$child")).select("key", "path", "value")) == [(("1",), ("kids", "10", "a"), '"x"'), (("1",), ("kids", "10", "b"), "null")]
+
+
+def test_cluster(spark, tmp_path):
+    from foldview.operators.cluster import Cluster
+
+    a, b = Cluster(spark, str(tmp_path / "a")), Cluster(spark, str(tmp_path / "b"))
+    assert a.get("users", 7) is None and a.changes().count() == 0
+    assert a.put("users", [7], {"name": "Joe", "age": 27, "addresses": {"home": {"city": "San Francisco", "state": "CA"}}}, 1000) == 4
+    assert a.put("users", [7], {"name": "Joey"}, 999) == 0 and a.get("users", 7)["name"] == "Joe"
+    assert a.put("users", [7], {"name": "Joey", "color": "green"}, 1001) == 2
+    assert b.put("users", [7], {"age": 33}, 2000) == 1
+    assert b.take_from(a) > 0 and a.take_from(b) > 0
+    assert a.get("users", 7) == b.get("users", 7) == {"name": "Joey", "age": 33, "color": "green", "addresses/home/city": "San Francisco", "addresses/home/state": "CA"}
+    # no-ops end the loop
+    assert b.take_from(a) == 0 and a.take_from(b) == 0
+
+
+def test_cluster_takes_a_stream(spark, tmp_path):
+    from foldview.operators.cluster import Cluster
+
+    frame(spark, BASE).write.parquet(str(tmp_path / "in"))
+    c = Cluster(spark, str(tmp_path / "c"))
+    c.stream(spark.readStream.schema(docstore.LONG).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    assert c.get("users", 7)["age"] == 27

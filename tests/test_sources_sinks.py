@@ -115,3 +115,12 @@ def test_last_of_each(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "k string, x long, s long")
     assert rows(publishers.last_of_each(df, ["k"], "s")) == [("a", 2, 2), ("b", 3, 1)]
     assert rows(publishers.last_of_each(df, [], "s").select("x")) in ([(2,)],)
+
+
+def test_replayed_source(spark, tmp_path):
+    from foldview.sources.schemes import JsonScheme, KafkaOptions
+
+    options = replay.ReplayOptions(KafkaOptions("broker:9092", "t"), str(tmp_path / "a"), JsonScheme("id long"))
+    topic = spark.createDataFrame([("t", 0, i, json.dumps({"id": i}).encode()) for i in range(10)], "topic string, partition int, offset long, value binary")
+    replay.Archive(spark, str(tmp_path / "a")).write(options.messages(topic.where("offset < 6")))
+    assert rows(options.read(spark, topic.where("offset >= 4"))) == [(i,) for i in range(10)]
