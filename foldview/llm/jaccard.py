@@ -345,6 +345,7 @@ def _in_blocks(named: DataFrame, sets: DataFrame, percent: int, block: int) -> D
     they are sent to every block of the cluster's members and compared with a block's sets at once.
     """
     per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("cluster"))
+    per = settled(named.sparkSession, per, "cluster-tokens")  # as with open tokens
     cluster = settled(named.sparkSession, named.join(per, "token").select("cluster", "rep", "c").distinct(), "clusters")
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     held = cluster.join(blocks, "cluster").join(sets.select("rep", "n", "whole"), "rep")
@@ -419,6 +420,7 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     # what the stars leave open: members of different components that share a token
     named = buckets.join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "m", F.coalesce("component", "rep").alias("c"))
     opened = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("token", "size")
+    opened = settled(spark, opened, "open-tokens")  # its size is known now, and where it is small nothing is dealt out by token
     named = settled(spark, named.join(opened, "token"), "open")
     few = named.where(F.col("size") <= small)
     x, y = (few.select("token", F.col("rep").alias(s), F.col("c").alias(f"{s}c"), F.col("n").alias(f"{s}n"), F.col("m").alias(f"{s}m")) for s in "ab")
