@@ -6,7 +6,7 @@ an exact inverse keep a running total; others fold the key's values again.  A vi
 first, which bounds what one update of a hot key has to read.
 
 Rows of one document inside a micro-batch are put in order by the source's `seq`.  A view that is a source of another
-carries the order of its rows along.  Output: keys, values, _changed, _op (U or D), in update mode.
+numbers the rows of each key as it makes them.  Output: keys, values, _changed, _op (U or D), in update mode.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Fold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.documents = handle.getMapState("documents", "src string, id string", StructType([StructField("v", self.values)]))
-        self.total = handle.getValueState("total", StructType([StructField("v", self.values), StructField("n", LongType())]))
+        self.total = handle.getValueState("total", StructType([StructField("v", self.values), StructField("n", LongType()), StructField("version", LongType())]))
 
     def _join(self, key: tuple, a: tuple | None, b: tuple) -> tuple:
         if a is None:
@@ -92,13 +92,12 @@ class Fold(StatefulProcessor):
         return total
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        own, n, seq = plain(key)[: self.n_keys], len(self.values), ()
-        before, count = plain(self.total.get()) if self.total.exists() else (None, 0)
+        own, n = plain(key)[: self.n_keys], len(self.values)
+        before, count, version = plain(self.total.get()) if self.total.exists() else (None, 0, 0)
         # rows of one document: those of its newest version; several rows of one version are folded
         newest: dict[tuple, tuple[tuple, tuple | None]] = {}
         for r in rows:
             doc, at = (r["_src"], r["_id"]), plain(r["_seq"])
-            seq = max(seq, at)
             value = None if r["_gone"] else plain(r)[-n:]
             have = newest.get(doc)
             if have is None or at > have[0] or (at == have[0] and have[1] is None):
@@ -125,13 +124,12 @@ class Fold(StatefulProcessor):
                 total = self._join(own, total, v)
         else:
             total = self._refold(own)
-        if total is not None:
-            self.total.update((shaped(total, self.values), count))
-        elif before is not None:
-            self.total.clear()
+        # the key's rows are numbered as they are made: what reads this view must take the last one, whatever its documents' order
+        version += 1
+        self.total.update((shaped(total, self.values), count, version))
         shown = [None if t is None else plain(self.reducer.finish(t)) if self.final else t for t in (before, total)]
         out = [None] * n if shown[1] is None else [shaped(v, f.dataType) for v, f in zip(shown[1], self.values)]
-        yield self.row(*key, *out, list(seq), shown[0] != shown[1], "D" if shown[1] is None else "U")
+        yield self.row(*key, *out, [version], shown[0] != shown[1], "D" if shown[1] is None else "U")
 
     def close(self) -> None:
         pass

@@ -69,3 +69,17 @@ def test_count_ladder(spark, tmp_path):
     assert f.step("total", *[(i, 1, 1) for i in range(25)]) == [(25,)]
     assert f.step("total", *[(i, 1, None) for i in range(24)]) == [(1,)]
     assert f.step("total", (24, 1, None)) == []
+
+
+def test_files_that_come_out_of_order(spark, tmp_path):
+    """A view over a view takes the last row of each key, though documents with lower seq come later."""
+
+    def build(e):
+        e.map("{ account }", "deposits(id)", Count("account")).red("{ n }", "per(account)", Sum())
+        e.map("{ n }", "per(account)", Count("n")).red("{ accounts }", "histogram(n)", Sum())
+
+    f = Feed(spark, tmp_path, build)
+    f.n = 100
+    assert f.step("histogram", (1, 1, 1), (2, 1, 1), (3, 2, 1)) == [(1, 1), (2, 1)]
+    f.n = 50
+    assert f.step("histogram", (4, 1, 1), (5, 2, 1)) == [(2, 1), (3, 1)]
