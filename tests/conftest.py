@@ -21,11 +21,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    """Rows as plain tuples, in order, of any types."""
-    def plain(x):
-        return tuple(plain(v) for v in x) if isinstance(x, (list, tuple)) else x
-
-    return sorted((plain(r) for r in df.collect()), key=repr)

@@ -1,4 +1,4 @@
-from conftest import rows
+from view_helpers import rows
 
 from foldview.operators import changes
 from foldview.operators.ordering import compare, sort_key, universal

@@ -1,6 +1,6 @@
 import itertools
 
-from conftest import rows
+from view_helpers import rows
 
 from foldview.operators import docstore
 

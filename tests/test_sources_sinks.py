@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from view_helpers import rows
 from pyspark.sql import functions as F
 
 from foldview.functions.reducers import Sum

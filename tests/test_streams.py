@@ -1,7 +1,7 @@
 import json
 import random
 
-from conftest import rows
+from view_helpers import rows
 
 from foldview.functions.mappers import Count, TopNMapper
 from foldview.functions.reducers import MaxValue, Sum, TopN

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from view_helpers import rows
 from pyspark.sql import functions as F
 
 from foldview.functions.mappers import Count, Emit, EmitAll, FlatMap, PyMap, SelectAll, TopNMapper
