@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from .functions.reducers import BoolOr, CollectSet, FirstNonNull, FoldExpr, MaxV
 from .operators import changes, docstore
 from .plans.batch import latest
 from .plans.engine import Engine
+from .session import work_dir
 from .sinks import publishers
 from .sources import replay, schemes
 
@@ -472,10 +473,7 @@ def _streamed(spark: SparkSession, d: str, build, name: str) -> DataFrame:
     """Run a view as a stream over the events' files in a few batches; its rows after the last one."""
     from .sinks.publishers import ParquetTable
 
-    work = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldview-")
-    import uuid
-
-    work = f"{work.rstrip('/')}/foldview-stream-{uuid.uuid4().hex}"
+    work = f"{work_dir(spark)}/foldview-stream-{uuid.uuid4().hex}"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

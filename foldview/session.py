@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +16,16 @@ def reachable(spark: SparkSession) -> SparkSession:
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, home])
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse's on a cluster and a temporary one on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = getattr(spark, "_foldview_work", None)
+    if not found:
+        master = spark.sparkContext.master
+        alone = master.startswith("local") and not master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="foldview-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_foldview"
+        spark._foldview_work = found
+    return found.rstrip("/")
