@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import reachable
+from ..session import reachable, work_dir
 
 U64 = np.uint64
 #: bytes of text that one vectorised step works on; bounds the memory of a Python worker
@@ -43,17 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_foldview_work", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="foldview-")
-            spark._foldview_work = found
-    return found.rstrip("/")
-
-
 #: settled stages of this process that are not discarded yet
 _written: list[str] = []
 
