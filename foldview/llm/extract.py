@@ -7,15 +7,18 @@ token streams over the pages of their host, a suffix array finds token runs of a
 MIN_PAGES distinct pages, blocks that such runs cover for the most part are boilerplate, and unique runs stay.
 
 A host's pages are dealt to shards of about SHARD pages by hash of page_id, so a host with a third of all pages is
-split like any other; boilerplate that a host repeats is repeated within a shard too.  Only undecided blocks travel.
+split like any other.  Whether a run is repeated is decided over the whole host: each shard of a host with several
+passes on its runs as 64-bit hashes, with at most MIN_PAGES distinct pages each, the pages are counted by hash, and the
+runs that reach MIN_PAGES come back to the shards that have them.  Only undecided blocks travel.
 
 Defined results: null and empty html give an empty text; repeated rows (same page_id and html) are extracted each on
-its own and count as one page; a null url belongs to the empty host; an empty table gives an empty table; extra
+its own and count as one page, as do pages of a host with the same undecided blocks; a null url belongs to the empty host; an empty table gives an empty table; extra
 columns are ignored.  Long pages are processed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import U64, discard, settled, splitmix, table
 
 MIN_RUN, MIN_PAGES, SHARD, COVER = 5, 3, 400, 0.8
 SKIP = frozenset("script style noscript template iframe object embed svg math canvas audio video head title nav aside footer form button select option textarea input label dialog menu fieldset".split())
@@ -154,14 +157,39 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(common, dtype=np.int64)
 
 
-def repeated(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run of min_run tokens that at least min_pages pages have."""
+def _stream(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """The pages' tokens as numbers, the page of each, and the numbers' names; a negative separator of its own ends each page."""
     names: dict[str, int] = {}
     stream, owner = [], []
     for k, page in enumerate(pages):
-        stream += [names.setdefault(t, len(names)) for t in page] + [-1 - k]  # a separator of its own ends each page
+        stream += [names.setdefault(t, len(names)) for t in page] + [-1 - k]
         owner += [k] * (len(page) + 1)
-    tokens, pages_of = np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64)
+    return np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64), names
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(tokens: np.ndarray, names: dict[str, int], host: str, min_run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of min_run tokens inside one page of the host, and the place it starts at."""
+    m = len(tokens) - min_run + 1
+    if m <= 0:
+        return np.empty(0, U64), np.empty(0, np.int64)
+    upto = np.append(0, np.cumsum(tokens < 0))
+    at = np.flatnonzero(upto[min_run:] == upto[:m])
+    codes = np.array([*map(_hash, names), 0], dtype=U64)[tokens.clip(-1)]
+    with np.errstate(over="ignore"):
+        acc = np.full(len(at), _hash(host), dtype=U64)
+        for j in range(min_run):
+            acc = acc * U64(0x9E3779B97F4A7C15) + codes[at + j]
+            acc ^= acc >> U64(29)
+    return splitmix(acc), at
+
+
+def repeated(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, host: str = "", known: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each page's tokens, which are covered by a run of min_run tokens that at least min_pages pages have, or whose hash is known to."""
+    tokens, pages_of, names = _stream(pages)
     covered = np.zeros(len(tokens) + 1, dtype=np.int64)
     order, common = suffix_array(tokens)
     # suffixes next to each other with at least min_run tokens in common make a group; its pages are counted once
@@ -170,15 +198,20 @@ def repeated(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MI
         if b - a >= min_pages and len(np.unique(pages_of[order[a:b]])) >= min_pages:
             covered[order[a:b]] += 1
             covered[order[a:b] + min_run] -= 1
+    if known is not None and len(known):
+        key, at = run_hashes(tokens, names, host, min_run)
+        at = at[np.isin(key, known)]
+        covered[at] += 1
+        covered[at + min_run] -= 1
     hit = np.cumsum(covered[:-1]) > 0
     ends = np.cumsum([len(p) + 1 for p in pages])
     return [hit[e - len(p) - 1 : e - 1] for e, p in zip(ends.tolist(), pages)]
 
 
-def unique_blocks(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, cover: float = COVER) -> list[list[bool]]:
+def unique_blocks(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, cover: float = COVER, host: str = "", known: np.ndarray | None = None) -> list[list[bool]]:
     """For each page's blocks, whether they are kept: covered boilerplate goes, unique runs stay."""
     words = [[b.split(" ") for b in page] for page in pages]
-    hits = repeated([[w for b in page for w in b] for page in words], min_run, min_pages)
+    hits = repeated([[w for b in page for w in b] for page in words], min_run, min_pages, host, known)
     out = []
     for page, hit in zip(words, hits):
         ends = np.cumsum([0, *map(len, page)])
@@ -209,20 +242,45 @@ def extract(pages: DataFrame, shard: int = SHARD, min_run: int = MIN_RUN, min_pa
     parsed = settled(spark, rows.mapInArrow(parse, "page_id long, url string, host string, text string, open array<string>"), "pages")
     left = parsed.where("open is not null")
     shards = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")).select("host", "shard", "page_id", "url", "open")
-
-    def settle(found: pa.Table) -> pa.Table:
+    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")).select("host", "shards", "shard", "page_id", "url", "open")
+
+    def passed_on(found: pa.Table) -> pa.Table:
+        """The runs of a shard, each with the smallest hashes of at most min_pages distinct pages."""
+        host, shard_ = found.column("host")[0].as_py(), found.column("shard")[0].as_py()
+        own = {_hash("\0".join(p)): [w for b in p for w in b.split(" ")] for p in found.column("open").to_pylist()}
+        tokens, pages_of, names = _stream(list(own.values()))
+        key, at = run_hashes(tokens, names, host, min_run)
+        page = np.array([*own], dtype=U64)[pages_of[at]]
+        by = np.lexsort((page, key))
+        key, page = key[by], page[by]
+        first = np.append(True, (key[1:] != key[:-1]) | (page[1:] != page[:-1]))[: len(key)]
+        key, page = key[first], page[first]
+        few = np.ones(len(key), dtype=bool)
+        few[min_pages:] = key[min_pages:] != key[: max(len(key) - min_pages, 0)]
+        key, page = key[few], page[few]
+        return pa.table({"host": pa.array([host] * len(key), pa.string()), "shard": pa.array([shard_] * len(key), pa.int32()), "key": pa.array(key.view(np.int64)), "page": pa.array(page.view(np.int64))})
+
+    runs = dealt.where("shards > 1").groupBy("host", "shard").applyInArrow(passed_on, "host string, shard int, key long, page long")
+    runs = settled(spark, runs, "runs")
+    usual = runs.groupBy("key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages).select("key")
+    usual = settled(spark, runs.select("host", "shard", "key").distinct().join(usual, "key"), "usual-runs")
+    discard(spark, runs)
+
+    def settle(found: pa.Table, known: pa.Table) -> pa.Table:
+        if not found.num_rows:
+            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        host, keys = found.column("host")[0].as_py(), known.column("key").to_numpy().astype(np.int64).view(U64)
         pages_, groups = found.column("open").to_pylist(), {}
         for i, page in enumerate(pages_):
             groups.setdefault(tuple(page), []).append(i)  # repeated rows count as one page
-        kept = unique_blocks([list(p) for p in groups], min_run, min_pages)
+        kept = unique_blocks([list(p) for p in groups], min_run, min_pages, host=host, known=keys)
         texts = [""] * len(pages_)
         for (page, members), keep in zip(groups.items(), kept):
             for i in members:
                 texts[i] = "\n\n".join(b for b, k in zip(page, keep) if k)
         return pa.table({"page_id": found.column("page_id"), "url": found.column("url"), "text": pa.array(texts, pa.string())})
 
-    rest = dealt.groupBy("host", "shard").applyInArrow(settle, "page_id long, url string, text string")
+    rest = dealt.groupBy("host", "shard").cogroup(usual.groupBy("host", "shard")).applyInArrow(settle, "page_id long, url string, text string")
     whole = parsed.where("open is null").select("page_id", "url", "text").unionByName(rest)
     return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -77,6 +77,21 @@ def test_pages_without_an_article(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in extract.extract(df).collect())
 
 
+def test_boilerplate_is_counted_over_the_host(spark):
+    rnd = random.Random(4)
+    boiler, seldom = "all rights reserved by the host of these pages", "three pages of sixty have this very passage"
+    twice = "only two pages of the host share this line"
+    own = [" ".join(f"w{rnd.randint(0, 99999)}" for _ in range(30)) for _ in range(60)]
+    more = {0: seldom, 20: seldom, 40: seldom, 1: twice, 50: twice}
+    pages = [(i, f"https://h.org/{i}", f"<div>{boiler}</div><div>{t}</div>" + (f"<div>{more[i]}</div>" if i in more else "")) for i, t in enumerate(own)]
+    pages += [(100 + i, f"https://g.org/{i}", f"<div>{seldom}</div><div>{own[i]}</div>") for i in range(2)]
+    df = spark.createDataFrame([*pages, pages[0], pages[1], pages[1]], "page_id long, url string, html string")
+    want = {i: t + (f"\n\n{twice}" if more.get(i) == twice else "") for i, t in enumerate(own)} | {100 + i: f"{seldom}\n\n{own[i]}" for i in range(2)}
+    for shard in (400, 4, 1):
+        got = extract.extract(df, shard=shard).collect()
+        assert len(got) == len(pages) + 3 and {r["page_id"]: r["text"] for r in got} == want
+
+
 # ---- secrets
 
 
