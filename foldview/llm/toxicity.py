@@ -3,7 +3,9 @@
 Features are hashed byte n-grams (4 to 6, A-Z lower-cased, white space as one blank) that occur in a text, not
 how often.  On a bounded sample of labelled texts (MAX_POSITIVE and MAX_NEGATIVE rows, by hash of doc_id; both
 are parameters) the classes' document counts give each feature's log-count ratio r; the KEPT features with the
-strongest evidence stay, and a logistic regression is fitted on x * r.  The model is KEPT numbers, so it is
+strongest evidence stay, and a logistic regression is fitted on x * r.  Both classes are counted over all labels
+outside the held-out fold, and the bias is corrected by what the sample's odds are off from theirs, so a score means
+the same whether the sample is bounded or not.  The model is KEPT numbers, so it is
 broadcast; scoring is one pass over whole texts with no shuffle.
 
 Only text is an input of a score.  Defined results: a null or empty text has the score of the bias alone;
@@ -93,8 +95,15 @@ def fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, r: np.ndarray, rou
     return w * r, b
 
 
-def train(sample: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, their weights and the bias, from a bounded sample (text, toxic)."""
+def prior_shift(sampled: tuple[int, int], whole: tuple[int, int] | None) -> float:
+    """What the log-odds of a sample (other, toxic) are above those of all documents; 0 where a class is missing."""
+    if whole is None or not all((*sampled, *whole)):
+        return 0.0
+    return float(np.log(sampled[1] / sampled[0]) - np.log(whole[1] / whole[0]))
+
+
+def train(sample: DataFrame, kept: int = KEPT, whole_counts: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, their weights and the bias, from a bounded sample (text, toxic); whole_counts are the classes' rows (other, toxic) that it stands for."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), dtype=np.int32)
@@ -137,7 +146,7 @@ def train(sample: DataFrame, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray,
     rows = np.repeat(np.arange(len(marked)), [len(x) // 4 for x in marked.slots])
     order = np.lexsort((rows, marked.toxic.to_numpy()[rows])) if len(rows) else rows
     w, b = fit(rows[order], columns[order], marked.toxic.to_numpy(dtype=float), r)
-    return slots, w, b
+    return slots, w, b - prior_shift((n_neg, n_pos), whole_counts)
 
 
 def score(docs: DataFrame, slots: np.ndarray, weights: np.ndarray, bias: float) -> DataFrame:
@@ -162,10 +171,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """_id, toxic of the labelled documents outside the held-out fold."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    return labels.where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """_id, toxic of each row of docs that has a learnable label."""
+    return docs.select(F.col("doc_id").cast("long").alias("_doc")).join(learnable(labels), F.col("_doc") == F.col("_id")).select("_id", "toxic")
+
+
+def class_counts(marks: DataFrame) -> tuple[int, int]:
+    """Rows (other, toxic) of marks."""
+    found = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    return found.get(0, 0), found.get(1, 0)
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     """text, toxic of at most max_positive and max_negative labelled documents outside the held-out fold."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    labels = labels.where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    labels = learnable(labels)
     by_hash = lambda c, n: labels.where(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = by_hash(1, max_positive).unionByName(by_hash(0, max_negative))
     return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "text", "toxic")
@@ -173,7 +198,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITI
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     sample = settled(docs.sparkSession, sample_of(docs, labels, max_positive, max_negative), "toxicity-sample")
-    scored = score(docs, *train(sample))
+    scored = score(docs, *train(sample, whole_counts=class_counts(labelled(docs, labels))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

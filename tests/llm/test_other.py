@@ -152,6 +152,25 @@ def test_toxicity(frame, spark):
     assert toxicity.classify(frame([]), marks).count() == 0
 
 
+def test_scores_do_not_depend_on_the_caps(frame, spark):
+    rnd = random.Random(8)
+    data, labels = [], []
+    for i in range(1200):
+        words = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 8))) for _ in range(40)]
+        toxic = i % 12 == 0
+        if toxic:
+            words.insert(rnd.randrange(40), rnd.choice(["idiots", "pathetic"]))
+        data.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, marks = frame([*data, (9000, "", "en", "s", 0)]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    logit = lambda r: np.log(r["score"] / (1 - r["score"]))
+    empty = [logit(next(r for r in toxicity.classify(docs, marks, max_negative=m).collect() if r["doc_id"] == 9000)) for m in (8000, 75)]
+    assert abs(empty[0] - empty[1]) < 1.0  # the classes are 1 to 11; in the bounded sample about 1 to 1, 2.4 more
+    n_neg, n_pos = toxicity.class_counts(toxicity.labelled(docs, marks))
+    assert n_neg + n_pos == sum(not h for h in (r["held_out"] for r in toxicity.classify(docs, marks).where("doc_id < 1200").collect()))
+    assert toxicity.prior_shift((75, n_pos), (n_neg, n_pos)) == pytest.approx(np.log(n_neg / 75)) and toxicity.prior_shift((0, 5), (9, 5)) == 0
+
+
 # ---- I-Match
 
 
