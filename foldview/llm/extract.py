@@ -2,7 +2,8 @@
 
 Every page becomes blocks of text.  Markup decides most of them: scripts, styles, menus, headers, footers, sidebars,
 forms, adverts, notices and reader comments are dropped by element, role or class; what stands in an article (or main)
-element is kept.  Pages without such an element leave blocks of which markup says nothing: those are concatenated as
+element is kept.  If that is one element with at least half of the page's text, it is the article and the rest goes.
+Otherwise (no such element, several, or a small one) the blocks outside are undecided: those are concatenated as
 token streams over the pages of their host, a suffix array finds token runs of at least MIN_RUN that occur on at least
 MIN_PAGES distinct pages, blocks that such runs cover for the most part are boilerplate, and unique runs stay.
 
@@ -65,7 +66,13 @@ def _marked(name: str, in_article: bool) -> bool:
 
 def blocks(page: str) -> list[tuple[bool, str]]:
     """(whether it stands in an article or main element, text) of the blocks that markup does not drop."""
-    out: list[tuple[bool, str]] = []
+    return [(root > 0, text) for root, text in rooted_blocks(page)]
+
+
+def rooted_blocks(page: str) -> list[tuple[int, str]]:
+    """(number of the outermost article or main element it stands in, or 0; text) of the blocks that markup does not drop."""
+    out: list[tuple[int, str]] = []
+    roots = 0
     stack: list[tuple[str, bool, bool]] = []  # element, dropped, in the article
     parts: list[str] = []
     drop = article = False
@@ -76,7 +83,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((article, text))
+                out.append((roots if article else 0, text))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -112,7 +119,8 @@ def blocks(page: str) -> list[tuple[bool, str]]:
                         break
             stack.append((tag, drop, article))
             drop = drop or _noise(tag, attributes, article)
-            article = article or tag in ("article", "main")
+            if not article and tag in ("article", "main"):
+                article, roots = True, roots + 1
         else:
             if tag in BLOCK:
                 flush()
@@ -219,6 +227,12 @@ def unique_blocks(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int
     return out
 
 
+def decided(found: list[tuple[int, str]]) -> bool:
+    """Whether markup alone tells the article: nothing stands outside, or one element has at least half of the text."""
+    inside, outside = (sum(len(t) for r, t in found if (r > 0) == side) for side in (True, False))
+    return inside > 0 and (not outside or len({r for r, _ in found if r}) == 1 and inside >= outside)
+
+
 def _host(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if url and "://" in url else ""
 
@@ -230,19 +244,20 @@ def extract(pages: DataFrame, shard: int = SHARD, min_run: int = MIN_RUN, min_pa
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts, open_ = [], [], []
+            hosts, texts, open_, fixed = [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                found = blocks(page or "")
-                sure = any(a for a, _ in found)
+                found = rooted_blocks(page or "")
+                sure = decided(found)
                 hosts.append(_host(url))
-                texts.append("\n\n".join(t for a, t in found if a) if sure else None)
-                open_.append(None if sure else [t for _, t in found])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(open_, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "open"])
+                texts.append("\n\n".join(t for r, t in found if r) if sure else None)
+                open_.append(None if sure else [t for r, t in found if not r])
+                fixed.append(None if sure else [t if r else None for r, t in found])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "open", "fixed"])
 
-    parsed = settled(spark, rows.mapInArrow(parse, "page_id long, url string, host string, text string, open array<string>"), "pages")
+    parsed = settled(spark, rows.mapInArrow(parse, "page_id long, url string, host string, text string, open array<string>, fixed array<string>"), "pages")
     left = parsed.where("open is not null")
     shards = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")).select("host", "shards", "shard", "page_id", "url", "open")
+    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")).select("host", "shards", "shard", "page_id", "url", "open", "fixed")
 
     def passed_on(found: pa.Table) -> pa.Table:
         """The runs of a shard, each with the smallest hashes of at most min_pages distinct pages."""
@@ -274,10 +289,11 @@ def extract(pages: DataFrame, shard: int = SHARD, min_run: int = MIN_RUN, min_pa
         for i, page in enumerate(pages_):
             groups.setdefault(tuple(page), []).append(i)  # repeated rows count as one page
         kept = unique_blocks([list(p) for p in groups], min_run, min_pages, host=host, known=keys)
-        texts = [""] * len(pages_)
+        texts, fixed = [""] * len(pages_), found.column("fixed").to_pylist()  # what an article has, and null for each undecided block
         for (page, members), keep in zip(groups.items(), kept):
             for i in members:
-                texts[i] = "\n\n".join(b for b, k in zip(page, keep) if k)
+                left_ = iter([b if k else None for b, k in zip(page, keep)])
+                texts[i] = "\n\n".join(b for b in [next(left_) if x is None else x for x in fixed[i]] if b is not None)
         return pa.table({"page_id": found.column("page_id"), "url": found.column("url"), "text": pa.array(texts, pa.string())})
 
     rest = dealt.groupBy("host", "shard").cogroup(usual.groupBy("host", "shard")).applyInArrow(settle, "page_id long, url string, text string")

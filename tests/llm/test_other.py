@@ -77,6 +77,17 @@ def test_pages_without_an_article(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in extract.extract(df).collect())
 
 
+def test_text_beside_small_articles_stays(spark):
+    rnd = random.Random(9)
+    boiler = "all rights reserved by the host of these pages"
+    own = [" ".join(f"w{rnd.randint(0, 99999)}" for _ in range(30)) for _ in range(6)]
+    cards = lambda i: f"<article>card {i} one</article>"
+    pages = [(i, f"https://h.org/{i}", f"{cards(i)}<div>{t}</div><div>{boiler}</div>" + (f"<article>card {i} two</article>" if i % 2 else "")) for i, t in enumerate(own)]
+    pages += [(10, "https://h.org/a", f"<div>{boiler} too</div><article>{own[0]}</article><div>a date</div>")]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"card {i} one\n\n{t}" + (f"\n\ncard {i} two" if i % 2 else "") for i, t in enumerate(own)}, 10: own[0]}
+
+
 def test_boilerplate_is_counted_over_the_host(spark):
     rnd = random.Random(4)
     boiler, seldom = "all rights reserved by the host of these pages", "three pages of sixty have this very passage"
