@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, false positives removed by a random forest.
 
-Candidates are runs of key characters with a digit, values assigned to names such as token or password, and fixed
-key formats.  Each candidate is described by length, character transitions, dictionary coverage, path and
+Candidates are private keys, values assigned to names such as token or password (in quotes up to the closing quote,
+whatever stands before the name), and what these leave of runs of key characters with a digit.  Each candidate is described by length, character transitions, dictionary coverage, path and
 neighbouring words; a forest of bootstrapped trees, trained from labelled findings, gives the probability that it
 is a secret.  `labelled_findings` makes the labelled set (a bounded, seeded number of rows, by parameter); a caller
 may give its own rows instead.  The model is a few hundred tree nodes and is broadcast; scanning is one pass over
@@ -34,13 +34,17 @@ CUT = 0.5
 NAMES = "token|secret|passwd|password|pwd|api_key|apikey|api-key|access_key|auth|credential|private_key|bearer"
 #: one pattern that both RE2 and Python read alike; it finds every document that has a candidate
 LIKELY = r"(?i)[a-z0-9_+/=\-]{16,}|(?:" + NAMES + r")[a-z_]{0,12}[\"']?\s{0,3}[:=]|-----BEGIN"
-CANDIDATE = re.compile(
-    r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----)"
-    r"|(?i:(?:" + NAMES + r")[a-z_]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9_+/=.~\-]{6,})"
-    r"|(?<![A-Za-z0-9_+/=\-])(?P<run>[A-Za-z0-9_+/=\-]{16,})",
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----")
+#: a value in quotes goes up to the closing quote; a bare one may have punctuation, but an & before name= is a URL's
+ASSIGNED = re.compile(
+    r"(?i:(?:" + NAMES + r")[a-z_]{0,12}[\"']?\s{0,3}[:=]\s{0,3})"
+    r"(?:\"(?P<double>(?:[^\"\\\r\n]|\\.){6,}+)\"|'(?P<single>(?:[^'\\\r\n]|\\.){6,}+)'"
+    r"|[\"']?(?P<bare>(?:[A-Za-z0-9_+/=.~@!#$%^*?|:\-]|&(?![A-Za-z0-9_]+=)){6,}))",
     re.ASCII,
 )
+RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{14,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?", re.ASCII)
 CONTEXT = 40
+PUNCTUATION = "@!#$%^&*?"
 #: fixed words: what speaks for and against a secret nearby, and common words that identifiers are made of
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "private")
 AGAINST = ("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "integrity", "revision", "version", "example", "build", "etag", "blob")
@@ -73,12 +77,27 @@ def features(value: str, left: str, right: str, path: str) -> list[float]:
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of each candidate, in order and without overlap."""
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup or ""
-        a, b = m.span(kind)
-        if kind == "run" and not any(c.isdigit() for c in text[a:b]):
-            continue
-        yield a, b, {"pem": "private key", "value": "assigned value", "run": "key-like run"}[kind]
+    keys = [m.span() for m in PEM.finditer(text)]
+    found, taken = [(a, b, "private key") for a, b in keys], list(keys)
+    for m in ASSIGNED.finditer(text):
+        if not any(x < m.end() and m.start() < y for x, y in keys):
+            found.append((*m.span(m.lastgroup or ""), "assigned value"))
+            taken.append(m.span())
+    taken.sort()
+    at = 0
+    for m in RUN.finditer(text):  # what keys and assignments leave of it
+        a, end = m.span()
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        k = at
+        while a < end:
+            b = min(end, taken[k][0]) if k < len(taken) else end
+            if b - a >= 16 and any(c.isdigit() for c in text[a:b]):
+                found.append((a, b, "key-like run"))
+            if k == len(taken):
+                break
+            a, k = max(a, taken[k][1]), k + 1
+    yield from sorted(found)
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -88,21 +107,27 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
     some = lambda chars, a, b: "".join(rnd.choices(chars, k=rnd.randint(a, b)))
     word = lambda: rnd.choice(WORDS) if rnd.random() < 0.5 else some("aeiouthnsrdl", 2, 9)
     talk = lambda: " ".join(word() for _ in range(rnd.randint(1, 6)))
+    human = lambda: "".join({"a": "@", "e": "3", "o": "0", "s": "5"}.get(c, c) if rnd.random() < 0.6 else c for c in rnd.choice([word().capitalize(), word()]) + some(alnum, 2, 5)) + some(PUNCTUATION, 1, 2) + some(alnum + PUNCTUATION, 1, 5)
     x, y = [], []
     for _ in range(n):
         secret = rnd.random() < 0.5
         path = rnd.choice(["src/app.py", "config/prod.env", "web", "src3", "notes", "tests/unit.py" if not secret or rnd.random() < 0.2 else "deploy.yml", "package.lock" if not secret else "main.go"])
         if secret:
-            value = rnd.choice([lambda: some(hexa, 32, 64), lambda: some(hexa, 40, 40), lambda: some(hexa, 40, 40).upper(), lambda: some(base, 24, 64), lambda: some(alnum, 20, 48), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + some(alnum, 36, 36), lambda: some(alnum + "_-.~", 10, 20) + "7"])()
+            value = rnd.choice([lambda: some(hexa, 32, 64), lambda: some(hexa, 40, 40), lambda: some(hexa, 40, 40).upper(), lambda: some(base, 24, 64), lambda: some(alnum, 20, 48), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + some(alnum, 36, 36), lambda: some(alnum + "_-.~", 10, 20) + "7", human, human])()
+            typed = any(c in PUNCTUATION for c in value)
             name = rnd.choice(FOR)
             name = name.upper() if rnd.random() < 0.2 else name
             left = talk() + " " + rnd.choice([f'{name} = "', f"{name}: ", f"{name}='", f"api_{name}=", f'"{name}": "', f"{name} ", f"{name}=\""])
+            if rnd.random() < 0.2:
+                left = talk() + rnd.choice([" ", "\n"]) + f"{word().upper()}_{name.upper()}="
+            elif typed:
+                left = talk() + " " + rnd.choice([f'{name} = "', f"{name}: ", f"{name}='", f"{name}="])
             if _KNOWN.match(value) and rnd.random() < 0.4:
                 left = talk() + " "
         else:
-            kind = rnd.randrange(7)
-            value = [lambda: some(hexa, 40, 64), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(rnd.choice(WORDS) for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 99)), lambda: "/".join(word() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 9)), lambda: rnd.choice(PLACEHOLDERS) + rnd.choice(["-", "_", ""]) + rnd.choice(["key", "token", "here", "secret", "value123"]), lambda: some("0123456789", 16, 24), lambda: some("aeiouthnsrdl", 14, 30) + str(rnd.randint(0, 9))][kind]()
-            if kind == 4:
+            kind = rnd.randrange(9)
+            value = [lambda: some(hexa, 40, 64), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(rnd.choice(WORDS) for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 99)), lambda: "/".join(word() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 9)), lambda: rnd.choice(PLACEHOLDERS) + rnd.choice(["-", "_", ""]) + rnd.choice(["key", "token", "here", "secret", "value123"]), lambda: some("0123456789", 16, 24), lambda: some("aeiouthnsrdl", 14, 30) + str(rnd.randint(0, 9)), lambda: talk() + " " + talk() + rnd.choice([".", "!", ""]), lambda: f"https://{word()}.example.org/{word()}/{word()}"][kind]()
+            if kind in (4, 7, 8):
                 left = talk() + " " + rnd.choice([f'{rnd.choice(FOR)} = "', f"{rnd.choice(FOR)}="])
             elif kind in (0, 1):
                 left = talk() + " " + rnd.choice(AGAINST[:10]) + rnd.choice([" ", ": ", '="', "-", "="])
