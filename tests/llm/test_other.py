@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foldview.llm import extract, imatch, secrets, toxicity, url_filter
@@ -210,27 +213,69 @@ def test_scores_do_not_depend_on_the_caps(frame, spark):
 # ---- I-Match
 
 
-def brute_imatch(rows, fp):
+def brute_terms(texts):
+    df = Counter(w for t in texts for w in {x.lower() for x in (t or "").encode().split()})
+    n = len(texts)
+    return {w for w, c in df.items() if max(2, math.ceil(n * math.exp(-5.3))) <= c <= n * math.exp(-1.0)}
+
+
+def brute_parts(text, terms):
+    """By the definition, one lexicon after the other: 64 of them, kept with 0.016, half, a quarter and an eighth of it in turn."""
+    own = sorted({w.lower() for w in text.encode().split()})
+    parts = []
+    for k in range(64):
+        held = [w for w in own if w in terms and xxhash.xxh32(w, seed=k).intdigest() < int(0.016 * 2**32) // 2 ** (k % 4)]
+        parts.append(xxhash.xxh32(b" ".join(held)).digest()[:2].hex() if held else "----")
+    return parts if set(parts) != {"----"} else ["=" + hashlib.blake2b(b" ".join(own), digest_size=16).hexdigest()]
+
+
+def brute_likeness(a, b):
+    if len(a) != len(b):
+        return 0.0
+    either = [(x, y) for x, y in zip(a, b) if (x, y) != ("----", "----")]
+    return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
+def brute_imatch(rows):
     rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    out = []
+    terms, out = brute_terms([t for _, t in rows]), []
     for i, (d, t) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        a, b, c = fp.parts(t), fp.parts(edited), fp.parts(nxt)
-        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), imatch.written(a), imatch.written(b), imatch.likeness(a, b), imatch.likeness(a, c)))
+        a, b, c = (brute_parts(x, terms) for x in (t, edited, nxt))
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), brute_likeness(a, b), brute_likeness(a, c)))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_imatch(frame, odd_rows, parts):
-    df = frame(odd_rows, parts).withColumn("edge", F.lit("mine"))
-    terms = imatch.lexicon(df)
-    fp = imatch.Fingerprinter(terms, imatch.SUBSETS, imatch.KEEP)
-    assert sorted((tuple(r) for r in imatch.fingerprints(df).collect()), key=repr) == brute_imatch(odd_rows, fp)
+def test_imatch(frame, odd_rows, parts, spark):
+    df = frame(odd_rows, parts).withColumn("guest", F.lit("mine")).withColumn("part", F.lit("mine")).withColumn("a.b", F.lit(1))
+    for rows in (odd_rows, [r for r in odd_rows if r[0] is not None], [r for r in odd_rows if r[0] is None], [*odd_rows, *[(30, f"t{i}", "en", "s", 1) for i in range(5)]]):
+        got = imatch.fingerprints(df if rows is odd_rows else frame(rows, parts))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_imatch(rows)
     assert imatch.fingerprints(frame([])).count() == 0
     one = imatch.fingerprints(frame(odd_rows[:1])).first()
     assert one["near_next"] == 1.0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert sorted((tuple(r) for r in imatch.fingerprints(df).collect()), key=repr) == brute_imatch(odd_rows)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_terms_pass_on_by_segments(frame, corpus, spark):
+    """However small the segments are, the lexicon stays the same."""
+    df, key = frame(corpus * 8, 3), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        for held in (1, 900, 2_000_000):
+            assert imatch.lexicon(df, held=held) == sorted(w.decode() for w in brute_terms([t for _, t, *_ in corpus * 8]))
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_lexicon_counts_all(frame, corpus):
