@@ -1,20 +1,24 @@
-"""HTML extraction: page structure first, then a suffix array over each host's pages for what structure leaves.
-
-Every page becomes blocks of text.  Markup decides most of them: scripts, styles, menus, headers, footers, sidebars,
-forms, adverts, notices and reader comments are dropped by element, role or class; what stands in an article (or main)
-element is kept.  If that is one element with at least half of the page's text, it is the article and the rest goes.
-Otherwise (no such element, several, or a small one) the blocks outside are undecided: those are concatenated as
-token streams over the pages of their host, a suffix array finds token runs of at least MIN_RUN that occur on at least
-MIN_PAGES distinct pages, blocks that such runs cover for the most part are boilerplate, and unique runs stay.
-
-A host's pages are dealt to shards of about SHARD pages by hash of page_id, so a host with a third of all pages is
-split like any other.  Whether a run is repeated is decided over the whole host: each shard of a host with several
-passes on its runs as 64-bit hashes, with at most MIN_PAGES distinct pages each, the pages are counted by hash, and the
-runs that reach MIN_PAGES come back to the shards that have them.  Only undecided blocks travel.
-
-Defined results: null and empty html give an empty text; repeated rows (same page_id and html) are extracted each on
-its own and count as one page, as do pages of a host with the same undecided blocks; a null url belongs to the empty host; an empty table gives an empty table; extra
-columns are ignored.  Long pages are processed whole.
+"""HTML extraction: a suffix array over each host's pages, then page structure for what the array leaves.
+
+Every page becomes blocks of text; each block knows the article (or main) element it stands in, if any, and whether
+markup calls it noise (scripts and styles never become blocks; menus, headers, footers, sidebars, forms, adverts,
+notices and reader comments by element, role or class).
+
+What stands outside of an article, noise or not, is a page's token stream.  The streams of a host are concatenated, a
+suffix array finds token runs of at least MIN_RUN that occur on at least MIN_PAGES distinct pages of the host, and
+blocks that such runs cover for the most part are boilerplate and go.  Markup decides what the array leaves: noise goes;
+if one article element has at least half of the page's text, it is the article and the rest goes; otherwise unique
+blocks stay, in page order with what the articles have.
+
+Each task runs the array over the pages of a host that it has itself, at most GROUP tokens at once, and passes on the
+runs, named by 64-bit hashes over host and tokens, with at most MIN_PAGES distinct pages each; the pages are then
+counted by run over all tasks.  So the result does not depend on how pages are dealt out, no host is gathered anywhere,
+and one with a third of all pages is no different from any other.  The runs that reach MIN_PAGES are held against the
+pages by a broadcast of at most KNOWN numbers; where there are more they are joined to the pages' runs instead.
+
+Defined results: null and empty html give an empty text; repeated rows are extracted each on its own; pages of a host
+with the same blocks count as one page; a null url belongs to the empty host; an empty table gives an empty table; extra
+columns are ignored.  Very long pages are processed whole, in time linear in their length whatever their tags.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,19 @@ from pyspark.sql import functions as F
 
 from .common import U64, discard, settled, splitmix, table
 
-MIN_RUN, MIN_PAGES, SHARD, COVER = 5, 3, 400, 0.8
+MIN_RUN, MIN_PAGES, COVER = 5, 3, 0.8
+#: tokens of one suffix array, tokens that a task holds, and runs that are broadcast (8 bytes each), at most
+GROUP, HELD, KNOWN = 100_000, 1_000_000, 2_000_000
 SKIP = frozenset("script style noscript template iframe object embed svg math canvas audio video head title nav aside footer form button select option textarea input label dialog menu fieldset".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-#: words in class or id that mark what is not the article; matched between other characters than letters and digits
-NOISE = re.compile(r"(?:^|[^a-z0-9])(ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|sign-?up|log-?in|menu|nav(?:bar|igation)?|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|recommended|share|sharing|social|comments?|replies|disqus|respond|reader-?comments|toolbar|pagination|pager|skip|copyright)(?:$|[^a-z0-9])")
+#: words in class or id that mark what is not the article; outside of an article they count wherever they stand between other characters than letters and digits
+WORDS = "ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sign-up login log-in menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side-bar widget related recommended share sharing social comment comments replies disqus respond reader-comment reader-comments toolbar pagination pager skip copyright".split()
+NOISE = re.compile(r"(?:^|[^a-z0-9])(" + "|".join(sorted(WORDS, key=len, reverse=True)) + r")(?:$|[^a-z0-9])")
+#: in an article a name must be made of such words alone, but for these: ad-slot is an advert, share-price and comments-policy are the article's
+LAYOUT = frozenset("slot unit box container wrapper block list links link button buttons bar section area form top bottom left right inline wide small large main inner outer content".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
@@ -61,35 +70,50 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 def _marked(name: str, in_article: bool) -> bool:
     """Whether a class or id names something else than the article; has-sidebar and the like describe a layout, an article's header is its own."""
-    return not name.startswith(("has-", "with-", "no-", "is-")) and any(not in_article or m[1] not in ("header", "banner") for m in NOISE.finditer(name))
-
-
-def blocks(page: str) -> list[tuple[bool, str]]:
-    """(whether it stands in an article or main element, text) of the blocks that markup does not drop."""
-    return [(root > 0, text) for root, text in rooted_blocks(page)]
+    if name.startswith(("has-", "with-", "no-", "is-")) or not NOISE.search(name):
+        return False
+    if not in_article:
+        return True
+    left = {x for x in re.split(r"[^a-z0-9]+", NOISE.sub(" ", NOISE.sub(" ", name))) if x}
+    return left <= LAYOUT and any(m[1] not in ("header", "banner") for m in NOISE.finditer(name))
 
 
-def rooted_blocks(page: str) -> list[tuple[int, str]]:
-    """(number of the outermost article or main element it stands in, or 0; text) of the blocks that markup does not drop."""
-    out: list[tuple[int, str]] = []
+def blocks(page: str) -> list[tuple[int, bool, str]]:
+    """(number of the outermost article or main element it stands in, or 0; whether markup calls it noise; text) of all blocks."""
+    out: list[tuple[int, bool, str]] = []
     roots = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, in the article
-    parts: list[str] = []
-    drop = article = False
+    stack: list[tuple[str, bool, bool]] = []  # element, noise, in the article
+    places: dict[str, list[int]] = {}  # where each element is open
+    bounds: list[int] = []  # where a p, a block or a button is open: what the start of a block looks at
+    walls: list[int] = []  # where an article, main or body is open: end tags of other elements do not reach below
+    parts: tuple[list[str], list[str]] = ([], [])  # the text of the block, and what markup calls noise in it
+    noise = article = False
     at, size = 0, len(page)
 
     def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                out.append((roots if article else 0, text))
+        for kind, held in zip((False, True), parts):
+            if held:
+                text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+                held.clear()
+                if text:
+                    out.append((roots if article else 0, kind, text))
+
+    def close(k: int) -> None:
+        """All elements from place k on end."""
+        nonlocal noise, article
+        _, noise, article = stack[k]
+        for name, _, _ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
+        for held in (bounds, walls):
+            while held and held[-1] >= k:
+                held.pop()
 
     while at < size:
         m = TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at and not drop:
-            parts.append(page[at:end])
+        if end > at:
+            parts[noise].append(page[at:end])
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
@@ -100,37 +124,31 @@ def rooted_blocks(page: str) -> list[tuple[int, str]]:
             if tag in BLOCK:
                 flush()
             elif tag == "br":
-                if not drop:
-                    parts.append(" ")
+                parts[noise].append(" ")
                 continue
             if tag in VOID:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else size
+                ends = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = ends.end() if ends else size
                 continue
-            if tag in CLOSES_P:  # an open p ends here, with what is open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        drop, article = stack[k][1], stack[k][2]
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK or stack[k][0] == "button":
-                        break
-            stack.append((tag, drop, article))
-            drop = drop or _noise(tag, attributes, article)
-            if not article and tag in ("article", "main"):
+            if tag in CLOSES_P and bounds and stack[bounds[-1]][0] == "p":  # an open p ends here, with what is open in it
+                close(bounds[-1])
+            k = len(stack)
+            stack.append((tag, noise, article))
+            places.setdefault(tag, []).append(k)
+            if tag in BLOCK or tag == "button":
+                bounds.append(k)
+            if tag in ("article", "main", "body"):
+                walls.append(k)
+            noise = noise or _noise(tag, attributes, article)
+            if not article and not noise and tag in ("article", "main"):  # a reader comment is no article
                 article, roots = True, roots + 1
         else:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    drop, article = stack[k][1], stack[k][2]
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body") and tag not in ("html", "body", "article", "main"):
-                    break
+            if places.get(tag) and (not walls or places[tag][-1] >= walls[-1] or tag in ("html", "body", "article", "main")):
+                close(places[tag][-1])
     flush()
     return out
 
@@ -195,110 +213,157 @@ def run_hashes(tokens: np.ndarray, names: dict[str, int], host: str, min_run: in
     return splitmix(acc), at
 
 
-def repeated(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, host: str = "", known: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run of min_run tokens that at least min_pages pages have, or whose hash is known to."""
-    tokens, pages_of, names = _stream(pages)
-    covered = np.zeros(len(tokens) + 1, dtype=np.int64)
+def repeated_runs(pages: dict[int, list[str]], host: str = "", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(run, page) of the runs of min_run tokens in the pages (by number) of a host, each with its smallest min_pages pages."""
+    tokens, pages_of, names = _stream(list(pages.values()))
+    key, at = run_hashes(tokens, names, host, min_run)
+    if not len(at):
+        return np.empty(0, U64), np.empty(0, U64)
+    name = np.zeros(len(tokens), dtype=U64)
+    inside = np.zeros(len(tokens), dtype=bool)
+    name[at], inside[at] = key, True
+    # suffixes next to each other with at least min_run tokens in common begin with one run
     order, common = suffix_array(tokens)
-    # suffixes next to each other with at least min_run tokens in common make a group; its pages are counted once
-    edge = np.flatnonzero(common < min_run)
-    for a, b in zip(edge.tolist(), [*edge.tolist()[1:], len(order)]):
-        if b - a >= min_pages and len(np.unique(pages_of[order[a:b]])) >= min_pages:
-            covered[order[a:b]] += 1
-            covered[order[a:b] + min_run] -= 1
-    if known is not None and len(known):
-        key, at = run_hashes(tokens, names, host, min_run)
-        at = at[np.isin(key, known)]
-        covered[at] += 1
-        covered[at + min_run] -= 1
-    hit = np.cumsum(covered[:-1]) > 0
-    ends = np.cumsum([len(p) + 1 for p in pages])
-    return [hit[e - len(p) - 1 : e - 1] for e, p in zip(ends.tolist(), pages)]
-
-
-def unique_blocks(pages: list[list[str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, cover: float = COVER, host: str = "", known: np.ndarray | None = None) -> list[list[bool]]:
-    """For each page's blocks, whether they are kept: covered boilerplate goes, unique runs stay."""
-    words = [[b.split(" ") for b in page] for page in pages]
-    hits = repeated([[w for b in page for w in b] for page in words], min_run, min_pages, host, known)
-    out = []
-    for page, hit in zip(words, hits):
-        ends = np.cumsum([0, *map(len, page)])
-        out.append([bool(hit[a:b].mean() < cover) for a, b in zip(ends, ends[1:])])
-    return out
+    group = np.cumsum(common < min_run)
+    run = inside[order]
+    group, order = group[run], order[run]
+    page = np.array([*pages], dtype=U64)[pages_of[order]]
+    by = np.lexsort((page, group))
+    group, page, order = group[by], page[by], order[by]
+    first = np.append(True, (group[1:] != group[:-1]) | (page[1:] != page[:-1]))
+    group, page, order = group[first], page[first], order[first]
+    few = np.ones(len(group), dtype=bool)
+    few[min_pages:] = group[min_pages:] != group[: max(len(group) - min_pages, 0)]
+    return name[order][few], page[few]
+
+
+def outside(found: list[tuple[int, bool, str]]) -> list[list[str]]:
+    """The tokens of each block that stands outside of an article."""
+    return [t.split(" ") for root, _, t in found if not root]
+
+
+def covered(found: list[tuple[int, bool, str]], host: str, known: np.ndarray, min_run: int = MIN_RUN, cover: float = COVER) -> list[bool]:
+    """For each block outside of an article, whether known runs (sorted) cover it for the most part."""
+    words = outside(found)
+    tokens, _, names = _stream([[w for b in words for w in b]])
+    hits = np.zeros(len(tokens) + 1, dtype=np.int64)
+    key, at = run_hashes(tokens, names, host, min_run)
+    if len(known) and len(at):
+        at = at[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
+        np.add.at(hits, at, 1)
+        np.add.at(hits, at + min_run, -1)
+    total = np.append(0, np.cumsum(np.cumsum(hits[:-1]) > 0))
+    ends = np.cumsum([0, *map(len, words)])
+    return [bool(total[b] - total[a] >= cover * (b - a)) for a, b in zip(ends.tolist(), ends.tolist()[1:])]
+
+
+def decided(found: list[tuple[int, bool, str]]) -> bool:
+    """Whether markup alone tells the article: nothing else than noise stands outside, or one element has at least half of the text."""
+    clean = [(r, t) for r, noise, t in found if not noise]
+    inside, rest = (sum(len(t) for r, t in clean if (r > 0) == side) for side in (True, False))
+    return inside > 0 and (not rest or len({r for r, _ in clean if r}) == 1 and inside >= rest)
+
+
+ARRAY, MARKUP, STAYS = "array", "markup", "stays"
 
 
-def decided(found: list[tuple[int, str]]) -> bool:
-    """Whether markup alone tells the article: nothing stands outside, or one element has at least half of the text."""
-    inside, outside = (sum(len(t) for r, t in found if (r > 0) == side) for side in (True, False))
-    return inside > 0 and (not outside or len({r for r, _ in found if r}) == 1 and inside >= outside)
+def judged(found: list[tuple[int, bool, str]], host: str, known: np.ndarray, min_run: int = MIN_RUN, cover: float = COVER) -> list[str]:
+    """For each block what drops it, the array first, or that it stays."""
+    gone, sure = iter(covered(found, host, known, min_run, cover)), decided(found)
+    return [ARRAY if not root and next(gone) else MARKUP if noise or (sure and not root) else STAYS for root, noise, _ in found]
 
 
 def _host(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if url and "://" in url else ""
 
 
-def extract(pages: DataFrame, shard: int = SHARD, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+def _page(found: list[tuple[int, bool, str]]) -> int:
+    """What tells pages of a host apart: all their blocks."""
+    return _hash("\0".join(t for _, _, t in found))
+
+
+def usual_runs(rows: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, group: int = GROUP, held: int = HELD) -> DataFrame:
+    """key: the runs that at least min_pages distinct pages of a host have outside of their articles, from rows (url, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str, dict[int, list[str]]] = {}
+        sizes: dict[str, int] = {}
+
+        def out(names: list[str]) -> Iterator[pa.RecordBatch]:
+            made = [repeated_runs(hosts.pop(h), h, min_run, min_pages) for h in names]
+            for h in names:
+                del sizes[h]
+            for x in range(0, len(made), 100):
+                key, page = (np.concatenate(c).view(np.int64) for c in zip(*made[x : x + 100]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(page)], names=["key", "page"])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts, open_, fixed = [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                found = rooted_blocks(page or "")
-                sure = decided(found)
-                hosts.append(_host(url))
-                texts.append("\n\n".join(t for r, t in found if r) if sure else None)
-                open_.append(None if sure else [t for r, t in found if not r])
-                fixed.append(None if sure else [t if r else None for r, t in found])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(open_, pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "open", "fixed"])
-
-    parsed = settled(spark, rows.mapInArrow(parse, "page_id long, url string, host string, text string, open array<string>, fixed array<string>"), "pages")
-    left = parsed.where("open is not null")
-    shards = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("int")).select("host", "shards", "shard", "page_id", "url", "open", "fixed")
-
-    def passed_on(found: pa.Table) -> pa.Table:
-        """The runs of a shard, each with the smallest hashes of at most min_pages distinct pages."""
-        host, shard_ = found.column("host")[0].as_py(), found.column("shard")[0].as_py()
-        own = {_hash("\0".join(p)): [w for b in p for w in b.split(" ")] for p in found.column("open").to_pylist()}
-        tokens, pages_of, names = _stream(list(own.values()))
-        key, at = run_hashes(tokens, names, host, min_run)
-        page = np.array([*own], dtype=U64)[pages_of[at]]
-        by = np.lexsort((page, key))
-        key, page = key[by], page[by]
-        first = np.append(True, (key[1:] != key[:-1]) | (page[1:] != page[:-1]))[: len(key)]
-        key, page = key[first], page[first]
-        few = np.ones(len(key), dtype=bool)
-        few[min_pages:] = key[min_pages:] != key[: max(len(key) - min_pages, 0)]
-        key, page = key[few], page[few]
-        return pa.table({"host": pa.array([host] * len(key), pa.string()), "shard": pa.array([shard_] * len(key), pa.int32()), "key": pa.array(key.view(np.int64)), "page": pa.array(page.view(np.int64))})
-
-    runs = dealt.where("shards > 1").groupBy("host", "shard").applyInArrow(passed_on, "host string, shard int, key long, page long")
-    runs = settled(spark, runs, "runs")
-    usual = runs.groupBy("key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages).select("key")
-    usual = settled(spark, runs.select("host", "shard", "key").distinct().join(usual, "key"), "usual-runs")
-    discard(spark, runs)
-
-    def settle(found: pa.Table, known: pa.Table) -> pa.Table:
-        if not found.num_rows:
-            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-        host, keys = found.column("host")[0].as_py(), known.column("key").to_numpy().astype(np.int64).view(U64)
-        pages_, groups = found.column("open").to_pylist(), {}
-        for i, page in enumerate(pages_):
-            groups.setdefault(tuple(page), []).append(i)  # repeated rows count as one page
-        kept = unique_blocks([list(p) for p in groups], min_run, min_pages, host=host, known=keys)
-        texts, fixed = [""] * len(pages_), found.column("fixed").to_pylist()  # what an article has, and null for each undecided block
-        for (page, members), keep in zip(groups.items(), kept):
-            for i in members:
-                left_ = iter([b if k else None for b, k in zip(page, keep)])
-                texts[i] = "\n\n".join(b for b in [next(left_) if x is None else x for x in fixed[i]] if b is not None)
-        return pa.table({"page_id": found.column("page_id"), "url": found.column("url"), "text": pa.array(texts, pa.string())})
-
-    rest = dealt.groupBy("host", "shard").cogroup(usual.groupBy("host", "shard")).applyInArrow(settle, "page_id long, url string, text string")
-    whole = parsed.where("open is null").select("page_id", "url", "text").unionByName(rest)
-    return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+                found, host = blocks(page or ""), _host(url)
+                words = [w for b in outside(found) for w in b]
+                if len(words) < min_run:
+                    continue
+                hosts.setdefault(host, {})[_page(found)] = words
+                sizes[host] = sizes.get(host, 0) + len(words)
+                if sizes[host] > group:
+                    yield from out([host])
+            if sum(sizes.values()) > held:
+                yield from out(list(hosts))
+        yield from out(list(hosts))
+
+    runs = rows.select("url", "html").mapInArrow(run, "key long, page long")
+    return runs.groupBy("key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages).select("key")
+
+
+RESULT = "page_id long, url string, text string, by_array int, by_markup int"
+
+
+def _judge(batches: Iterator[pa.RecordBatch], known: Callable[[pa.RecordBatch, int], np.ndarray], min_run: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, array, markup = [], [], []
+        for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
+            found = blocks(page or "")
+            says = judged(found, _host(url), known(batch, i), min_run)
+            texts.append("\n\n".join(t for (_, _, t), x in zip(found, says) if x == STAYS))
+            array.append(says.count(ARRAY))
+            markup.append(says.count(MARKUP))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(array, pa.int32()), pa.array(markup, pa.int32())], names=[x.split()[0] for x in RESULT.split(", ")])
+
+
+def _joined(rows: DataFrame, usual: DataFrame, min_run: int) -> DataFrame:
+    """rows with the usual runs that each has, where these are too many to be broadcast: runs are joined, and come back by page."""
+    named = rows.withColumn("_row", F.xxhash64("url", "html"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, url, page in zip(batch.column("_row").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+                tokens, _, names = _stream([[w for b in outside(blocks(page or "")) for w in b]])
+                key = np.unique(run_hashes(tokens, names, _host(url), min_run)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row)), pa.array(key)], names=["_row", "key"])
+
+    runs = named.select("_row", "url", "html").mapInArrow(own, "_row long, key long").distinct()
+    mine = runs.join(usual, "key").groupBy("_row").agg(F.collect_set("key").alias("known"))
+    return named.join(mine, "_row", "left").select("page_id", "url", "html", "known")
+
+
+def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, group: int = GROUP, most_known: int = KNOWN) -> DataFrame:
+    """page_id, url, text, n_chars, and how many blocks the array and the markup dropped, of each row of pages (page_id, url, html)."""
+    spark = pages.sparkSession
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    usual = settled(spark, usual_runs(rows, min_run, min_pages, group), "usual-runs")
+    if usual.limit(most_known + 1).count() <= most_known:
+        runs = spark.sparkContext.broadcast(np.sort(usual.toPandas()["key"].to_numpy(dtype=np.int64).view(U64)))
+        discard(spark, usual)
+        out = rows.mapInArrow(lambda batches: _judge(batches, lambda *_: runs.value, min_run), RESULT)
+    else:
+        none = np.empty(0, U64)
+
+        def own(batch: pa.RecordBatch, i: int) -> np.ndarray:
+            x = batch.column("known")[i]
+            return np.sort(x.values.to_numpy().view(U64)) if x.is_valid else none
+
+        out = _joined(rows, usual, min_run).mapInArrow(lambda batches: _judge(batches, own, min_run), RESULT)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_array", "by_markup")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

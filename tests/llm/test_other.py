@@ -1,7 +1,10 @@
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter
+from xml.etree import ElementTree
 
 import duckdb
 import numpy as np
@@ -36,9 +39,11 @@ def test_urls(spark):
 
 def test_blocks():
     page = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="has-sidebar"><header>top</header><nav><ul><li>menu</ul></nav><div class="cookie-notice">c</div><div class="ad">buy</div><article><div class="entry-header"><h1>A &amp; B</h1></div><p>one<br>two <b>bo</b>ld<p>three<ul><li>a<li>b</ul><aside>side</aside><form><input>go</form><p class="ad-slot">x</p><pre>y\n  z &lt;</pre></article><section id="comments"><article>nice</article></section><footer>&copy; f</footer></body></html>'
-    assert [t for a, t in extract.blocks(page) if a] == ["A & B", "one two bold", "three", "a", "b", "y z <"]
-    assert extract.blocks("") == [] and extract.blocks("<p") == [(False, "<p")] and extract.blocks("just text") == [(False, "just text")]
-    assert extract.blocks("<script>x") == [] and extract.blocks("a<!-- b --><b>c</b>") == [(False, "ac")]
+    assert [t for root, noise, t in extract.blocks(page) if root and not noise] == ["A & B", "one two bold", "three", "a", "b", "y z <"]
+    assert [t for root, noise, t in extract.blocks(page) if not root] == ["top", "menu", "c", "buy", "nice", "© f"]
+    assert extract.blocks("") == [] and extract.blocks("<p") == [(0, False, "<p")] and extract.blocks("just text") == [(0, False, "just text")]
+    assert extract.blocks("<script>x") == [] and extract.blocks("a<!-- b --><b>c</b>") == [(0, False, "ac")]
+    assert extract.blocks("<p>a <span class=ad>no</span>b") == [(0, False, "a b"), (0, True, "no")]
     assert len(extract.blocks("<p>x" * 5000)) == 5000
 
 
@@ -54,17 +59,123 @@ def test_suffix_array_against_sorting():
             assert common[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
 
-def test_repeated_runs_against_counting():
+@pytest.mark.parametrize("name, inside, elsewhere", [("ad", True, True), ("ad-slot", True, True), ("social-share-buttons", True, True), ("share-price", False, True), ("related-work", False, True), ("comments-policy", False, True), ("entry-header", False, True), ("has-sidebar", False, False), ("advance", False, False)])
+def test_class_words(name, inside, elsewhere):
+    assert extract.blocks(f'<article><p class="{name}">x</p></article>') == [(1, inside, "x")]
+    assert extract.blocks(f'<div class="{name}">x</div>') == [(0, elsewhere, "x")]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "</span>" * 8000, "<p><button>" + "<b>" * 60000 + "<p></p>" * 30000, "<div><article>" + "<b>" * 60000 + "</div>" * 60000, "<div class='" * 40000, "<p>x" * 200000, "<a " * 200000, "&amp;" * 200000])
+def test_long_pages_take_linear_time(page):
+    began = time.perf_counter()
+    extract.blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_runs_against_counting():
     rnd = random.Random(2)
     for _ in range(20):
-        pages = [[rnd.choice("abc") for _ in range(rnd.randint(0, 30))] for _ in range(6)]
+        pages = {k + 1: [rnd.choice("abc") for _ in range(rnd.randint(0, 30))] for k in range(6)}
         where = {}
-        for k, p in enumerate(pages):
+        for k, p in pages.items():
             for i in range(len(p) - 3):
                 where.setdefault(tuple(p[i : i + 4]), set()).add(k)
-        for p, hit in zip(pages, extract.repeated(pages, 4, 3)):
+        key, page = extract.repeated_runs(pages, "h", 4, 3)
+        got = {}
+        for k, p in zip(key.tolist(), page.tolist()):
+            got.setdefault(k, []).append(p)
+        assert sorted(got.values()) == sorted(sorted(v)[:3] for v in where.values())
+        known = np.sort(np.array([k for k, v in got.items() if len(v) >= 3], dtype=np.uint64))
+        for p in pages.values():
+            found = [(0, False, w) for w in p]
             want = [any(len(where[tuple(p[j : j + 4])]) >= 3 for j in range(max(0, i - 3), i + 1) if j + 4 <= len(p)) for i in range(len(p))]
-            assert hit.tolist() == want
+            assert extract.covered(found, "h", known, 4) == want
+            assert extract.covered(found, "g", known, 4) == [False] * len(p)
+
+
+def page_of(rnd, host):
+    """A random page as a tree that an XML parser reads too."""
+    some = lambda n, top=10**6: " ".join(f"w{rnd.randrange(top)}" for _ in range(n))
+    usual = [" ".join(f"{host}{k}x{i}" for i in range(4 + 3 * k)) for k in range(4)]
+
+    def block(depth):
+        kind = rnd.random()
+        if kind < 0.45:
+            return f"<p>{some(rnd.randint(1, 25))} <b>{some(1)}</b></p>"
+        if kind < 0.65:
+            return f"<div>{rnd.choice(usual)}</div>"
+        if kind < 0.75:
+            return f'<div class="{rnd.choice(["ad", "cookie-notice", "related", "price", "share-price"])}">{some(rnd.randint(1, 9))}</div>'
+        if kind < 0.85:
+            return f"<{(t := rnd.choice(['nav', 'aside', 'footer', 'form', 'header']))}>{rnd.choice([some(3), usual[3]])}</{t}>"
+        return f"<section>{''.join(block(depth + 1) for _ in range(rnd.randint(0, 3)))}</section>" if depth < 3 else ""
+
+    article = lambda: f"<article>{''.join(block(1) for _ in range(rnd.randint(1, 5)))}</article>"
+    body = [block(0) for _ in range(rnd.randint(0, 6))] + [article() for _ in range(rnd.choice([0, 0, 1, 1, 2]))]
+    rnd.shuffle(body)
+    return f"<html><body>{''.join(body)}</body></html>"
+
+
+def brute_blocks(page):
+    """(article number or 0, noise, text) by an XML tree and the rules as the docstring has them."""
+    out, count = [], [0]
+
+    def walk(e, root, noise):
+        names = set(re.split(r"[^a-z]+", e.get("class", ""))) - {""}
+        if e.tag in ("nav", "aside", "footer", "form") or e.tag == "header" and not root:
+            noise = True
+        marks = names & {"ad", "cookie", "notice", "related", "share"}
+        if marks and (not root or names == marks):
+            noise = True
+        if e.tag == "article" and not root:
+            count[0] += 1
+            root = count[0]
+        if e.tag in ("p", "b") or not len(e):
+            text = " ".join("".join(e.itertext()).split())
+            out.extend([(root, noise, text)] if text else [])
+        else:
+            for child in e:
+                walk(child, root, noise)
+
+    walk(ElementTree.fromstring(page), 0, False)
+    return out
+
+
+def brute_extract(pages):
+    """page_id -> text: runs are counted as tuples over all pages of a host."""
+    where, parsed = {}, {i: (url.split("/")[2], brute_blocks(h)) for i, url, h in pages}
+    for host, found in parsed.values():
+        words = [w for root, _, t in found if not root for w in t.split()]
+        for j in range(len(words) - 4):
+            where.setdefault((host, *words[j : j + 5]), set()).add(tuple(t for _, _, t in found))
+    out = {}
+    for i, (host, found) in parsed.items():
+        words = [w for root, _, t in found if not root for w in t.split()]
+        hit = [any(len(where[(host, *words[j : j + 5])]) >= 3 for j in range(max(0, k - 4), k + 1) if j + 5 <= len(words)) for k in range(len(words))]
+        clean = [(r, t) for r, noise, t in found if not noise]
+        inside, beside = sum(len(t) for r, t in clean if r), sum(len(t) for r, t in clean if not r)
+        sure = inside and (not beside or len({r for r, _ in clean if r}) == 1 and inside >= beside)
+        kept, at = [], 0
+        for root, noise, t in found:
+            if root:
+                kept += [] if noise else [t]
+                continue
+            n = len(t.split())
+            gone, at = sum(hit[at : at + n]) >= 0.8 * n, at + n
+            kept += [] if gone or noise or sure else [t]
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("parts, group, known", [(1, 10**5, 10**6), (7, 10**5, 10**6), (7, 30, 10**6), (3, 10**5, 0), (7, 1, 3)])
+def test_extraction_against_brute_force(spark, parts, group, known):
+    rnd = random.Random(12)
+    pages = [(i, f"https://{(h := rnd.choice(['a.org', 'a.org', 'b.org']))}/{i}", page_of(rnd, h[0])) for i in range(150)]
+    df = spark.createDataFrame([*pages, pages[0], pages[0]], "page_id long, url string, html string").repartition(parts).withColumn("_row", F.lit("mine")).withColumn("known", F.lit("mine")).withColumn("a.b", F.lit(1))
+    got = extract.extract(df, group=group, most_known=known).collect()
+    want = brute_extract(pages)
+    assert len(got) == len(pages) + 2 and {r["page_id"]: r["text"] for r in got} == want and sum(r["by_array"] for r in got) > 100
+    assert any(want.values()) and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
 def test_pages_without_an_article(spark):
@@ -72,12 +183,11 @@ def test_pages_without_an_article(spark):
     boiler = "all rights reserved by the host of these pages"
     own = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(30)) for _ in range(12)]
     pages = [(i, f"https://h.org/{i}", f"<div>{boiler}</div><div>{t}</div>") for i, t in enumerate(own)] + [(50, "https://h.org/x", None), (51, None, ""), (52, "https://h.org/y", "<main><p>m</main>")]
-    df = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string").withColumn("text", F.lit("mine")).withColumn("shard", F.lit(1))
-    for shard in (400, 4):
-        got = {r["page_id"]: r["text"] for r in extract.extract(df, shard=shard).collect()}
-        assert got == {**dict(enumerate(own)), 50: "", 51: "", 52: "m"} or shard == 4 and sum(got[i] == own[i] for i in range(12)) >= 6
+    df = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
+    for group in (10**5, 20):
+        got = {r["page_id"]: r["text"] for r in extract.extract(df.repartition(4), group=group).collect()}
+        assert got == {**dict(enumerate(own)), 50: "", 51: "", 52: "m"}
     assert extract.extract(df).count() == len(pages) + 1 and extract.extract(df.limit(0)).count() == 0
-    assert all(r["n_chars"] == len(r["text"]) for r in extract.extract(df).collect())
 
 
 def test_text_beside_small_articles_stays(spark):
@@ -91,21 +201,6 @@ def test_text_beside_small_articles_stays(spark):
     assert got == {**{i: f"card {i} one\n\n{t}" + (f"\n\ncard {i} two" if i % 2 else "") for i, t in enumerate(own)}, 10: own[0]}
 
 
-def test_boilerplate_is_counted_over_the_host(spark):
-    rnd = random.Random(4)
-    boiler, seldom = "all rights reserved by the host of these pages", "three pages of sixty have this very passage"
-    twice = "only two pages of the host share this line"
-    own = [" ".join(f"w{rnd.randint(0, 99999)}" for _ in range(30)) for _ in range(60)]
-    more = {0: seldom, 20: seldom, 40: seldom, 1: twice, 50: twice}
-    pages = [(i, f"https://h.org/{i}", f"<div>{boiler}</div><div>{t}</div>" + (f"<div>{more[i]}</div>" if i in more else "")) for i, t in enumerate(own)]
-    pages += [(100 + i, f"https://g.org/{i}", f"<div>{seldom}</div><div>{own[i]}</div>") for i in range(2)]
-    df = spark.createDataFrame([*pages, pages[0], pages[1], pages[1]], "page_id long, url string, html string")
-    want = {i: t + (f"\n\n{twice}" if more.get(i) == twice else "") for i, t in enumerate(own)} | {100 + i: f"{seldom}\n\n{own[i]}" for i in range(2)}
-    for shard in (400, 4, 1):
-        got = extract.extract(df, shard=shard).collect()
-        assert len(got) == len(pages) + 3 and {r["page_id"]: r["text"] for r in got} == want
-
-
 # ---- secrets
 
 
