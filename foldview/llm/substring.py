@@ -10,28 +10,32 @@ What keeps the shuffles small, without leaving a case out:
   * minimisers met in one document only cannot mark anything and do not travel: minimisers are counted first, as
     numbers, and only documents with a shared one are read again;
   * a packed string that its task has sent before for a smaller doc_id is marked on the spot.
-A minimiser shared by more than `hot` documents is split by the hash of the window itself, so equal windows still
-meet and no bucket gathers more than a part of it.
+A minimiser with more than `most` strings has several buckets, and a string goes to one of them by its document and
+place.  Each bucket is sorted as any other; of the windows that it leaves unmarked, the hash, document and place go on,
+and the smallest document of a window over all buckets of its minimiser is found by that hash.  So strings travel once,
+whole, and no task gathers a minimiser, or a window, that a large part of all documents share.
 
 Windows are compared by 128 bits of hash over 64-bit word hashes.  Defined results: null text counts as empty; texts
 below one window lose nothing; windows that repeat inside one document, or in rows of equal doc_id, do not mark each
-other; rows with a null doc_id neither mark nor lose anything; repeated rows are each marked alike; an empty table
-gives an empty table; extra columns are ignored by `removed` and kept by `without_repeats`.
+other; rows with a null doc_id neither mark nor lose anything; repeated rows are each marked alike; very long texts are
+cut whole, their strings travelling apart; an empty table gives an empty table; extra columns are ignored by `removed` and kept by `without_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _R, _R_INV, U64, Words, _power, discard, settled, splitmix, string_chunks, table
+from .common import _R, _R_INV, U64, Words, _power, discard, needed, numbered, settled, splitmix, string_chunks, table, with_texts
 
-WINDOW, GRAM, HOT = 50, 8, 50_000
+WINDOW, GRAM, MOST_STRINGS = 50, 8, 1_000
 MOST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,12 +86,11 @@ def runs_of(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, h (tells rows of equal doc_id apart), text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return needed(docs, doc_id="long", text="string").fillna("", ["text"]).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
 def _sequences(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, h, n, s1, s2 (hash of the word sequence) and the distinct minimisers of each document."""
+    """doc_id, h, n, s1, s2 (hash of the word sequence), the distinct minimisers of each document and the runs of windows that each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +106,17 @@ def _sequences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 starts, low = minimisers(words, window, gram)
                 first, _ = runs_of(starts, low)
                 doc = np.searchsorted(words.first, starts[first], side="right") - 1
-                pair = np.unique(np.rec.fromarrays([doc, low[first]])) if len(first) else None
-                owner, value = (pair.f0, pair.f1.view(np.int64)) if pair is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-                cuts = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value))
+                owner, value = doc, low[first].view(np.int64)
+                by = np.lexsort((value, owner))
+                owner, value = owner[by], value[by]
+                own = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))) if len(owner) else np.empty(0, np.int64)
+                count = np.diff(np.append(own, len(owner))).astype(np.int32)
+                cuts = pa.array(np.searchsorted(owner[own], np.arange(b - a + 1)).astype(np.int32))
+                lists, counts = pa.ListArray.from_arrays(cuts, pa.array(value[own])), pa.ListArray.from_arrays(cuts, pa.array(count))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], names=["doc_id", "h", "n", "s1", "s2", "ms"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists, counts], names=["doc_id", "h", "n", "s1", "s2", "ms", "cs"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, ms array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, ms array<long>, cs array<int>")
 
 
 SENT = "m long, salt int, doc_id long, h long, start long, n long, packed binary"
@@ -130,7 +136,6 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                 low = low.view(np.int64)
                 doc = np.searchsorted(words.first, starts, side="right") - 1
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
-                identity = None
                 for d in range(b - a):
                     lo, hi = cuts[d], cuts[d + 1]
                     if lo == hi:
@@ -140,15 +145,8 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                     order = np.array(sorted(wanted), dtype=np.int64)
                     at = np.minimum(np.searchsorted(order, key), len(order) - 1)
                     good = np.flatnonzero(order[at] == key)
-                    parts = np.array([wanted[int(x)] for x in order], dtype=np.int64)[at]
-                    salt = np.zeros(hi - lo, dtype=np.int64)
-                    if (parts > 1).any():
-                        if identity is None:
-                            identity = window_hashes(words, window, 0x77)
-                        salt = (identity[starts[lo:hi]] >> U64(40)).astype(np.int64) % parts
-                    key, salt, where = key[good], salt[good], starts[lo:hi][good]
-                    both = np.rec.fromarrays([key, salt])
-                    first, count = runs_of(where, both)
+                    key, where = key[good], starts[lo:hi][good]
+                    first, count = runs_of(where, key)
                     tokens = raw[offsets[d] : offsets[d + 1]].tobytes().split()
                     base = int(words.first[d])
                     for f, c in zip(first.tolist(), count.tolist()):
@@ -162,15 +160,21 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                             if len(sent) > 300_000:
                                 sent.clear()
                             sent[mark] = ids[a + d]
-                        rows.append((int(key[f]), int(salt[f]), ids[a + d], hs[a + d], s, c, packed))
+                        parts = wanted[int(key[f])]
+                        # by document, version and place, so that strings of one document are dealt out too
+                        salt = 1 + zlib.crc32(struct.pack("<qqq", ids[a + d], hs[a + d], s)) % parts if parts > 1 else 0
+                        rows.append((int(key[f]), salt, ids[a + d], hs[a + d], s, c, packed))
                 cols = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in SENT.split(", ")])
 
     return flagged.mapInArrow(run, SENT)
 
 
-def _mark_block(doc: np.ndarray, packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, first window, windows) runs of marked windows, of whole buckets: sort all windows, compare each with the first of its kind."""
+def _mark_block(doc: np.ndarray, packed: list[bytes], window: int, split: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(string, first window, windows) runs of marked windows of whole buckets: sort all windows, compare each with the first of its kind.
+
+    And (string, window, hash, hash) of the windows that are left over of strings whose minimiser is split.
+    """
     offsets = np.append(0, np.cumsum([len(p) for p in packed]))
     words = Words(np.frombuffer(b"".join(packed), np.uint8), offsets)
     starts = valid_starts(words, window)
@@ -184,30 +188,35 @@ def _mark_block(doc: np.ndarray, packed: list[bytes], window: int) -> tuple[np.n
     marked[order] = smallest < ids[order]
     at = np.flatnonzero(marked)
     first, count = runs_of(starts[at], owner[at])
-    return owner[at][first], starts[at][first] - words.first[owner[at][first]], count
+    left = np.flatnonzero(~marked & split[owner])
+    return (owner[at][first], starts[at][first] - words.first[owner[at][first]], count), (owner[left], starts[left] - words.first[owner[left]], h1[left], h2[left])
 
 
-MARKS = "doc_id long, h long, start long, n long"
+#: runs of marked windows (k1 and k2 are null), and single windows that may be marked by another bucket of their minimiser
+FOUND = "doc_id long, h long, start long, n long, k1 long, k2 long"
 
 
 def _buckets(sent: DataFrame, window: int, block: int = 4 << 20) -> DataFrame:
-    """MARKS from packed strings that are sorted by bucket within their partition."""
+    """FOUND from packed strings that are sorted by bucket within their partition; a bucket of a split minimiser is worked off in blocks."""
 
-    def out(doc: list, h: list, start: list, packed: list) -> pa.RecordBatch:
-        owner, at, count = _mark_block(np.array(doc, dtype=np.int64), packed, window)
-        pick = lambda x: np.array(x, dtype=np.int64)[owner]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (pick(doc), pick(h), pick(start) + at, count.astype(np.int64))], names=["doc_id", "h", "start", "n"])
+    def out(doc: list, h: list, start: list, packed: list, salts: list) -> pa.RecordBatch:
+        (owner, at, count), (other, place, h1, h2) = _mark_block(np.array(doc, dtype=np.int64), packed, window, np.array(salts) > 0)
+        pick = lambda x: np.array(x, dtype=np.int64)[np.append(owner, other)]
+        null = pa.nulls(len(owner), pa.int64())
+        hashes = [pa.concat_arrays([null, pa.array(k.view(np.int64))]) for k in (h1, h2)]
+        n = np.append(count, np.ones(len(other), np.int64)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (pick(doc), pick(h), pick(start) + np.append(at, place), n)), *hashes], names=["doc_id", "h", "start", "n", "k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         size, last = 0, None
         for batch in batches:
             keys = list(zip(batch.column("m").to_pylist(), batch.column("salt").to_pylist()))
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "h", "start", "packed")]
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "h", "start", "packed", "salt")]
             for key, *row in zip(keys, *cols):
-                if key != last and size > block:
+                if size > block and (key != last or key[1]):  # what blocks of one bucket leave meets as that of several buckets does
                     yield out(*held)
-                    held, size = ([], [], [], []), 0
+                    held, size = ([], [], [], [], []), 0
                 last = key
                 for x, v in zip(held, row):
                     x.append(v)
@@ -215,29 +224,33 @@ def _buckets(sent: DataFrame, window: int, block: int = 4 << 20) -> DataFrame:
         if held[0]:
             yield out(*held)
 
-    return sent.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(run, MARKS)
+    return sent.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(run, FOUND)
 
 
-def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, h and an array of (start, n) runs of marked windows, for documents that have any; n = -1: all windows."""
     spark = docs.sparkSession
     keyed = _keyed(docs).where("doc_id is not null")
     seen = settled(spark, _sequences(keyed, window, gram).where(F.col("n") >= window), "sequences")
-    classes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h"))["h"].alias("rep_h"), F.first("ms").alias("ms"))
+    classes = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "h"))["h"].alias("rep_h"), F.first(F.arrays_zip("ms", "cs")).alias("ms"))
     # the classes' minimisers are counted and joined back: read once, used twice
-    entries = settled(spark, classes.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), F.explode("ms").alias("m")), "minimisers")
-    shared = entries.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
-    shared = shared.select("m", F.greatest(F.ceil(F.col("c") / hot), F.lit(1)).cast("int").alias("salts"))
+    entries = settled(spark, classes.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), F.explode("ms").alias("x")).select("doc_id", "h", F.col("x.ms").alias("m"), F.col("x.cs").alias("c")), "minimisers")
+    shared = entries.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("c").alias("c")).where("lo < hi")
+    shared = shared.select("m", F.ceil(F.col("c") / most).cast("int").alias("salts"))
     flags = entries.join(shared, "m").groupBy("doc_id", "h").agg(F.collect_list(F.struct("m", "salts")).alias("x"))
     flags = flags.select("doc_id", "h", F.col("x.m").alias("ms"), F.col("x.salts").alias("salts"))
     sent = settled(spark, _super_kmers(keyed.join(flags, ["doc_id", "h"]), window, gram), "super-kmers")
     discard(spark, entries)
-    at_once = sent.where("packed is null").select("doc_id", "h", "start", "n")
+    at_once = sent.where("packed is null").select("doc_id", "h", "start", "n", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"))
     found = settled(spark, at_once.unionByName(_buckets(sent.where("packed is not null"), window)), "marked")
     discard(spark, sent)
+    # of a split minimiser's windows each bucket names those of its smallest document: at most one a bucket, and rows of one document
+    least = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
+    across = found.where("k1 is not null").withColumn("least", least).where("least < doc_id").select("doc_id", "h", "start", "n")
     reps = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s1", "s2", "rep")
     copies = seen.join(reps, ["s1", "s2"]).where("doc_id > rep").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n"))
-    return found.unionByName(copies).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    whole = found.where("k1 is null").select("doc_id", "h", "start", "n").unionByName(across).unionByName(copies)
+    return whole.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
 def _gone(n_words: int, runs: list[dict] | None, window: int) -> np.ndarray:
@@ -251,9 +264,9 @@ def _gone(n_words: int, runs: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs (doc_id, text)."""
-    found = marks(docs, window, gram, hot)
+    found = marks(docs, window, gram, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,13 +283,14 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     return _keyed(docs).join(found, ["doc_id", "h"], "left").select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST_STRINGS) -> DataFrame:
     """docs without the covered words; white space between words that stay is kept; n_chars, where there is one, follows."""
     import re
 
-    found = marks(docs, window, gram, hot).withColumnsRenamed({"doc_id": "_d", "h": "_h", "marks": "_marks"})
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(found, (keyed["doc_id"].cast("long") == F.col("_d")) & (F.col("_key") == F.col("_h")), "left").select(*[keyed[c] for c in docs.columns], "_marks")
+    found = marks(docs, window, gram, most).withColumnRenamed("doc_id", "d")
+    plain, doc, text = numbered(docs), *(f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    joined = plain.join(found, (F.col(doc).cast("long") == F.col("d")) & (key == F.col("h")), "left").select(*plain.columns, "marks")
     at, solid = docs.columns.index("text"), re.compile(r"[^\x20\x09-\x0D]+")
 
     def cut(text: str, runs: list[dict]) -> str:
@@ -296,8 +310,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             new = pa.array([cut(texts[i].as_py(), runs[i].as_py()) if runs[i].is_valid and texts[i].is_valid else texts[i].as_py() for i in range(batch.num_rows)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 : -1]], names=batch.schema.names[:-1])
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return with_texts(docs, joined.mapInArrow(run, plain.schema))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -31,9 +32,9 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window, gram, hot", [(50, 8, 50_000), (50, 8, 2), (7, 3, 50_000), (7, 3, 3), (5, 5, 4)])
-def test_against_brute_force(frame, odd_rows, window, gram, hot):
-    got = substring.removed(frame(odd_rows), window, gram, hot)
+@pytest.mark.parametrize("window, gram, most", [(50, 8, 1000), (50, 8, 1), (7, 3, 1000), (7, 3, 3), (5, 5, 1)])
+def test_against_brute_force(frame, odd_rows, window, gram, most):
+    got = substring.removed(frame(odd_rows), window, gram, most)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(odd_rows, window)
 
 
@@ -41,6 +42,35 @@ def test_windows_inside_one_document_do_not_count(frame):
     assert brute([(1, "a b " * 60)], 50) == sorted(tuple(r) for r in substring.removed(frame([(1, "a b " * 60, "en", "s", 1)])).collect())
 
 
+@pytest.mark.parametrize("most", [1000, 30, 1])
+def test_a_passage_that_very_many_share(frame, most):
+    """Its windows inside are alike in all documents, those at its edges are not."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(70)]
+    some = lambda n: [f"x{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(some(rnd.randint(0, 90)) + passage[: rnd.choice([70, 70, 55])] + some(rnd.randint(0, 90))), "en", "s", 1) for i in range(300)]
+    rows.append((5, " ".join(passage * 3), "en", "s", 1))
+    got = substring.removed(frame(rows, 7), most=most)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 50)
+
+
+def test_blocks_of_one_bucket(frame, spark):
+    """A bucket of a split minimiser that is worked off in several blocks marks the same windows."""
+    rows = [(i, " ".join([f"x{i}", *(f"p{k}" for k in range(60)), f"y{i % 7}"]), "en", "s", 1) for i in range(40)]
+    keyed = substring._keyed(frame(rows))
+    seen = substring._sequences(keyed, 50, 8)
+    salted = seen.select("doc_id", "h", "ms", F.transform("ms", lambda _: F.lit(3)).alias("salts"))
+    sent = substring._super_kmers(keyed.join(salted, ["doc_id", "h"]), 50, 8).where("packed is not null").persist()
+    marked = []
+    for block in (4 << 20, 500):
+        found = substring._buckets(sent, 50, block)
+        least = found.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+        own = [(r["doc_id"], r["start"] + k) for r in found.where("k1 is null").collect() for k in range(r["n"])]
+        marked.append(sorted(own + [tuple(r) for r in found.join(least, ["k1", "k2"]).where("least < doc_id").select("doc_id", "start").collect()]))
+    assert marked[0] == marked[1] and len(set(marked[0])) == len(marked[0]) > 39
+    sent.unpersist()
+
+
 def test_empty_table_and_clashing_columns(frame, corpus):
     assert substring.removed(frame([])).count() == 0
     df = frame(corpus).withColumn("h", F.lit(1)).withColumn("marks", F.lit("x")).withColumn("_key2", F.lit(1))
