@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import reachable, work_dir
 
@@ -42,6 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, … by place: names that no other column can clash with, whatever df's are."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def needed(df: DataFrame, **kinds: str) -> DataFrame:
+    """The columns of these very names, cast to their kinds; df may have others that differ in case alone, or with dots."""
+    plain = numbered(df)
+    return plain.select(*[F.col(f"_{df.columns.index(c)}").cast(k).alias(c) for c, k in kinds.items()])
+
+
+def with_texts(df: DataFrame, plain: DataFrame) -> DataFrame:
+    """plain, which is df numbered with another text, under df's names; n_chars, where there is one, follows the text."""
+    if "n_chars" in df.columns:
+        n, text = f"_{df.columns.index('n_chars')}", f"_{df.columns.index('text')}"
+        plain = plain.withColumn(n, F.coalesce(F.length(text), F.lit(0)).cast(df.schema.fields[df.columns.index("n_chars")].dataType))
+    return plain.toDF(*df.columns)
+
+
 #: settled stages of this process that are not discarded yet
 _written: list[str] = []
 

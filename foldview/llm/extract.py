@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, discard, settled, splitmix, table
+from .common import U64, discard, needed, settled, splitmix, table
 
 MIN_RUN, MIN_PAGES, COVER = 5, 3, 0.8
 #: tokens of one suffix array, tokens that a task holds, and runs that are broadcast (8 bytes each), at most
@@ -349,7 +349,7 @@ def _joined(rows: DataFrame, usual: DataFrame, min_run: int) -> DataFrame:
 def extract(pages: DataFrame, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, group: int = GROUP, most_known: int = KNOWN) -> DataFrame:
     """page_id, url, text, n_chars, and how many blocks the array and the markup dropped, of each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = needed(pages, page_id="long", url="string", html="string")
     usual = settled(spark, usual_runs(rows, min_run, min_pages, group), "usual-runs")
     if usual.limit(most_known + 1).count() <= most_known:
         runs = spark.sparkContext.broadcast(np.sort(usual.toPandas()["key"].to_numpy(dtype=np.int64).view(U64)))

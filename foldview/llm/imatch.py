@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cleaned, string_chunks, table
+from .common import U64, Words, cleaned, needed, string_chunks, table
 
 IDF_LOW, IDF_HIGH = 1.0, 5.3
 SUBSETS, KEEP = 64, 0.016
@@ -217,7 +217,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH, subsets: int = SUBSETS, keep: float = KEEP) -> DataFrame:
     """ROW for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = needed(docs, doc_id="long", text="string").fillna("", ["text"])
     terms, key = spark.sparkContext.broadcast(lexicon(docs, idf_low, idf_high)), uuid.uuid4().hex
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     names = [x.split()[0] for x in ROW.split(", ")]

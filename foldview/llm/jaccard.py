@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, discard, settled, splitmix, string_chunks, table
+from .common import U64, Words, discard, numbered, settled, splitmix, string_chunks, table
 from .components import components
 from .substring import _keyed
 
@@ -440,12 +440,13 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their component; of rows of equal doc_id the one with the smallest text stays."""
     found = settled(docs.sparkSession, linked(docs, k, percent), "linked")
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    ranked = out.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
-    return ranked.where("_rank = 1 or doc_id is null").drop("_rank")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    plain, doc, text = numbered(docs), *(f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    out = plain.join(gone, F.col(doc).cast("long") == F.col("gone"), "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.col(text).asc_nulls_last())))
+        out = ranked.where((F.col("rank") == 1) | F.col(doc).isNull()).drop("rank")
+    return out.toDF(*docs.columns)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

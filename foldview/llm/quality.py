@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import needed, numbered, settled, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_GROUP = 100
@@ -106,7 +106,7 @@ def fences(hist: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def _judged(docs: DataFrame, min_group: int) -> DataFrame:
     """Every row's measures and verdict, with _h, which tells rows of equal doc_id apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    docs = needed(docs, doc_id="long", text="string", lang="string", source="string").withColumn("_h", F.xxhash64("text"))
     base = measured(docs).drop("text").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rated = settled(docs.sparkSession, _rates(base), "quality")  # measured once, used by the sketches and by the filter
     f = fences(sketches(rated), min_group).withColumnsRenamed({"lang": "_l", "source": "_s"})
@@ -124,9 +124,10 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    kept = _judged(docs, min_group).where("kept").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).distinct()
-    own = F.xxhash64(F.col("text").cast("string")) == F.col("_k")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & own, "left_semi")
+    kept = _judged(docs, min_group).where("kept").select(F.col("doc_id").alias("d"), F.col("_h").alias("h")).distinct()
+    plain, doc, text = numbered(docs), *(f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    own = F.xxhash64(F.col(text).cast("string")) == F.col("h")
+    return plain.join(kept, F.col(doc).cast("long").eqNullSafe(F.col("d")) & own, "left_semi").toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

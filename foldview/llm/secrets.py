@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, needed, numbered, table, with_texts
 
 MASK = "[SECRET]"
 CUT = 0.5
@@ -212,18 +211,19 @@ def scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> Dat
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()))], names=["doc_id", "start", "end", "kind", "value_sha256", "score", "is_secret"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).mapInArrow(run, "doc_id long, start long, end long, kind string, value_sha256 string, score double, is_secret boolean")
+    return needed(docs, doc_id="long", text="string", source="string").mapInArrow(run, "doc_id long, start long, end long, kind string, value_sha256 string, score double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> DataFrame:
     """docs with every secret of text replaced by MASK; all rows and columns stay."""
     model = bounded(docs.sparkSession).sparkContext.broadcast(forest or train())
-    at = docs.columns.index("text")
+    plain, at = numbered(docs), docs.columns.index("text")
+    path = docs.columns.index("source") if "source" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            paths = batch.column(batch.schema.get_field_index("source")).to_pylist() if "source" in batch.schema.names else [None] * batch.num_rows
+            paths = batch.column(path).to_pylist() if path is not None else [None] * batch.num_rows
             changed = {}
             for i, text, found in _judged(texts, paths, model.value):
                 if spans := [(a, b) for a, b, _, p in found if p >= cut]:
@@ -235,8 +235,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> D
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], texts.type))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return with_texts(docs, plain.mapInArrow(run, plain.schema))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

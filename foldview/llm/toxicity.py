@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, U64, settled, splitmix, string_chunks, table
+from .common import _LOWER, _SPACE, U64, needed, settled, splitmix, string_chunks, table
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -164,7 +164,7 @@ def score(docs: DataFrame, slots: np.ndarray, weights: np.ndarray, bias: float)
                 total[a:b] += np.bincount(doc, value[slot], b - a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return needed(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,13 +173,13 @@ def held_out(doc_id: Column) -> Column:
 
 def learnable(labels: DataFrame) -> DataFrame:
     """_id, toxic of the labelled documents outside the held-out fold."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    labels = needed(labels, doc_id="long", toxic="int").withColumnRenamed("doc_id", "_id").where("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     return labels.where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """_id, toxic of each row of docs that has a learnable label."""
-    return docs.select(F.col("doc_id").cast("long").alias("_doc")).join(learnable(labels), F.col("_doc") == F.col("_id")).select("_id", "toxic")
+    return needed(docs, doc_id="long").withColumnRenamed("doc_id", "_doc").join(learnable(labels), F.col("_doc") == F.col("_id")).select("_id", "toxic")
 
 
 def class_counts(marks: DataFrame) -> tuple[int, int]:
@@ -193,7 +193,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITI
     labels = learnable(labels)
     by_hash = lambda c, n: labels.where(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = by_hash(1, max_positive).unionByName(by_hash(0, max_negative))
-    return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "text", "toxic")
+    return needed(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "_doc").join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "text", "toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:

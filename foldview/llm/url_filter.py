@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import needed, table
 
 STRICT = ("porn", "porno", "xxx", "casino", "viagra", "cialis", "hentai", "escorts", "torrent", "warez", "camgirls", "sportsbook")
 SOFT = ("adult", "x", "sex", "cheap", "pills", "pharmacy", "free", "bets", "bet", "betting", "win", "spam", "farm", "ads", "ad", "track", "tracker", "clicks", "poker", "loan", "loans", "dating", "nude", "crack", "keygen", "download", "replica", "bonus")
@@ -56,7 +56,7 @@ def term_counts(df: DataFrame, strict: tuple[str, ...], soft: tuple[str, ...]) -
             pairs = [count_terms(u, terms) for u in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.int32())], names=["page_id", "url", "n_strict", "n_soft"])
 
-    return df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, "page_id long, url string, n_strict int, n_soft int")
+    return needed(df, page_id="long", url="string").mapInArrow(run, "page_id long, url string, n_strict int, n_soft int")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, min_soft: int = MIN_SOFT) -> DataFrame:
