@@ -37,4 +37,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = settled(spark, nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(spark, edges)
+    return out

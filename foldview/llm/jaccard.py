@@ -17,11 +17,13 @@ Copies: documents with one set are one class, and only its smallest doc_id goes
 token's bucket every member is compared with the smallest member first; components of those links are formed, and
 then only members of *different* components that share a token are compared, so a group costs its size, not its
 square, and no link between components is lost: pairs from small buckets, and from large ones the few that stand
-outside the main component against blocks of all members.  Large buckets are split by a salt while they are filtered.
+outside the main component against blocks of all members.  Large buckets are split by a salt while they are filtered
+and where they are joined.  The links themselves are counted, or listed, component by component in the same blocks:
+every link is inside one, and no pairs are made but those that link.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; fewer than k words give the
 whole sequence as the one shingle; rows of equal doc_id are one document with all their links, each row with its own
-size; a row with a null doc_id is linked with nothing; an empty table gives an empty table; extra columns are
+size; a row with a null doc_id is linked with nothing; very long texts are compared whole; an empty table gives an empty table; extra columns are
 ignored by `linked` and kept by `one_of_each`.
 """
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,9 @@ K, PERCENT = 5, 80
 ORDERS = 3
 HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 100_000
 FEW = 20_000
-SMALL, BLOCK = 64, 2_000
+SMALL, BLOCK, BLOCK_BYTES = 64, 2_000, 4 << 20
+#: rows of one token that go to one task where tokens are joined
+JOINED = 1_000
 #: of a 64-bit shingle hash, 46 bits travel
 CUT = U64(18)
 
@@ -223,6 +228,8 @@ def _gathered(counted: DataFrame, percent: int) -> DataFrame:
             classes = np.concatenate([np.frombuffer(r[5][: len(r[4]) // 4], np.uint8) for r in rows])
             by = np.lexsort((tokens, doc))
             tokens, doc, classes = tokens[by], doc[by], classes[by]
+            new = np.append(True, (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1]))[: len(tokens)]  # two shingles may be one in 46 bits
+            tokens, doc, classes = tokens[new], doc[new], classes[new]
             edges = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
             cut = [(tokens[a:b], classes[a:b]) for a, b in zip(edges, edges[1:])]
             firsts = [np.sort(prefix(t, c, n, percent, 0)).view(np.int64) for (t, c), n in zip(cut, sizes)]
@@ -291,9 +298,9 @@ def _sets(profiles: DataFrame, percent: int, orders: int) -> DataFrame:
             for n, whole, classes in zip(*(batch.column(c).to_pylist() for c in ("n", "whole", "classes"))):
                 t, c = _from_bytes(whole, 6), np.frombuffer(classes, np.uint8)
                 others.append([_low_bytes(np.unique(prefix(t, c, n, percent, o) & U64(0xFFFFFF)), 3) for o in range(1, orders)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("whole"), pa.array(others, pa.list_(pa.binary()))], names=["rep", "n", "whole", "others"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("whole"), pa.array(others, pa.list_(pa.binary())), batch.column("s1"), batch.column("s2")], names=["rep", "n", "whole", "others", "s1", "s2"])
 
-    return profiles.select("doc_id", "n", "whole", "classes").mapInArrow(run, "rep long, n long, whole binary, others array<binary>")
+    return profiles.select("doc_id", "n", "whole", "classes", "s1", "s2").mapInArrow(run, "rep long, n long, whole binary, others array<binary>, s1 long, s2 long")
 
 
 def _share(x: bytes, y: bytes, width: int) -> int:
@@ -338,49 +345,110 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _in_blocks(named: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) across components among the members of large buckets, without making their pairs.
+def _compared(held: DataFrame, percent: int, block: int, inside: bool, pairs: bool) -> DataFrame:
+    """What the members of each group link with, without making their pairs.
 
-    Buckets with one and the same major component are a cluster.  Its members outside that component are the queries;
-    they are sent to every block of the cluster's members and compared with a block's sets at once.
+    held: group, rep, c, n, whole, s1, s2 and asks.  A group's members are dealt to blocks by size class, by which sets
+    that link differ by one at most, and by hash; those that ask are dealt to parts in the same way.  Each block meets
+    each part of the three size classes in a task, where a set is compared with the block's sets at once.  Blocks hold
+    at most `block` rows and BLOCK_BYTES, and a group of some size has several.  Of inside, all other sets count, else
+    only those of other components (c).  Gives the links (a, b), or with pairs=False s1, s2 and the number of links.
     """
-    per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("cluster"))
-    per = settled(named.sparkSession, per, "cluster-tokens")  # as with open tokens
-    cluster = settled(named.sparkSession, named.join(per, "token").select("cluster", "rep", "c").distinct(), "clusters")
-    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    held = cluster.join(blocks, "cluster").join(sets.select("rep", "n", "whole"), "rep")
-    members = held.select("cluster", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "c", "n", "whole")
-    asked = held.where("c <> cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "c", "n", "whole")
+    spark = held.sparkSession
+    ratio = max(100.0 / percent, 1.01)
+    sized = settled(spark, held.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")), "held")
+    some = lambda n, b: F.ceil(F.greatest(n / block, b / BLOCK_BYTES, F.least(F.lit(8), n / (block / 8)))).cast("int")
+    asks = F.col("asks").cast("int")
+    blocks = sized.groupBy("group", "size").agg(some(F.count(F.lit(1)), F.sum(F.length("whole"))).alias("blocks"), some(F.sum(asks), F.sum(asks * F.length("whole"))).alias("parts"))
+    blocks = settled(spark, blocks, "blocks")
+    body = ("rep", "c", "n", "whole", "s1", "s2")
+    other = blocks.select("group", F.col("size").alias("osize"), F.col("blocks").alias("oblocks"), F.col("parts").alias("oparts"))
+    mine = lambda n: F.pmod(F.xxhash64("s1", "s2"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    met = sized.join(blocks, ["group", "size"]).select("group", "size", "asks", mine("blocks").alias("block"), mine("parts").alias("part"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("osize"), *body)
+    met = met.join(other, ["group", "osize"])
+    cell = lambda size, number, osize, part, role: F.struct(size.alias("size"), number.alias("block"), osize.alias("osize"), part.alias("part"), F.lit(role).alias("role"))
+    as_member = F.transform(upto("oparts"), lambda x: cell(F.col("size"), F.col("block"), F.col("osize"), x, 0))
+    as_asking = F.transform(upto("oblocks"), lambda x: cell(F.col("osize"), x, F.col("size"), F.col("part"), 1))
+    cells = F.when(F.col("asks"), F.concat(as_member, as_asking)).otherwise(as_member)
+    dealt = met.select("group", F.explode(cells).alias("x"), *body).select("group", "x.*", *body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, index, out = None, [], None, []
         for batch in batches:
-            for cluster, number, role, rep, c, n, whole in zip(*(x.to_pylist() for x in batch.columns)):
-                if (cluster, number) != group:
-                    group, rows, index = (cluster, number), [], None
+            for g, size, number, osize, part, role, rep, c, n, whole, s1, s2 in zip(*(x.to_pylist() for x in batch.columns)):
+                if (g, size, number, osize, part) != group:
+                    group, rows, index = (g, size, number, osize, part), [], None
                 if not role:
-                    rows.append((rep, c, n, _from_bytes(whole, 6)))
+                    rows.append((rep, c, n, _from_bytes(whole, 6), s1, s2))
                     continue
                 if not rows:
                     continue
-                if index is None:  # all members of a block come before its queries
+                if index is None:  # all members of a block come before those that ask
                     owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
                     tokens = np.concatenate([r[3] for r in rows])
                     by = np.argsort(tokens, kind="stable")
-                    index = tokens[by], owner[by], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-                tokens, owner, reps, cs, ns = index
+                    index = tokens[by], owner[by], *(np.array([r[k] for r in rows]) for k in (0, 1, 2, 4, 5))
+                tokens, owner, reps, cs, ns, x1, x2 = index
                 mine = _from_bytes(whole, 6)
                 lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
                 hits = np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist())]) if len(mine) else owner[:0]
                 both = np.bincount(hits, minlength=len(reps))
-                linked_ = (100 * both >= percent * (ns + n - both)) & (cs != c)
-                out += [(min(rep, r), max(rep, r)) for r in reps[linked_].tolist()]
+                near_ = 100 * both >= percent * (ns + n - both)
+                near_ &= (x1 != s1) | (x2 != s2) if inside else cs != c
+                if pairs:
+                    out += [(min(rep, r), max(rep, r)) for r in reps[near_].tolist()]
+                elif near_.any():
+                    out.append((s1, s2, int(near_.sum())))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
                 out = []
 
-    dealt = members.unionByName(asked).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "role")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    names = ["a", "b"] if pairs else ["s1", "s2", "k"]
+    key = ("group", "size", "block", "osize", "part")
+    found = dealt.repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    out = settled(spark, found.distinct() if pairs else found.groupBy("s1", "s2").agg(F.sum("k").alias("n_links")), "compared")
+    discard(spark, sized, blocks)
+    return out
+
+
+def _in_blocks(named: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) across components among the members of large buckets.
+
+    Buckets with one and the same major component are a cluster; its members outside that component ask.
+    """
+    spark = named.sparkSession
+    per = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("group"))
+    per = settled(spark, per, "cluster-tokens")  # as with open tokens
+    cluster = settled(spark, _by_token(named, per, "rep").select("group", "rep", "c").distinct(), "clusters")
+    held = cluster.join(sets.select("rep", "n", "whole", "s1", "s2"), "rep").withColumn("asks", F.col("c") != F.col("group"))
+    out = _compared(held, percent, block, False, True)
+    discard(spark, per, cluster)
+    return out
+
+
+def _within(label: DataFrame, sets: DataFrame, percent: int, block: int, pairs: bool) -> DataFrame:
+    """All links inside components: every link is in one.  Of a component of two, the link is known."""
+    spark = label.sparkSession
+    sizes = settled(spark, label.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
+    members = label.join(sizes, "component").where(F.lit(True) if pairs else F.col("size") > 2).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    own = sets.dropDuplicates(["s1", "s2"])
+    held = own.join(members, "rep").select("group", "rep", F.col("group").alias("c"), "n", "whole", "s1", "s2", F.lit(True).alias("asks"))
+    found = _compared(held, percent, block, True, pairs)
+    if not pairs:
+        two = label.join(sizes.where("size = 2"), "component").select(F.col("node").alias("rep")).join(own, "rep").select("s1", "s2", F.lit(1).cast("long").alias("n_links"))
+        found = settled(spark, found.unionByName(two), "degrees")
+    discard(spark, sizes)
+    return found
+
+
+def _by_token(many: DataFrame, one: DataFrame, by: str) -> DataFrame:
+    """many joined with one, which has one row for each token.  A token's class is in its name: one that many documents have is split by a salt."""
+    parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("token", 58).cast("double")) / JOINED)
+    parts = F.least(parts, F.lit(1 << 16)).cast("int")
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, ["token", "_salt"]).drop("_salt")
 
 
 def _may_link(an: str, am: str, bn: str, bm: str, percent: int) -> Column:
@@ -389,16 +457,23 @@ def _may_link(an: str, am: str, bn: str, bm: str, percent: int) -> Column:
     return 100 * both >= percent * (F.col(an) + F.col(bn) - both)
 
 
-def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+class _Solved(NamedTuple):
+    """What the join has found: sizes (doc_id, h, n, s1, s2) of all rows, components (node, component) of linked classes and their sets."""
+
+    seen: DataFrame
+    label: DataFrame
+    sets: DataFrame
+
+
+def _solved(docs: DataFrame, k: int, percent: int, orders: int, bucket: int, small: int, block: int) -> _Solved:
     spark = docs.sparkSession
     sc = spark.sparkContext
     keyed = _keyed(docs)
     heavy = sc.broadcast(Heavy(*heavy_shingles(keyed, k)))
-    bits = min(max(6, (16 * keyed.rdd.getNumPartitions()).bit_length()), 24)
+    # ranges of hashes, some for each reducer, whatever the number of input partitions
+    bits = min(max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()), 24)
     full = settled(spark, _gathered(_counted(_packed(keyed, k, heavy, bits), bits), percent), "profiles")
     seen = settled(spark, full.select("doc_id", "h", "n", "s1", "s2"), "sizes")
-    real = seen.where("n > 0 and doc_id is not null")
     whole = full.where("size(prefix) > 0 and doc_id is not null").withColumn("m", (F.length("whole") / 6).cast("int"))
     classes = whole.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.first("prefix").alias("prefix"), F.first("n").cast("int").alias("n"), F.first("m").alias("m"))
     # a token's class is in its name: buckets that may be large are split by a salt until they are filtered
@@ -412,31 +487,55 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = OR
     discard(spark, full)
     # the pivot of a token is the member with the smallest share of tokens of its own: of a group of edited copies, the original
     pivots = buckets.groupBy("token").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("own"), "rep", "n", "m")).alias("p"))
-    pivots = pivots.select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("an"), F.col("p.m").alias("am"))
-    stars = buckets.join(pivots, "token").where((F.col("rep") != F.col("a")) & _may_link("n", "m", "an", "am", percent))
+    pivots = settled(spark, pivots.select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("an"), F.col("p.m").alias("am")), "pivots")
+    stars = _by_token(buckets, pivots, "rep").where((F.col("rep") != F.col("a")) & _may_link("n", "m", "an", "am", percent))
     stars = settled(spark, stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
+    discard(spark, pivots)
     links = verified(stars, sets, percent)
     label = components(links)
     # what the stars leave open: members of different components that share a token
     named = buckets.join(label, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "m", F.coalesce("component", "rep").alias("c"))
+    named = settled(spark, named, "named")
     opened = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("token", "size")
     opened = settled(spark, opened, "open-tokens")  # its size is known now, and where it is small nothing is dealt out by token
-    named = settled(spark, named.join(opened, "token"), "open")
-    few = named.where(F.col("size") <= small)
+    open_ = settled(spark, _by_token(named, opened, "rep"), "open")
+    discard(spark, buckets, named, opened, label)
+    few = open_.where(F.col("size") <= small)
     x, y = (few.select("token", F.col("rep").alias(s), F.col("c").alias(f"{s}c"), F.col("n").alias(f"{s}n"), F.col("m").alias(f"{s}m")) for s in "ab")
     rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _may_link("an", "am", "bn", "bm", percent))
     rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(rest, sets, percent)
-    blocked = settled(spark, _in_blocks(named.where(F.col("size") > small), sets, percent, block), "links")
-    discard(spark, sets, buckets, named)
+    blocked = _in_blocks(open_.where(F.col("size") > small), sets, percent, block)
     label = components(links.unionByName(more).unionByName(blocked))
+    discard(spark, open_, stars, links, more, blocked)
+    return _Solved(seen, label, sets)
+
+
+def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text); n_links is the number of other, different sets that link with the row's."""
+    spark = docs.sparkSession
+    seen, label, sets = _solved(docs, k, percent, orders, bucket, small, block)
+    degrees = _within(label, sets, percent, block, False)
+    real = seen.where("n > 0 and doc_id is not null")
     reps = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    owner = reps.join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    sized = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    owner = reps.join(label, F.col("rep") == F.col("node"), "left").join(degrees, ["s1", "s2"], "left")
+    owner = owner.select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sized = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    discard(spark, sets)
     return sized.unionByName(alone)
 
 
+def links(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links (a < b) between class representatives, and members (doc_id, rep): the classes of documents with one set."""
+    seen, label, sets = _solved(docs, k, percent, orders, bucket, small, block)
+    found = _within(label, sets, percent, block, True).where("a < b")
+    discard(docs.sparkSession, sets, label)
+    real = seen.where("n > 0 and doc_id is not null")
+    reps = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    return found, real.select("doc_id", "s1", "s2").join(reps, ["s1", "s2"]).select("doc_id", "rep").distinct()
+
+
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their component; of rows of equal doc_id the one with the smallest text stays."""
     found = settled(docs.sparkSession, linked(docs, k, percent), "linked")
@@ -461,5 +560,8 @@ s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(w
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
 e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * common >= {percent} * (x.n + y.n - common)),
-r as (select a as node, a as reach from e union select r.node, e.b from r join e on r.reach = e.a)
-select t.doc_id, coalesce(n, 0)::bigint as n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) as component_id from t left join n on t.doc_id = n.doc_id left join (select node, min(reach) as m from r group by node) q on t.doc_id = q.node"""
+r as (select a as node, a as reach from e union select r.node, e.b from r join e on r.reach = e.a),
+c as (select n.doc_id, least(n.doc_id, min(b)) as rep from n left join (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where common = x.n and common = y.n) on n.doc_id = a group by n.doc_id),
+l as (select a, count(distinct y.rep)::bigint as n_links from e join c x on a = x.doc_id join c y on b = y.doc_id where x.rep <> y.rep group by a)
+select t.doc_id, coalesce(n, 0)::bigint as n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) as component_id, coalesce(n_links, 0)::bigint as n_links
+from t left join n on t.doc_id = n.doc_id left join (select node, min(reach) as m from r group by node) q on t.doc_id = q.node left join l on t.doc_id = l.a"""

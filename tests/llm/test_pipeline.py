@@ -56,7 +56,7 @@ def test_stages(frame, spark, docs_rows, tmp_path):
     df = frame(docs_rows)
     brute = {
         "quality_rules": kept_by_rules,
-        "ngram_jaccard": lambda rows: [r for r in rows if r[0] in {d for d, _, c in brute_links(rows) if d == c}],
+        "ngram_jaccard": lambda rows: [r for r in rows if r[0] in {d for d, _, c, _ in brute_links(rows) if d == c}],
         "substring_dedup": without_windows,
         "secret_scan": lambda rows: [(d, t.replace(KEY, secrets.MASK), *x) for d, t, *x in rows],
     }
@@ -77,7 +77,7 @@ def test_run_is_the_stages(frame, spark, docs_rows, tmp_path):
     frame(docs_rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    want = {d for d, _, c in brute_links(kept_by_rules(docs_rows)) if d == c}
+    want = {d for d, _, c, _ in brute_links(kept_by_rules(docs_rows)) if d == c}
     assert {r["doc_id"] for r in out.collect()} == want
 
 
