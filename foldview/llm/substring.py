@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import _R, _R_INV, U64, Words, _power, discard, needed, numbered, settled, splitmix, string_chunks, table, with_texts
 
-WINDOW, GRAM, MOST_STRINGS = 50, 8, 1_000
+WINDOW, GRAM, MOST_STRINGS = 50, 8, 256
 MOST = U64(0xFFFFFFFFFFFFFFFF)
 
 
