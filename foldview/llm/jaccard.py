@@ -513,17 +513,27 @@ def _solved(docs: DataFrame, k: int, percent: int, orders: int, bucket: int, sma
 
 def linked(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each row of docs (doc_id, text); n_links is the number of other, different sets that link with the row's."""
+    return _rows(docs, k, percent, orders, bucket, small, block, True)
+
+
+def _rows(docs: DataFrame, k: int, percent: int, orders: int, bucket: int, small: int, block: int, count: bool) -> DataFrame:
+    """What linked returns; without count, n_links is null."""
     spark = docs.sparkSession
     seen, label, sets = _solved(docs, k, percent, orders, bucket, small, block)
-    degrees = _within(label, sets, percent, block, False)
     real = seen.where("n > 0 and doc_id is not null")
-    reps = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    owner = reps.join(label, F.col("rep") == F.col("node"), "left").join(degrees, ["s1", "s2"], "left")
-    owner = owner.select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sized = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    discard(spark, sets)
-    return sized.unionByName(alone)
+    owner = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).join(label, F.col("rep") == F.col("node"), "left")
+    # a document whose set nobody shares and which has no links is its own component; the others' classes are few, and their size is known
+    owner = owner.where("size > 1 or component is not null").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    if count:
+        owner = owner.join(_within(label, sets, percent, block, False), ["s1", "s2"], "left")
+    else:
+        owner = owner.withColumn("n_links", F.lit(None).cast("long"))
+    owner = settled(spark, owner, "owners")
+    discard(spark, sets, label)
+    none = F.lit(0 if count else None).cast("long")
+    sized = real.select("doc_id", "n", "s1", "s2").join(owner, ["s1", "s2"], "left")
+    sized = sized.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"))
+    return sized.unionByName(seen.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links")))
 
 
 def links(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORDERS, bucket: int = BUCKET, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -538,7 +548,7 @@ def links(docs: DataFrame, k: int = K, percent: int = PERCENT, orders: int = ORD
 
 def one_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that have a smaller doc_id in their component; of rows of equal doc_id the one with the smallest text stays."""
-    found = settled(docs.sparkSession, linked(docs, k, percent), "linked")
+    found = settled(docs.sparkSession, _rows(docs, k, percent, ORDERS, BUCKET, SMALL, BLOCK, False), "linked")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
     plain, doc, text = numbered(docs), *(f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
     out = plain.join(gone, F.col(doc).cast("long") == F.col("gone"), "left_anti")
