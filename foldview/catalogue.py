@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.mappers import Count, Emit, EmitAll, FlatMap, SelectAll, TopNMapper
+from .functions.mappers import Count, Emit, EmitAll, FlatMap, PyMap, SelectAll, TopNMapper
 from .functions.reducers import BoolOr, CollectSet, FirstNonNull, FoldExpr, MaxValue, MinValue, PyFold, Sum, TopN, Union
 from .operators import changes, docstore
+from .plans import language
 from .plans.batch import latest
 from .plans.engine import Engine
 from .session import work_dir
@@ -513,6 +514,25 @@ def stream_cascade(spark, d):
     return _streamed(spark, d, build, "histogram")
 
 
+@query("select event_type as kind, count(*)::bigint as n, max(user_id)::bigint as most from events group by 1")
+def stream_fold_expr(spark, d):
+    """A fold written in SQL expressions, as the text front end makes them."""
+    script = "MAP { event_type user_id } FROM events(event_id) USE {[event_type, 1L, user_id]}\nRED { n most } INTO folded(kind) USE { a, b -> [a.n + b.n, greatest(a.most, b.most)] }"
+    return _streamed(spark, d, lambda e: language.run(e, script), "folded")
+
+
+@query(f"select event_type as kind, count(*)::bigint as n, sum(user_id)::bigint as ids, min(user_id)::bigint as first from {LAST} where event_type <> 'error' group by 1")
+def stream_union(spark, d):
+    """Each column by its own reducer, with running totals, while users move between kinds and are deleted."""
+    return _streamed(spark, d, lambda e: e.map("{ user_id kind amount }", "users(user_id)", "kind; 1L; user_id; user_id").red("{ n ids first }", "folded(kind)", Union(Sum(), Sum(), MinValue())), "folded")
+
+
+@query("select user_id % 50 as bucket, sum(length(event_type))::bigint as letters from events group by 1")
+def stream_python_map(spark, d):
+    """An opaque mapper in Python; the fold is one of sums."""
+    return _streamed(spark, d, lambda e: e.map("{ user_id event_type }", "events(event_id)", PyMap(lambda r: [(r["user_id"] % 50, len(r["event_type"]))], "long", "long")).red("{ letters }", "folded(bucket)", Sum()), "folded")
+
+
 @query("select user_id, rank, amount from (select user_id, amount, row_number() over (partition by user_id order by amount desc) as rank from (select distinct user_id, round(value, 2) as amount from events where event_type = 'purchase')) where rank <= 3")
 def stream_topn(spark, d):
     def build(e: Engine) -> None:

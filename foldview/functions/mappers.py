@@ -146,3 +146,17 @@ class PyMap(Mapper):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         return df.select("_doc", *fields).mapInArrow(run, schema)
+
+    def listed(self, fields, arity, there=None):
+        """One call for a record, over Arrow batches; none for a record that is not there."""
+        if len(self.types) < arity:
+            raise ValueError(f"{len(self.types)} values are emitted where keys and values need {arity}")
+        function, names = self.function, list(fields)
+
+        def run(record):
+            return None if record is None else [tuple(e[:arity]) for e in function({f: record[i] for i, f in enumerate(names)})]
+
+        kind = f"array<struct<{', '.join(f'_{i}: {t}' for i, t in enumerate(self.types[:arity]))}>>"
+        record = F.struct(*fields)
+        emitted = F.udf(run, kind, useArrow=True)(record if there is None else F.when(there, record))
+        return F.coalesce(emitted, F.array().cast(kind))

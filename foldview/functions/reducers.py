@@ -2,7 +2,7 @@
 
 Each gives Column aggregates for batch (partial aggregation comes with them) and a Python fold of two tuples, which the
 stateful stream uses.  A value that stands alone in its group passes through.  `inverse` takes a value back out of a
-total where that is possible; streams then keep a running total instead of folding anew.
+total, or gives None where the total has to be folded anew; streams keep a running total as long as it does not.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Reducer:
@@ -43,8 +44,10 @@ class Sum(Reducer):
         return tuple(y if x is None else x if y is None else x + y for x, y in zip(a, b))
 
     def inverse(self, total, old):  # type: ignore[override]
-        """Exact for integers and decimals only."""
-        return None if any(isinstance(x, float) or x is None for x in (*total, *old)) else tuple(x - y for x, y in zip(total, old))
+        """Exact for integers and decimals only; a difference of zero may be a sum of nothing, which is null."""
+        out = tuple(x if y is None else None if x is None else x - y for x, y in zip(total, old))
+        again = any(isinstance(x, float) for x in (*total, *old)) or any(y is not None and not z for y, z in zip(old, out))
+        return None if again else out
 
 
 class _Extreme(Reducer):
@@ -59,6 +62,10 @@ class _Extreme(Reducer):
         key = lambda t: tuple((v is not None, v) for v in t)
         return type(self).pick((a, b), key=key)
 
+    def inverse(self, total, old):  # type: ignore[override]
+        """What is not the extreme leaves it alone."""
+        return None if total == old else total
+
 
 class MinValue(_Extreme):
     pick = min
@@ -91,6 +98,15 @@ class Union(Reducer):
     def finish(self, total):
         return tuple(r.finish((x,))[0] for r, x in zip(self.reducers, total))
 
+    def inverse(self, total, old):  # type: ignore[override]
+        out = []
+        for r, x, y in zip(self.reducers, total, old):
+            left = (x,) if y is None else None if x is None or r.inverse is None else r.inverse((x,), (y,))
+            if left is None:
+                return None
+            out.append(left[0])
+        return tuple(out)
+
 
 class TopN(Reducer):
     """The n largest (or smallest) distinct tuples of one list column, in order."""
@@ -111,6 +127,11 @@ class TopN(Reducer):
         key = lambda t: tuple((v is not None, v) for v in t)
         return ([distinct[t] for t in sorted(distinct, key=key, reverse=not self.ascending)][: self.n],)
 
+    def inverse(self, total, old):  # type: ignore[override]
+        """What is not among the first leaves them alone."""
+        first = {tuple(x) for x in total[0] or ()}
+        return None if any(tuple(x) in first for x in old[0] or ()) else total
+
 
 class CollectSet(Reducer):
     """The sorted distinct elements of one list column."""
@@ -134,6 +155,9 @@ class FirstNonNull(Reducer):
     def fold(self, a, b):
         return tuple(y if x is None else x if y is None else max(x, y) for x, y in zip(a, b))
 
+    def inverse(self, total, old):  # type: ignore[override]
+        return None if any(y is not None and x == y for x, y in zip(total, old)) else total
+
 
 class BoolOr(Reducer):
     def aggregates(self, values):
@@ -142,23 +166,30 @@ class BoolOr(Reducer):
     def fold(self, a, b):
         return tuple(y if x is None else x if y is None else x or y for x, y in zip(a, b))
 
+    def inverse(self, total, old):  # type: ignore[override]
+        return total if all(y is None for y in old) else None
+
 
 class FoldExpr(Reducer):
-    """A fold in SQL expressions over ``a.col`` and ``b.col``, one for each value, in the order of sources and ids."""
+    """A fold in SQL expressions over ``a.col`` and ``b.col``, one for each value.
+
+    As every reducer it must be associative and commutative: parts of a key are folded first, each in the order of
+    sources and ids, and then in the order of their first documents.  A value keeps the type that its maps emit.
+    """
 
     opaque = True
 
     def __init__(self, *expressions: str):
         self.expressions = expressions
 
-    def over(self, rows: str, values: Sequence[str]) -> Column:
-        """The fold of the array of structs (values) in the column `rows`."""
-        made = ", ".join(f"'{v}', {e}" for v, e in zip(values, self.expressions, strict=True))
+    def over(self, rows: str, values: StructType) -> Column:
+        """The fold of the array of structs (values) in the column `rows`; null of an empty one."""
+        made = ", ".join(f"'{v.name}', cast({e} as {v.dataType.simpleString()})" for v, e in zip(values, self.expressions, strict=True))
         return F.expr(f"aggregate(slice({rows}, 2, greatest(size({rows}) - 1, 0)), get({rows}, 0), (a, b) -> named_struct({made}))")
 
 
 class PyFold(Reducer):
-    """Opaque Python: (key, a, b) or (a, b) to a tuple, in the order of sources and ids."""
+    """Opaque Python: (key, a, b) or (a, b) to a tuple; associative and commutative, as FoldExpr."""
 
     opaque = True
 

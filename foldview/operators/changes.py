@@ -52,7 +52,7 @@ def difference(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Data
     return both.select(*[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], F.col("_b.*"), F.when(F.col("_b").isNull(), "D").otherwise("U").alias("_op"))
 
 
-def prefix_sums(updates: DataFrame, ids: Sequence[str], seq: str | Sequence[str], key: str, value: str) -> DataFrame:
+def prefix_sums(updates: DataFrame, ids: Sequence[str], seq: str | Sequence[str], key: str, value: str, blocks: int = 256) -> DataFrame:
     """Each update's key and the sum of its documents' latest values after it: a default stream in batch."""
     order = Window.partitionBy(*ids).orderBy(*_by(seq))
     now = F.when(F.col(key).isNotNull() & F.col(value).isNotNull(), F.struct(key, value))
@@ -60,5 +60,21 @@ def prefix_sums(updates: DataFrame, ids: Sequence[str], seq: str | Sequence[str]
     plus = x.where("_n is not null").select(*_by(seq), F.col(f"_n.{key}").alias(key), F.col(f"_n.{value}").alias("d"), F.lit(1).alias("c"))
     minus = x.where("_b is not null").select(*_by(seq), F.col(f"_b.{key}").alias(key), (-F.col(f"_b.{value}")).alias("d"), F.lit(-1).alias("c"))
     each = plus.unionByName(minus).groupBy(key, *_by(seq)).agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
-    run = Window.partitionBy(key).orderBy(*_by(seq)).rowsBetween(Window.unboundedPreceding, 0)
-    return each.select(key, *_by(seq), F.sum("d").over(run).alias("_sum"), F.sum("c").over(run).alias("_n")).select(key, *_by(seq), F.when(F.col("_n") > 0, F.col("_sum")).alias("total"))
+    # a key's updates are added up in blocks of its order, and blocks' totals before them: no key is one task's
+    first = _by(seq)[0]
+    kind = each.schema[first].dataType.typeName()
+    number = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("long")
+    if kind in ("byte", "short", "integer", "long", "timestamp", "timestamp_ntz"):
+        lo, hi = each.agg(F.min(number), F.max(number)).first()
+        width = max(((hi or 0) - (lo or 0)) // blocks + 1, 1)
+        each = each.withColumn("_block", F.floor((number - F.lit(lo)) / F.lit(width)).cast("long"))
+    else:
+        each = each.withColumn("_block", F.lit(0).cast("long"))
+    run = Window.partitionBy(key, "_block").orderBy(*_by(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = each.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(F.sum("d").alias("_d"), F.sum("c").alias("_c"))
+    totals = totals.select("_key", "_b", F.sum("_d").over(before).alias("_d"), F.sum("_c").over(before).alias("_c"))
+    inner = each.select(key, "_block", *_by(seq), F.sum("d").over(run).alias("_sum"), F.sum("c").over(run).alias("_n"))
+    joined = inner.join(totals, (F.col(key) == F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
+    total, n = (F.col(x) + F.coalesce(y, F.lit(0)) for x, y in (("_sum", "_d"), ("_n", "_c")))
+    return joined.select(key, *_by(seq), F.when(n > 0, total).alias("total"))

@@ -6,12 +6,16 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.mappers import column
 from ..functions.reducers import FoldExpr, PyFold, TopN
 from ..operators.ordering import sort_key
 from .spec import MapSpec, ViewSpec
 
+#: parts in which a key is folded by expressions
+PARTS = 32
+
 
 def latest(df: DataFrame, ids: Sequence[str], seq: str | Sequence[str]) -> DataFrame:
     """The last version of each record: an aggregate, so a record's history is never gathered."""
@@ -53,10 +57,10 @@ def emitted(view: ViewSpec, sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def _top(df: DataFrame, keys: list[str], value: str, r: TopN) -> DataFrame:
-    """Rank distinct tuples and keep n of each key: Spark limits each partition's groups before the shuffle."""
+    """Rank tuples, equal ones alike, keep n ranks of each key and of equal ones one: Spark limits each partition's groups before the one shuffle."""
     by = F.col("_x").asc() if r.ascending else F.col("_x").desc()
-    rows = df.select(*keys, F.explode(value).alias("_x")).distinct()
-    kept = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where(F.col("_r") <= r.n)
+    rows = df.select(*keys, F.explode(value).alias("_x"))
+    kept = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(by))).where(F.col("_r") <= r.n).distinct()
     listed = F.sort_array(F.collect_list(F.struct("_r", "_x")))
     return kept.groupBy(*keys).agg(F.transform(listed, lambda x: x["_x"]).alias(value))
 
@@ -70,9 +74,15 @@ def reduced(df: DataFrame, view: ViewSpec) -> DataFrame:
     if isinstance(r, TopN) and len(values) == 1:
         out = _top(df, keys, values[0], r)
     elif isinstance(r, FoldExpr):
-        lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_doc", *values))).alias("_rows"))
-        lists = lists.withColumn("_rows", F.transform("_rows", lambda x: F.struct(*[x[v].alias(v) for v in values])))
-        out = lists.withColumn("_v", r.over("_rows", values)).select(*keys, "_v.*")
+        kinds = StructType([df.schema[v] for v in values])
+
+        def folded(df: DataFrame, by: list[str]) -> DataFrame:
+            lists = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_doc", *values))).alias("_l"))
+            lists = lists.withColumn("_rows", F.transform("_l", lambda x: F.struct(*[x[v].alias(v) for v in values])))
+            return lists.select(*by, F.get("_l", F.lit(0))["_doc"].alias("_doc"), r.over("_rows", kinds).alias("_v")).select(*by, "_doc", "_v.*")
+
+        # a key's documents are folded in parts first, so that no key is listed whole
+        out = folded(folded(df.withColumn("_part", F.pmod(F.xxhash64("_doc"), F.lit(PARTS))), [*keys, "_part"]), keys).select(*keys, *values)
     elif isinstance(r, PyFold):
         out = _py(df, keys, values, r, tuple(view.keys))
     else:
@@ -81,16 +91,15 @@ def reduced(df: DataFrame, view: ViewSpec) -> DataFrame:
 
 
 def _py(df: DataFrame, keys: list[str], values: list[str], r: PyFold, own: tuple[str, ...]) -> DataFrame:
-    """Sorted partitions are folded row by row in document order: only one group's total is held."""
+    """Sorted partitions are folded row by row in document order, before the shuffle and after it: only one group's total is held."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    schema = StructType([df.schema[c] for c in (*keys, *values)])
+    schema = StructType([df.schema[c] for c in (*keys, "_doc", *values)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, rows = None, None, []
+        key, total, first, rows = None, None, None, []
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows)) or [[]] * len(arrow)
@@ -103,16 +112,17 @@ def _py(df: DataFrame, keys: list[str], values: list[str], r: PyFold, own: tuple
                     total = r.step(k if own else (), total, v)
                 else:
                     if total is not None:
-                        rows.append((*key, *total))
-                    key, total = k, v
+                        rows.append((*key, first, *total))
+                    key, total, first = k, v, x["_doc"]
             if len(rows) > 5000:
                 yield flush()
                 rows.clear()
         if total is not None:
-            rows.append((*key, *total))
+            rows.append((*key, first, *total))
         yield flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, "_doc").select(*keys, *values).mapInArrow(run, schema)
+    df = df.select(*keys, "_doc", *values).sortWithinPartitions(*keys, "_doc").mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, "_doc").mapInArrow(run, schema).select(*keys, *values)
 
 
 def formatted(df: DataFrame, view: ViewSpec) -> DataFrame:

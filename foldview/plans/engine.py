@@ -28,29 +28,29 @@ class Source:
 class Mapped:
     """A view with sources but no reducer yet."""
 
-    def __init__(self, engine: Engine, maps: tuple[MapSpec, ...] = ()):
-        self.engine, self.maps = engine, maps
+    def __init__(self, engine: Engine, maps: tuple[MapSpec, ...] = (), partitions: int | None = None):
+        self.engine, self.maps, self.partitions = engine, maps, partitions
 
     def map(self, values: str, source: str, mapper: Mapper | str | Sequence[Expr] | None = None) -> Mapped:
         if mapper is None:
             mapper = SelectAll()
         elif not isinstance(mapper, Mapper):
             mapper = Emit(*([x.strip() for x in mapper.split(";")] if isinstance(mapper, str) else mapper))
-        return Mapped(self.engine, (*self.maps, MapSpec(parse_signature(values).values, parse(source), mapper)))
+        return Mapped(self.engine, (*self.maps, MapSpec(parse_signature(values).values, parse(source), mapper)), self.partitions)
 
     def name(self, name: str) -> Mapped:
         """Name the last source: documents of maps with one name are one document."""
-        return Mapped(self.engine, (*self.maps[:-1], replace(self.maps[-1], name=name)))
+        return Mapped(self.engine, (*self.maps[:-1], replace(self.maps[-1], name=name)), self.partitions)
 
     def parallelism(self, n: int) -> Mapped:
-        """A hint of old; Spark deals tasks by the size of data."""
-        return self
+        """Shuffle partitions between these maps and their reduction in batch; without it Spark deals tasks by the size of data."""
+        return Mapped(self.engine, self.maps, n)
 
     def red(self, values: str, into: str, reducer: Reducer | str) -> View:
         head = parse(into)
         if isinstance(reducer, str):
             reducer = FoldExpr(*[x.strip() for x in reducer.split(";")])
-        spec = ViewSpec(head.name or "", head.ids, parse_signature(values).values, self.maps, reducer)
+        spec = ViewSpec(head.name or "", head.ids, parse_signature(values).values, self.maps, reducer, partitions=self.partitions)
         return self.engine._add(spec)
 
 
@@ -76,6 +76,8 @@ class View:
 
 
 class Engine:
+    """Sources and views; a namespace goes before the names of what is registered for SQL (with _) and published (with a dot)."""
+
     def __init__(self, spark: SparkSession, namespace: str = ""):
         self.spark, self.namespace = reachable(spark), namespace
         self.sources: dict[str, Source] = {}
@@ -121,7 +123,7 @@ class Engine:
     def register(self, *names: str) -> None:
         """Views as temporary SQL views, for spark.sql."""
         for n in names or tuple(self.views):
-            self.batch(n).createOrReplaceTempView(n)
+            self.batch(n).createOrReplaceTempView(f"{self.namespace}_{n}" if self.namespace else n)
 
     def stream(self, name: str) -> DataFrame:
         """The view's changelog: keys, values, _changed, _op; see streaming.stateful."""
@@ -129,8 +131,8 @@ class Engine:
 
         return lower(self, name)
 
-    def publish(self, name: str, publisher, checkpoint: str | None = None):
-        """Send a view to a publisher: all rows at once in batch, changes batch by batch when a source streams."""
+    def publish(self, name: str, publisher, checkpoint: str | None = None, every: str | None = None):
+        """Send a view to a publisher: all rows at once in batch, changes when a source streams: of all that is there, or without an end at intervals such as "5 seconds"."""
         from ..sinks.publishers import publish
 
-        return publish(self, name, publisher, checkpoint)
+        return publish(self, name, publisher, checkpoint, every)

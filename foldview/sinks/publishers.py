@@ -145,20 +145,22 @@ class Print:
             rows.unpersist()
 
 
-def publish(engine, name: str, publisher: Publisher, checkpoint: str | None = None, available_now: bool = True):
+def publish(engine, name: str, publisher: Publisher, checkpoint: str | None = None, every: str | None = None):
+    """A view to a publisher.  A stream ends with what is available now, or goes on with a batch `every` so often."""
     view = engine.plan(name)[-1]
+    table = f"{engine.namespace}.{name}" if engine.namespace else name
     if not any(s.df.isStreaming for s in engine.sources.values()):
         rows = engine.batch(name)
-        publisher.write(name, view.keys, rows.withColumns({"_changed": F.lit(True), "_op": F.when(is_delete(rows, view.keys), "D").otherwise("U")}), 0)
+        publisher.write(table, view.keys, rows.withColumns({"_changed": F.lit(True), "_op": F.when(is_delete(rows, view.keys), "D").otherwise("U")}), 0)
         return None
     out = engine.stream(name).where("_changed")
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        publisher.write(name, view.keys, rows, batch_id)
+        publisher.write(table, view.keys, rows, batch_id)
 
     writer = out.writeStream.outputMode("update").foreachBatch(each)
     writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def publish_all(engine, names: Sequence[str], publisher: Publisher, checkpoint: str | None = None) -> list:

@@ -1,9 +1,11 @@
 """Views as stateful streams: a chain of transformWithState operators that emit only what changed.
 
 Stage M, keyed by document, remembers what a document emitted last; a new version emits its values anew and nulls under
-keys it has left.  Stage R, keyed by view key, keeps every document's value and emits the key's new row.  Reducers with
-an exact inverse keep a running total; others fold the key's values again.  A view with salts folds each key in buckets
-first, which bounds what one update of a hot key has to read.
+keys it has left.  Stage R, keyed by view key, keeps every document's value and emits the key's new row.  A running total
+is kept as long as the reducer can take old values out of it; where it cannot (the largest value is gone, an opaque
+function) the key's values are folded again.  A view with salts folds each key in buckets first, which bounds what one
+update of a hot key has to read.  Folds in SQL expressions always have buckets: their stage keeps and emits a bucket's
+values, which the expressions fold outside of it.
 
 Rows of one document inside a micro-batch are put in order by the source's `seq`.  A view that is a source of another
 numbers the rows of each key as it makes them.  Output: keys, values, _changed, _op (U or D), in update mode.
@@ -11,7 +13,7 @@ numbers the rows of each key as it makes them.  Output: keys, values, _changed,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -19,12 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.mappers import column
-from ..functions.reducers import PyFold, Reducer
+from ..functions.mappers import PyMap, column
+from ..functions.reducers import FoldExpr, PyFold, Reducer
 from ..plans import batch
 from ..plans.spec import ViewSpec
 
 
+#: buckets of a fold in expressions
+BUCKETS = 16
+
+
 def plain(x: Any) -> Any:
     """Rows and lists of them as tuples, to compare and keep."""
     if isinstance(x, dict):
@@ -69,6 +75,49 @@ class Diff(StatefulProcessor):
         pass
 
 
+def _newest(rows: Iterator[Row], n: int, join: Callable[[Any, Any], Any], one: Callable[[tuple], Any] = lambda x: x) -> dict[tuple, tuple[tuple, Any]]:
+    """(version, value or None) of each document's newest version; several rows of one version are joined."""
+    newest: dict[tuple, tuple[tuple, Any]] = {}
+    for r in rows:
+        doc, at = (r["_src"], r["_id"]), plain(r["_seq"])
+        value = None if r["_gone"] else one(plain(r)[-n:])
+        have = newest.get(doc)
+        if have is None or at > have[0] or (at == have[0] and have[1] is None):
+            newest[doc] = (at, value)
+        elif at == have[0] and value is not None:
+            newest[doc] = (at, join(have[1], value))
+    return newest
+
+
+class Gather(StatefulProcessor):
+    """Keyed by view key and bucket: every document's values, and what they were, in the order of documents."""
+
+    def __init__(self, values: StructType, out: StructType):
+        self.values, self.row = values, Row(*out.names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.documents = handle.getMapState("documents", "src string, id string", StructType([StructField("v", ArrayType(self.values))]))
+        self.version = handle.getValueState("version", StructType([StructField("version", LongType())]))
+
+    def _listed(self) -> list[tuple]:
+        held = sorted((plain(k), plain(v)[0]) for k, v in self.documents.iterator())
+        return [shaped(x, self.values) for _, v in held for x in v]
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        was = self._listed()
+        for doc, (_, value) in _newest(rows, len(self.values), lambda a, b: (*a, *b), lambda x: (x,)).items():
+            if value is not None:
+                self.documents.updateValue(doc, ([shaped(x, self.values) for x in value],))
+            elif self.documents.containsKey(doc):
+                self.documents.removeKey(doc)
+        version = (plain(self.version.get())[0] if self.version.exists() else 0) + 1
+        self.version.update((version,))
+        yield self.row(*key, self._listed(), was, [version])
+
+    def close(self) -> None:
+        pass
+
+
 class Fold(StatefulProcessor):
     """Keyed by view key (and bucket): every document's value, and the total."""
 
@@ -94,16 +143,7 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         own, n = plain(key)[: self.n_keys], len(self.values)
         before, count, version = plain(self.total.get()) if self.total.exists() else (None, 0, 0)
-        # rows of one document: those of its newest version; several rows of one version are folded
-        newest: dict[tuple, tuple[tuple, tuple | None]] = {}
-        for r in rows:
-            doc, at = (r["_src"], r["_id"]), plain(r["_seq"])
-            value = None if r["_gone"] else plain(r)[-n:]
-            have = newest.get(doc)
-            if have is None or at > have[0] or (at == have[0] and have[1] is None):
-                newest[doc] = (at, value)
-            elif at == have[0] and value is not None:
-                newest[doc] = (at, self._join(own, have[1], value))
+        newest = _newest(rows, n, lambda a, b: self._join(own, a, b))
         total, exact, added = before, self.reducer.inverse is not None, []
         for doc, (_, value) in newest.items():
             old = plain(self.documents.getValue(doc))[0] if self.documents.containsKey(doc) else None
@@ -114,7 +154,7 @@ class Fold(StatefulProcessor):
             elif old is not None:
                 self.documents.removeKey(doc)
             if exact and old is not None:
-                total = self.reducer.inverse(total, old)
+                total = plain(self.reducer.inverse(total, old))
                 exact = total is not None
         if not count:
             total = None
@@ -145,8 +185,12 @@ def _diffed(df: DataFrame, view: ViewSpec, number: int, seq: list[str]) -> DataF
     m, names = view.maps[number], [*view.keys, *view.values]
     order = F.col("_seq") if seq == ["_seq"] else F.array(*[_longs(F.col(c), df.schema[c].dataType) for c in seq])
     ids = F.array(*[F.col(c).cast("string") for c in m.source.ids]) if m.source.ids else F.array().cast("array<string>")
-    emitted = m.mapper.listed(m.values, len(names))
-    rows = F.when(batch.defined(m.values, m.source.ids), emitted).otherwise(F.slice(emitted, 1, 0))
+    there = batch.defined(m.values, m.source.ids)
+    if isinstance(m.mapper, PyMap):
+        rows = m.mapper.listed(m.values, len(names), there)
+    else:
+        emitted = m.mapper.listed(m.values, len(names))
+        rows = F.when(there, emitted).otherwise(F.slice(emitted, 1, 0))
     rows = F.transform(rows, lambda r: F.struct(*[r[f"_{i}"].alias(n) for i, n in enumerate(names)]))
     one = df.select(F.lit(m.name or str(number)).alias("_src"), F.to_json(ids).alias("_id"), order.alias("_seq"), rows.alias("_rows"))
     item = one.schema["_rows"].dataType.elementType
@@ -168,8 +212,18 @@ def lower_view(view: ViewSpec, frames: dict[str, DataFrame], seqs: dict[str, lis
         out = StructType([*[StructField(k, df.schema[k].dataType) for k in by], *kinds.fields, StructField("_seq", ArrayType(LongType())), StructField("_changed", BooleanType()), StructField("_op", StringType())])
         return df.select(*by, "_src", "_id", "_seq", "_gone", *values).groupBy(*by).transformWithState(Fold(view.reducer, kinds, len(view.keys), final, out), out, "Update", "None")
 
-    if view.salts > 1:
-        split = parts.withColumn("_salt", F.pmod(F.xxhash64("_src", "_id"), F.lit(view.salts)).cast(IntegerType()))
+    def by_expressions(df: DataFrame, by: list[str]) -> DataFrame:
+        out = StructType([*[StructField(k, df.schema[k].dataType) for k in by], StructField("_rows", ArrayType(kinds)), StructField("_was", ArrayType(kinds)), StructField("_seq", ArrayType(LongType()))])
+        gathered = df.select(*by, "_src", "_id", "_seq", "_gone", *values).groupBy(*by).transformWithState(Gather(kinds, out), out, "Update", "None")
+        now, was = (view.reducer.over(c, kinds) for c in ("_rows", "_was"))
+        gone = F.size("_rows") == 0
+        return gathered.select(*by, "_seq", now.alias("_v"), (~now.eqNullSafe(was)).alias("_changed"), F.when(gone, "D").otherwise("U").alias("_op")).select(*by, "_v.*", "_seq", "_changed", "_op")
+
+    salts = view.salts
+    if isinstance(view.reducer, FoldExpr):
+        fold, salts = lambda df, by, final: by_expressions(df, by), max(salts, BUCKETS)
+    if salts > 1:
+        split = parts.withColumn("_salt", F.pmod(F.xxhash64("_src", "_id"), F.lit(salts)).cast(IntegerType()))
         folded = fold(split, [*keys, "_salt"], False).where("_changed")
         parts = folded.select(*keys, F.lit("").alias("_src"), F.col("_salt").cast("string").alias("_id"), "_seq", (F.col("_op") == "D").alias("_gone"), *values)
     out = fold(parts, keys, True)

@@ -3,7 +3,8 @@ from view_helpers import rows
 from foldview.operators import changes
 from foldview.operators.ordering import compare, sort_key, universal
 
-MESSAGES = [(1, 1001, 99.99), (1, 1001, 99.99), (1, 1001, 99.99), (2, 1001, 0.01), (2, 1001, 100.01), (3, 1001, None), (1, 1001, None), (1, None, None), (2, 1002, 100.01), (2, None, None)]
+#: id, account, amount: sent twice, a second record, replaced, one without an amount, deleted in both ways, moved
+MESSAGES = [(51, 7, 60.5), (51, 7, 60.5), (52, 7, 1.25), (52, 7, 30.0), (53, 7, None), (51, 7, None), (51, None, None), (52, 8, 30.0), (52, None, None)]
 
 
 def updates(spark):
@@ -12,13 +13,32 @@ def updates(spark):
 
 def test_moves_leave_the_old_key(spark):
     out = rows(changes.moved_keys(updates(spark), ["id"], "s", ["account"], ["amount"]))
-    assert (1, 6, 1001, None) in out and (2, 8, 1001, None) in out and (2, 8, 1002, 100.01) in out and (2, 9, 1002, None) in out
-    assert not [r for r in out if r[0] == 3]
+    assert (51, 5, 7, None) in out and (52, 7, 7, None) in out and (52, 7, 8, 30.0) in out and (52, 8, 8, None) in out
+    assert not [r for r in out if r[0] == 53]
 
 
 def test_running_totals(spark):
-    got = {r[1]: r[2] for r in rows(changes.prefix_sums(updates(spark), ["id"], "s", "account", "amount")) if r[0] == 1001}
-    assert [None if got[s] is None else round(got[s], 2) for s in (0, 3, 4, 6, 8)] == [99.99, 100.0, 200.0, 100.01, None]
+    got = {r[1]: r[2] for r in rows(changes.prefix_sums(updates(spark), ["id"], "s", "account", "amount")) if r[0] == 7}
+    assert [got[s] for s in (0, 2, 3, 5, 7)] == [60.5, 61.75, 90.5, 30.0, None]
+
+
+def test_running_totals_in_blocks(spark):
+    """However the order is cut into blocks, the totals are the same."""
+    import random
+
+    rnd = random.Random(5)
+    said = [(rnd.randint(1, 20), rnd.choice([1, 2, None]), rnd.choice([None, *range(9)]), i * i) for i in range(200)]
+    df = spark.createDataFrame(said, "id long, account long, amount long, s long")
+    held, want = {}, []
+    for i, account, amount, s in said:
+        keys = {account, held.get(i, (None, None))[0]} - {None}
+        held[i] = (account, amount) if account is not None and amount is not None else (None, None)
+        for k in keys:
+            now = [v for a, v in held.values() if a == k]
+            want.append((k, s, sum(now) if now else None))
+    for blocks in (1, 7, 1000):
+        got = rows(changes.prefix_sums(df, ["id"], "s", "account", "amount", blocks))
+        assert set(got) <= set(want) and len(got) > 150
 
 
 def test_changes_and_difference(spark):

@@ -1,11 +1,14 @@
+import functools
 import json
 import random
 
+import pytest
 from view_helpers import rows
 
-from foldview.functions.mappers import Count, TopNMapper
-from foldview.functions.reducers import MaxValue, Sum, TopN
+from foldview.functions.mappers import Count, PyMap, TopNMapper
+from foldview.functions.reducers import BoolOr, FirstNonNull, FoldExpr, MaxValue, MinValue, PyFold, Sum, TopN, Union
 from foldview.plans.engine import Engine
+from foldview.plans.language import run
 from foldview.sinks.publishers import ParquetTable
 
 SCHEMA = "id long, account long, amount long, s long"
@@ -37,13 +40,54 @@ def balances(e):
 
 def test_retraction_sequence(spark, tmp_path):
     f = Feed(spark, tmp_path, balances)
-    assert f.step("accounts", (1, 1001, 9999), (1, 1001, 9999)) == [(1001, 9999)]
-    assert f.step("accounts", (2, 1001, 1)) == [(1001, 10000)]
-    assert f.step("accounts", (2, 1001, 10001)) == [(1001, 20000)]
-    assert f.step("accounts", (3, 1001, None), (1, 1001, None)) == [(1001, 10001)]
-    assert f.step("accounts", (2, 1002, 10001)) == [(1002, 10001)]
-    assert f.step("accounts", (2, None, None)) == []
-    assert f.step("accounts", (3, None, None)) == []
+    assert f.step("accounts", (41, 7, 60), (41, 7, 60), (42, 8, 5)) == [(7, 60), (8, 5)]  # one document, sent twice
+    assert f.step("accounts", (43, 7, 15)) == [(7, 75), (8, 5)]
+    assert f.step("accounts", (43, 7, 40), (44, 9, None)) == [(7, 100), (8, 5)]  # replaced; another without an amount
+    assert f.step("accounts", (43, 8, 40), (41, 7, -3)) == [(7, -3), (8, 45)]  # moved
+    assert f.step("accounts", (41, None, None), (42, 8, None)) == [(8, 40)]  # deleted
+    assert f.step("accounts", (43, None, 1), (44, None, None)) == []
+
+
+FOLDS = {
+    "expressions": lambda e: e.map("{ account amount }", "deposits(id)").red("{ balance }", "folded(account)", "a.balance + b.balance"),
+    "bounds": lambda e: e.map("{ account amount }", "deposits(id)", "account; amount; amount").red("{ lo hi }", "folded(account)", FoldExpr("least(a.lo, b.lo)", "greatest(a.hi, b.hi)")).fmt("{ spread }", "hi - lo"),
+    "text": lambda e: run(e, "MAP { account amount } FROM deposits(id)\nRED { n } INTO folded(account) USE { a, b -> [a.n + b.n] }"),
+    "union": lambda e: e.map("{ account amount }", "deposits(id)", "account; amount; 1L; amount").red("{ total n most }", "folded(account)", Union(Sum(), Sum(), MaxValue())),
+    "python map": lambda e: e.map("{ account amount }", "deposits(id)", PyMap(lambda r: [(r["account"], r["amount"]), (0, 1)][: 1 + r["amount"] % 2], "long", "long")).red("{ x }", "folded(account)", Sum()),
+    "python fold": lambda e: e.map("{ account amount }", "deposits(id)").red("{ x }", "folded(account)", PyFold(lambda a, b: (a[0] ^ b[0],))),
+    "extremes": lambda e: e.map("{ account id amount }", "deposits(id)", "account; amount; id").red("{ x who }", "folded(account)", MinValue()),
+    "top": lambda e: e.map("{ account id amount }", "deposits(id)", "account; array(struct(amount, id))").red("{ top }", "folded(account)", TopN(2)),
+}
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_folds_in_streams(spark, tmp_path, name):
+    """Each kind of fold against batch: upserts, moves and deletes in three steps."""
+    rnd = random.Random(11)
+    f, said = Feed(spark, tmp_path, FOLDS[name]), []
+    for k in range(3):
+        batch = [(rnd.randint(1, 9), rnd.choice([1, 2, 2, 3, None]), rnd.choice([None, *range(-4, 7)])) for _ in range(12)]
+        said += batch
+        got = f.step("folded", *batch)
+        e = Engine(spark).source("deposits(id)", spark.createDataFrame([(*m, i) for i, m in enumerate(said)], SCHEMA), seq="s")
+        FOLDS[name](e)
+        assert got == rows(e.batch("folded")), k
+
+
+def test_inverses():
+    """Taking a value out of a total gives the fold of the others, or None."""
+    rnd = random.Random(2)
+    some = lambda: rnd.choice([None, *range(-3, 4)])
+    kinds = [(Sum(), lambda: (some(), some())), (MinValue(), lambda: (some(), some())), (MaxValue(), lambda: (some(),)), (Union(Sum(), MaxValue(), FirstNonNull()), lambda: (some(), some(), some())), (FirstNonNull(), lambda: (some(), some())), (BoolOr(), lambda: (rnd.choice([None, True, False]),)), (TopN(2), lambda: ([(rnd.randint(0, 5),)],))]
+    known = 0
+    for reducer, value in kinds:
+        for _ in range(300):
+            held = [value() for _ in range(rnd.randint(2, 5))]
+            fold = lambda xs: reducer.finish(functools.reduce(reducer.fold, xs))  # noqa: E731, B023
+            left = reducer.inverse(fold(held), held[0])
+            known += left is not None
+            assert left is None or tuple(left) == tuple(fold(held[1:]))
+    assert known > 600
 
 
 def test_stream_equals_batch(spark, tmp_path):
