@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed byte n-grams (4 to 6, A-Z lower-cased, white space as one blank) that occur in a text, not
-how often.  On a bounded sample of labelled texts (MAX_POSITIVE and MAX_NEGATIVE rows, by hash of doc_id; both
+Features are hashed n-grams of 4 to 6 characters (code points; A-Z lower-cased, white space as a blank) that occur in
+a text, not how often.  On a bounded sample of labelled texts (MAX_POSITIVE and MAX_NEGATIVE rows, by hash of doc_id; both
 are parameters) the classes' document counts give each feature's log-count ratio r; the KEPT features with the
 strongest evidence stay, and a logistic regression is fitted on x * r.  Both classes are counted over all labels
 outside the held-out fold, and the bias is corrected by what the sample's odds are off from theirs, so a score means
@@ -9,7 +9,7 @@ the same whether the sample is bounded or not.  The model is KEPT numbers, so it
 broadcast; scoring is one pass over whole texts with no shuffle.
 
 Only text is an input of a score.  Defined results: a null or empty text has the score of the bias alone;
-repeated rows score alike; labels given twice count as toxic if one says so; labels other than 0 and 1 are left
+repeated rows score alike; very long texts are scored whole, in steps that keep a text together; labels given twice count as toxic if one says so; labels other than 0 and 1 are left
 out; without labels of both classes every score is the base rate (0 without labels); an empty table gives an
 empty table; extra columns are ignored.
 """
@@ -30,17 +30,29 @@ BITS = 20
 KEPT = 4_000
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 8_000
 CUT = 0.3
-_TABLE = splitmix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
 
 
-def gram_slots(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slot of each n-gram, byte it starts at) for each n; n-grams that cross from one document to the next are left out."""
-    low = _LOWER[raw].copy()
-    low[_SPACE[raw]] = 32
-    codes, n = _TABLE[low], len(raw)
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, A-Z lower-cased and white space as a blank, and where each document begins among them."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
+    first = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
+    small = points < 256
+    low = points.astype(np.int64)
+    low[small] = _FOLDED[points[small]]
+    return low, first
+
+
+_FOLDED = _LOWER.astype(np.int64)
+_FOLDED[_SPACE] = 32
+
+
+def gram_slots(points: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slot of each n-gram, character it starts at) for each n; n-grams that cross from one document to the next are left out."""
+    n = len(points)
     border = np.zeros(n + 1, dtype=bool)
-    border[offsets[1:-1]] = True
+    border[first[1:-1]] = True
     with np.errstate(over="ignore"):
+        codes = splitmix(points.astype(U64) * U64(0xA24BAED4963EE407) + U64(1))
         h, cross = codes, np.zeros(n, dtype=bool)
         for k in range(2, max(GRAMS) + 1):
             if n < k:
@@ -55,11 +67,12 @@ def gram_slots(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 def document_slots(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, slot) pairs, of the wanted slots only if given (a boolean for each slot)."""
     keys = [np.empty(0, np.int64)]
-    for slots, at in gram_slots(raw, offsets):
+    points, first = characters(raw, offsets)
+    for slots, at in gram_slots(points, first):
         if wanted is not None:
             hit = wanted[slots]
             slots, at = slots[hit], at[hit]
-        doc = np.searchsorted(offsets, at, side="right") - 1
+        doc = np.searchsorted(first, at, side="right") - 1
         keys.append(np.unique((doc.astype(np.int64) << BITS) | slots))
     key = np.unique(np.concatenate(keys))
     return key >> BITS, key & ((1 << BITS) - 1)
