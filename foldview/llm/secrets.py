@@ -1,20 +1,25 @@
 """Secret scans: pattern candidates, false positives removed by a random forest.
 
 Candidates are private keys, values assigned to names such as token or password (in quotes up to the closing quote,
-whatever stands before the name), and what these leave of runs of key characters with a digit.  Each candidate is described by length, character transitions, dictionary coverage, path and
-neighbouring words; a forest of bootstrapped trees, trained from labelled findings, gives the probability that it
-is a secret.  `labelled_findings` makes the labelled set (a bounded, seeded number of rows, by parameter); a caller
-may give its own rows instead.  The model is a few hundred tree nodes and is broadcast; scanning is one pass over
-whole texts with no shuffle.
-
-Defined results: null and empty texts have no findings; overlapping candidates give the longest; repeated rows are
-scanned each on its own; a null source is an empty path; an empty table gives an empty table; `scan` ignores extra
-columns and `redact` keeps them, replacing each secret by MASK and n_chars, where there is one, by the new length.
+whatever stands before the name), signed tokens of three parts with dots, and what these leave of runs of key characters
+with a digit.  Each candidate is described by length, character transitions, dictionary coverage, path and neighbouring
+words; a forest of bootstrapped trees, trained from labelled findings, gives the probability that it is a secret.
+`labelled_findings` makes the labelled set (a bounded, seeded number of rows, by parameter); a caller may give its own
+rows instead.  The dictionary is the words of a public tokenizer's vocabulary, whose path is a parameter.  The model is
+a few hundred tree nodes and at most DICTIONARY words and is broadcast; scanning is one pass over whole texts with no
+shuffle.
+
+Defined results: null and empty texts have no findings; candidates do not overlap: keys come first, then assigned
+values, then signed tokens, and runs take what is left; repeated rows are scanned each on its own; very long texts are
+scanned whole; a null source is an empty path; an empty table gives an empty table; `scan` ignores extra columns and
+`redact` keeps them, replacing each secret by MASK and n_chars, where there is one, by the new length.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -32,7 +37,7 @@ MASK = "[SECRET]"
 CUT = 0.5
 NAMES = "token|secret|passwd|password|pwd|api_key|apikey|api-key|access_key|auth|credential|private_key|bearer"
 #: one pattern that both RE2 and Python read alike; it finds every document that has a candidate
-LIKELY = r"(?i)[a-z0-9_+/=\-]{16,}|(?:" + NAMES + r")[a-z_]{0,12}[\"']?\s{0,3}[:=]|-----BEGIN"
+LIKELY = r"(?i)[a-z0-9_+/=\-]{16,}|eyj[a-z0-9_\-]{8,}\.|(?:" + NAMES + r")[a-z_]{0,12}[\"']?\s{0,3}[:=]|-----BEGIN"
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----")
 #: a value in quotes goes up to the closing quote; a bare one may have punctuation, but an & before name= is a URL's
 ASSIGNED = re.compile(
@@ -42,7 +47,11 @@ ASSIGNED = re.compile(
     re.ASCII,
 )
 RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{14,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?", re.ASCII)
+#: header, claims and signature, in base64 of URLs
+SIGNED = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]++)?", re.ASCII)
 CONTEXT = 40
+#: words of the dictionary at most, and their length
+DICTIONARY, WORD_LEAST, WORD_MOST = 100_000, 4, 16
 PUNCTUATION = "@!#$%^&*?"
 #: fixed words: what speaks for and against a secret nearby, and common words that identifiers are made of
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "private")
@@ -52,11 +61,35 @@ WORDS = tuple("the and for with that this from have not are was will can all one
 PATH_AGAINST = ("test", "fixture", "example", "mock", "lock", "vendor", "docs")
 FEATURES = ("length", "entropy", "class_changes", "digit_share", "upper_share", "vowel_share", "repeat_share", "bigram_fit", "coverage", "placeholder", "hex_only", "near_for", "near_against", "assigned", "quoted", "path_against", "known_format")
 _BIGRAMS = Counter(a + b for w in WORDS for a, b in zip(w, w[1:]))
-_DICTIONARY = re.compile("|".join(sorted((w for w in WORDS if len(w) > 3), key=len, reverse=True)))
 _KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]+\.[\w-]+|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35}|-----BEGIN)")
 
 
-def features(value: str, left: str, right: str, path: str) -> list[float]:
+@functools.cache
+def dictionary(vocabulary: str | None = None) -> frozenset[str]:
+    """Words of WORD_LEAST to WORD_MOST letters that begin a word in a byte-level vocabulary file of the tokenizers library (None: the public one)."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    with open(vocabulary, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    begins = chr(256 + ord(" "))  # how such files write a blank
+    words = sorted(t[1:].lower() for t in tokens if t.startswith(begins) and t[1:].isascii() and t[1:].isalpha() and WORD_LEAST <= len(t) - 1 <= WORD_MOST)
+    return frozenset(words[:DICTIONARY]) | frozenset(w for w in WORDS if len(w) >= WORD_LEAST)
+
+
+def coverage(value: str, words: frozenset[str]) -> float:
+    """Share of a value's characters in dictionary words, the longest first from the left; a word ends where letters change to upper case."""
+    covered = 0
+    for m in re.finditer(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value):
+        part, at = m[0].lower(), 0
+        while at <= len(part) - WORD_LEAST:
+            k = next((k for k in range(min(WORD_MOST, len(part) - at), WORD_LEAST - 1, -1) if part[at : at + k] in words), 0)
+            covered, at = covered + k, at + (k or 1)
+    return covered / len(value)
+
+
+def features(value: str, left: str, right: str, path: str, dictionary_: frozenset[str] | None = None) -> list[float]:
     low, n = value.lower(), len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     share = lambda k: kinds.count(k) / n
@@ -66,7 +99,7 @@ def features(value: str, left: str, right: str, path: str) -> list[float]:
     return [
         min(n, 500), entropy, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1), share("d"), share("u"),
         sum(c in "aeiou" for c in low) / n, sum(a == b for a, b in zip(value, value[1:])) / max(n - 1, 1),
-        sum(math.log1p(_BIGRAMS[x]) for x in letters) / max(n - 1, 1), sum(len(m) for m in _DICTIONARY.findall(low)) / n,
+        sum(math.log1p(_BIGRAMS[x]) for x in letters) / max(n - 1, 1), coverage(value, dictionary() if dictionary_ is None else dictionary_),
         float(any(p in low for p in PLACEHOLDERS)), float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
         float(any(p in w for w in words[-3:] for p in FOR)), float(any(p in w for w in words[-3:] for p in AGAINST)),
         float(re.search(r"[=:]\s*[\"']?$", before) is not None), float(bool(left) and left[-1] in "\"'" and right[:1] == left[-1]),
@@ -78,10 +111,14 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of each candidate, in order and without overlap."""
     keys = [m.span() for m in PEM.finditer(text)]
     found, taken = [(a, b, "private key") for a, b in keys], list(keys)
-    for m in ASSIGNED.finditer(text):
-        if not any(x < m.end() and m.start() < y for x, y in keys):
-            found.append((*m.span(m.lastgroup or ""), "assigned value"))
-            taken.append(m.span())
+    for pattern, kind in ((ASSIGNED, "assigned value"), (SIGNED, "signed token")):
+        before, k = sorted(taken), 0
+        for m in pattern.finditer(text):
+            while k < len(before) and before[k][1] <= m.start():
+                k += 1
+            if k == len(before) or before[k][0] >= m.end():
+                found.append((*m.span(m.lastgroup or 0), kind))
+                taken.append(m.span())
     taken.sort()
     at = 0
     for m in RUN.finditer(text):  # what keys and assignments leave of it
@@ -99,9 +136,9 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     yield from sorted(found)
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def labelled_findings(n: int = 3000, seed: int = 11, vocabulary: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labelled candidates as (features, 0/1): keys of usual formats and names, and what scanners mistake for them."""
-    rnd = random.Random(seed)
+    rnd, words = random.Random(seed), dictionary(vocabulary)
     hexa, base, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda chars, a, b: "".join(rnd.choices(chars, k=rnd.randint(a, b)))
     word = lambda: rnd.choice(WORDS) if rnd.random() < 0.5 else some("aeiouthnsrdl", 2, 9)
@@ -112,7 +149,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
         secret = rnd.random() < 0.5
         path = rnd.choice(["src/app.py", "config/prod.env", "web", "src3", "notes", "tests/unit.py" if not secret or rnd.random() < 0.2 else "deploy.yml", "package.lock" if not secret else "main.go"])
         if secret:
-            value = rnd.choice([lambda: some(hexa, 32, 64), lambda: some(hexa, 40, 40), lambda: some(hexa, 40, 40).upper(), lambda: some(base, 24, 64), lambda: some(alnum, 20, 48), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + some(alnum, 36, 36), lambda: some(alnum + "_-.~", 10, 20) + "7", human, human])()
+            value = rnd.choice([lambda: some(hexa, 32, 64), lambda: some(hexa, 40, 40), lambda: some(hexa, 40, 40).upper(), lambda: some(base, 24, 64), lambda: some(alnum, 20, 48), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + some(alnum, 36, 36), lambda: "eyJ" + ".".join(some(alnum + "_-", *k) for k in ((17, 34), (30, 90), (43, 43))), lambda: some(alnum + "_-.~", 10, 20) + "7", human, human])()
             typed = any(c in PUNCTUATION for c in value)
             name = rnd.choice(FOR)
             name = name.upper() if rnd.random() < 0.2 else name
@@ -124,16 +161,16 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.nda
             if _KNOWN.match(value) and rnd.random() < 0.4:
                 left = talk() + " "
         else:
-            kind = rnd.randrange(9)
-            value = [lambda: some(hexa, 40, 64), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(rnd.choice(WORDS) for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 99)), lambda: "/".join(word() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 9)), lambda: rnd.choice(PLACEHOLDERS) + rnd.choice(["-", "_", ""]) + rnd.choice(["key", "token", "here", "secret", "value123"]), lambda: some("0123456789", 16, 24), lambda: some("aeiouthnsrdl", 14, 30) + str(rnd.randint(0, 9)), lambda: talk() + " " + talk() + rnd.choice([".", "!", ""]), lambda: f"https://{word()}.example.org/{word()}/{word()}"][kind]()
-            if kind in (4, 7, 8):
+            kind = rnd.randrange(10)
+            value = [lambda: some(hexa, 40, 64), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: "_".join(rnd.choice(WORDS) for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 99)), lambda: "/".join(word() for _ in range(rnd.randint(3, 6))) + str(rnd.randint(0, 9)), lambda: rnd.choice(PLACEHOLDERS) + rnd.choice(["-", "_", ""]) + rnd.choice(["key", "token", "here", "secret", "value123"]), lambda: some("0123456789", 16, 24), lambda: some("aeiouthnsrdl", 14, 30) + str(rnd.randint(0, 9)), lambda: talk() + " " + talk() + rnd.choice([".", "!", ""]), lambda: f"https://{word()}.example.org/{word()}/{word()}", lambda: rnd.choice(["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 9, 9) + "EXAMPLE", "ghp_" + "x" * 36, "sk_test_" + "1234567890" * 2 + "abcd", "ghp_" + rnd.choice(["example", "your", "dummy"]) + some(alnum, 30, 30)])][kind]()
+            if kind in (4, 7, 8) or kind == 9 and rnd.random() < 0.6:
                 left = talk() + " " + rnd.choice([f'{rnd.choice(FOR)} = "', f"{rnd.choice(FOR)}="])
             elif kind in (0, 1):
                 left = talk() + " " + rnd.choice(AGAINST[:10]) + rnd.choice([" ", ": ", '="', "-", "="])
             else:
                 left = talk() + rnd.choice([" ", ' "', " = ", ": "])
         right = (left[-1] if left[-1] in "\"'" else " ") + talk()
-        x.append(features(value, left[-CONTEXT:], right, path))
+        x.append(features(value, left[-CONTEXT:], right, path, words))
         y.append(int(secret))
     return np.array(x), np.array(y)
 
@@ -183,8 +220,11 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: tuple[np.ndarray, np.ndarray] | None = None) -> Forest:
-    return Forest(*(labelled_findings() if findings is None else findings))
+def train(findings: tuple[np.ndarray, np.ndarray] | None = None, vocabulary: str | None = None) -> Forest:
+    """The forest, with the dictionary that its coverage is of."""
+    out = Forest(*(labelled_findings(vocabulary=vocabulary) if findings is None else findings))
+    out.words = dictionary(vocabulary)
+    return out
 
 
 def _judged(texts: pa.Array, paths: list[str | None], forest: Forest) -> Iterator[tuple[int, str, list[tuple[int, int, str, float]]]]:
@@ -194,7 +234,7 @@ def _judged(texts: pa.Array, paths: list[str | None], forest: Forest) -> Iterato
         text = texts[int(i)].as_py()
         found = list(candidates(text))
         if found:
-            x = np.array([features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], paths[i] or "") for a, b, _ in found])
+            x = np.array([features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], paths[i] or "", forest.words) for a, b, _ in found])
             yield int(i), text, [(a, b, kind, float(p)) for (a, b, kind), p in zip(found, forest.probability(x))]
 
 
