@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,15 @@ def discard(spark: SparkSession, *stages: DataFrame) -> None:
         _delete(spark, stage._foldview_path)
 
 
+def settled_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The settled result of make; what was settled on the way there is deleted."""
+    before = set(_written)
+    out = settled(spark, make(), name)
+    for path in [p for p in _written if p not in before and p != out._foldview_path]:
+        _delete(spark, path)
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all settled stages of this process: to be called when no result that reads them is needed any more."""
     for path in list(_written):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, U64, needed, settled, splitmix, string_chunks, table
+from .common import _LOWER, _SPACE, U64, discard, needed, settled, splitmix, string_chunks, table
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -211,7 +211,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITI
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
     sample = settled(docs.sparkSession, sample_of(docs, labels, max_positive, max_negative), "toxicity-sample")
-    scored = score(docs, *train(sample, whole_counts=class_counts(labelled(docs, labels))))
+    model = train(sample, whole_counts=class_counts(labelled(docs, labels)))
+    discard(docs.sparkSession, sample)
+    scored = score(docs, *model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

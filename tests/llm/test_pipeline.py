@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from foldview.llm import packing, quality, secrets
+from foldview.llm import common, packing, quality, secrets
 from test_jaccard import brute as brute_links
 from test_packing import TOKENIZER
 from test_substring import words_of
@@ -75,10 +75,13 @@ def test_stages(frame, spark, docs_rows, tmp_path):
 
 def test_run_is_the_stages(frame, spark, docs_rows, tmp_path):
     frame(docs_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    had = len(common._written)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     want = {d for d, _, c, _ in brute_links(kept_by_rules(docs_rows)) if d == c}
     assert {r["doc_id"] for r in out.collect()} == want
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._written[had:]]
+    assert sorted(left) == ["foldview-pieces", "foldview-pipeline-secret_scan"]
 
 
 def test_empty_table(frame, spark):
