@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foldview.llm import jaccard, packing, quality, secrets, substring
-from foldview.llm.common import settled, table
+from foldview.llm.common import discard, settled_alone, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settled(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # what a stage writes on its way, and what the stage before gave, goes when its result is there
+        docs = settled_alone(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

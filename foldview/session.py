@@ -19,13 +19,19 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse's on a cluster and a temporary one on a single machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse's on a cluster and a temporary one on a single machine.
+
+    A cluster whose warehouse is still the default, a folder of the driver's own disk, has none: that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_foldview_work", None)
     if not found:
         master = spark.sparkContext.master
         alone = master.startswith("local") and not master.startswith("local-cluster")
-        found = tempfile.mkdtemp(prefix="foldview-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_foldview"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not alone and warehouse.removeprefix("file:").replace("//", "/") == f"{os.getcwd()}/spark-warehouse":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="foldview-") if alone else f"{warehouse}/_foldview"
         spark._foldview_work = found
     return found.rstrip("/")
