@@ -46,7 +46,7 @@ from .substring import _keyed
 
 K, PERCENT = 5, 80
 ORDERS = 3
-HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 100_000
+HEAVY, SHARE, HEAVY_MOST, BUCKET = 32, 0.002, 1 << 17, 1_000
 FEW = 20_000
 SMALL, BLOCK, BLOCK_BYTES = 64, 2_000, 4 << 20
 #: rows of one token that go to one task where tokens are joined
