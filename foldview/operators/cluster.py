@@ -11,44 +11,43 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.buckets import Buckets
 from . import docstore
 
+#: what names a document
+DOCUMENT = ("table", "key")
+
 
 class Cluster:
     def __init__(self, spark: SparkSession, path: str, name: str = "cluster"):
         self.spark, self.path, self.name = spark, path.rstrip("/"), name
 
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot")
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot/{n}/_SUCCESS")))
+    def _snapshot(self) -> Buckets:
+        return Buckets(self.spark, f"{self.path}/snapshot")
 
     def snapshot(self) -> DataFrame:
         """The latest version of every column of every document."""
-        have = self._versions()
-        return self.spark.read.schema(docstore.LONG).parquet(f"{self.path}/snapshot/v={have[-1]}") if have else self.spark.createDataFrame([], docstore.LONG)
+        found = self._snapshot().read()
+        return found if found is not None else self.spark.createDataFrame([], docstore.LONG)
 
     def changes(self) -> DataFrame:
         """The change log: each update that made a difference, once."""
-        have = self._versions()
+        have = self._snapshot().touched()
         if not have:
             return self.spark.createDataFrame([], docstore.LONG + ", version int")
-        return self.spark.read.schema(docstore.LONG + ", version int").parquet(f"{self.path}/changes").where(F.col("version") <= have[-1])
+        return self.spark.read.schema(docstore.LONG + ", version int").parquet(f"{self.path}/changes").where(F.col("version") <= max(have))
 
     def put_batch(self, updates: DataFrame) -> int:
-        """Apply updates (docstore.LONG, with `seq` where their order of arrival is known); the number of changes."""
-        have = self._versions()
-        version = have[-1] + 1 if have else 0
-        before = self.snapshot()
+        """Apply updates (docstore.LONG, with `seq` where their order of arrival is known); the number of changes.  Only the buckets of their documents are read and written."""
+        held = self._snapshot()
+        version, columns = max(held.touched(), default=-1) + 1, [c.split()[0] for c in docstore.LONG.split(", ")]
+        touched = [r[0] for r in updates.select(held.bucket(DOCUMENT).alias("b")).distinct().collect()]  # as many as there are buckets, at most
+        before = held.read(touched)
+        before = before.select(*columns) if before is not None else self.spark.createDataFrame([], docstore.LONG)
         won = docstore.change_log(updates, before)
-        columns = [c.split()[0] for c in docstore.LONG.split(", ")]
         won.select(*columns).write.mode("overwrite").partitionBy("table").parquet(f"{self.path}/changes/version={version}")
         made = self.spark.read.schema(docstore.LONG).parquet(f"{self.path}/changes/version={version}")
-        docstore.merge(before.select(*columns).unionByName(made.select(*columns))).select(*columns).write.mode("overwrite").parquet(f"{self.path}/snapshot/v={version}")
+        held.write(docstore.merge(before.unionByName(made.select(*columns))).select(*columns), DOCUMENT, touched, version)
         return made.count()
 
     def put(self, table: str, key: Iterable[object], document: dict, ts: int, uuid: str = "") -> int:

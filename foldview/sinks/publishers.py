@@ -6,12 +6,15 @@ come again after a failure: `batch_id` makes writes idempotent.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import NUMBER, Buckets
+
 
 class Publisher(Protocol):
     def write(self, table: str, ids: Sequence[str], rows: DataFrame, batch_id: int) -> None: ...
@@ -36,39 +39,48 @@ def is_delete(rows: DataFrame, ids: Sequence[str], ignore: Sequence[str] = ("_op
 
 
 class ParquetTable:
-    """Upserts and deletes on a Parquet folder: each batch writes the next version beside the current one."""
+    """Upserts and deletes on a Parquet folder: each batch writes the next version of the buckets of ids that it touches.
+
+    Versions go on where an earlier run ended: batch ids of a new checkpoint begin at 0 again, so each run of a stream
+    (`begin`, by its checkpoint) has versions of its own above those that it finds.
+    """
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark, path: str, number: int = NUMBER):
+        self.spark, self.path, self.number, self.base = spark, path.rstrip("/"), number, {}
 
-    def _fs(self, path: str):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf), p
+    def _buckets(self, table: str) -> Buckets:
+        return Buckets(self.spark, f"{self.path}/{table}", self.number)
 
-    def _versions(self, table: str) -> list[int]:
-        fs, p = self._fs(f"{self.path}/{table}")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = lambda n: self._fs(f"{self.path}/{table}/{n}/_SUCCESS")
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n)[0].exists(done(n)[1]))
+    def begin(self, table: str, checkpoint: str) -> None:
+        """Number the batches of this checkpoint from the first version that was free when it was first seen."""
+        name, held = hashlib.sha256(checkpoint.encode()).hexdigest()[:16], self._buckets(table)
+        runs = dict(x.split("-") for x in held._names("runs"))
+        if name not in runs:
+            runs[name] = str(max(held.touched(), default=-1) + 1)
+            fs, mark = held._at("runs", f"{name}-{runs[name]}")
+            fs.create(mark).close()
+        self.base[table] = int(runs[name])
 
     def read(self, table: str) -> DataFrame | None:
-        have = self._versions(table)
-        return self.spark.read.parquet(f"{self.path}/{table}/v={have[-1]}") if have else None
+        return self._buckets(table).read()
 
     def write(self, table, ids, rows, batch_id):
-        versions = [v for v in self._versions(table) if v < batch_id]
-        new = rows.where(~is_delete(rows, ids)).drop("_op", "_changed")
-        if versions:
-            old = self.spark.read.parquet(f"{self.path}/{table}/v={versions[-1]}")
-            on = F.lit(True)
-            for k in ids:
-                on &= F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
-            kept = old.alias("o").join(rows.select(*ids).alias("n"), on, "left_anti") if ids else old.limit(0)
-            new = kept.unionByName(new)
-        new.write.mode("overwrite").parquet(f"{self.path}/{table}/v={batch_id}")
+        held, version = self._buckets(table), self.base.get(table, 0) + batch_id
+        rows = rows.persist()
+        try:
+            touched = [r[0] for r in rows.select(held.bucket(ids).alias("b")).distinct().collect()]  # as many as there are buckets, at most
+            new = rows.where(~is_delete(rows, ids)).drop("_op", "_changed")
+            old = held.read(touched, version)
+            if old is not None:
+                on = F.lit(True)
+                for k in ids:
+                    on &= F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+                kept = old.alias("o").join(rows.select(*ids).alias("n"), on, "left_anti") if ids else old.limit(0)
+                new = kept.unionByName(new)
+            if touched:
+                held.write(new, ids, touched, version)
+        finally:
+            rows.unpersist()
 
 
 class KeyValue:
@@ -153,6 +165,8 @@ def publish(engine, name: str, publisher: Publisher, checkpoint: str | None = No
         rows = engine.batch(name)
         publisher.write(table, view.keys, rows.withColumns({"_changed": F.lit(True), "_op": F.when(is_delete(rows, view.keys), "D").otherwise("U")}), 0)
         return None
+    if checkpoint and hasattr(publisher, "begin"):
+        publisher.begin(table, checkpoint)
     out = engine.stream(name).where("_changed")
 
     def each(rows: DataFrame, batch_id: int) -> None:

@@ -70,6 +70,33 @@ def test_parquet_publisher(spark, tmp_path):
     assert rows(table.read("sums")) == [("a", 5)]
 
 
+def test_parquet_buckets(spark, tmp_path):
+    """A small batch rewrites its own buckets alone; old versions go; a new run goes on above the old one."""
+    table = publishers.ParquetTable(spark, str(tmp_path / "pub"), number=8)
+    schema = "k long, x long, _changed boolean, _op string"
+    frame = lambda *r: spark.createDataFrame([(k, x, True, "D" if x is None else "U") for k, x in r], schema)
+    table.write("v", ["k"], frame(*[(i, i) for i in range(100)]), 0)
+    table.write("v", ["k"], frame((7, 70), (100, 1)), 1)
+    assert len(table._buckets("v").touched()[1]) <= 2 and len(table._buckets("v").touched()[0]) == 8
+    assert rows(table.read("v")) == sorted([*((i, i) for i in range(100) if i != 7), (7, 70), (100, 1)], key=repr)
+    for n in range(2, 6):
+        table.write("v", ["k"], frame((7, n)), n)
+    table.write("v", ["k"], frame((7, 5)), 5)  # a batch that comes again
+    assert dict(rows(table.read("v")))[7] == 5 and table.read("v").count() == 101
+    own = table._buckets("v").bucket(["k"])
+    b = frame((7, 0)).select(own).first()[0]
+    assert not list((tmp_path / "pub" / "v" / "v=2").glob(f"_b={b}/*.parquet"))
+    again = publishers.ParquetTable(spark, str(tmp_path / "pub"), number=8)
+    again.begin("v", "another checkpoint")
+    again.write("v", ["k"], frame(*[(i, None) for i in range(101)]), 0)
+    assert rows(again.read("v")) == [] and again.read("v").columns == ["k", "x"]
+    again.begin("v", "another checkpoint")
+    assert again.base["v"] == 6
+    table.write("all", [], frame((1, 2)), 0)
+    table.write("all", [], frame((3, 4)), 1)
+    assert rows(table.read("all")) == [(3, 4)]
+
+
 def clients(path):
     """Makes key/value clients that write what they are told into a folder; nested, so that workers need no test module."""
 
