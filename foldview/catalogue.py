@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .functions.mappers import Count, Emit, EmitAll, FlatMap, PyMap, SelectAll, TopNMapper
 from .functions.reducers import BoolOr, CollectSet, FirstNonNull, FoldExpr, MaxValue, MinValue, PyFold, Sum, TopN, Union
 from .operators import changes, docstore
+from .operators.cluster import Cluster
 from .plans import language
 from .plans.batch import latest
 from .plans.engine import Engine
 from .session import work_dir
 from .sinks import publishers
-from .sources import replay, schemes
+from .sources import replay, schemes, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,6 +471,170 @@ def sink_delete_all_null(spark, d):
     return rows.select("user_id", publishers.is_delete(rows, ["user_id"]).alias("gone"))
 
 
+def _last_users(spark, d) -> DataFrame:
+    """The last version of each user, as a publisher gets it: what is not an id is null where the user is deleted."""
+    return publishers.last_of_each(user_versions(table(spark, d, "events")), ["user_id"], ["ts", "event_id"]).select("user_id", "kind", F.lit(None).cast("string").alias("note"))
+
+
+@query(f"select cast(user_id as varchar) as \"row\", event_type = 'error' as gone, case when event_type <> 'error' then '\"' || event_type || '\"' else 'null' end as kind, 'null' as note from {LAST}")
+def key_value_cells(spark, d):
+    """The cells that a key/value store gets: JSON by field, under the ids joined by '/'."""
+    x = publishers.KeyValue.cells(["user_id"], _last_users(spark, d))
+    return x.select("row", "gone", F.col("cells")["kind"].alias("kind"), F.col("cells")["note"].alias("note"))
+
+
+_ID = "'[\"users\",\"' || user_id || '\"]'"
+
+
+@query(f"select {_ID} as id, event_type = 'error' as gone, '{{\"_id\":' || to_json({_ID}) || ',\"type\":\"users\",\"user_id\":' || user_id || ',\"kind\":' || case when event_type <> 'error' then '\"' || event_type || '\"' else 'null' end || ',\"note\":null}}' as body from {LAST}")
+def http_documents(spark, d):
+    """The requests that a document store gets."""
+    return publishers.HttpDocuments.requests("users", ["user_id"], _last_users(spark, d))
+
+
+@query(f"select '[\"' || user_id || '\"]' as \"key\", case when event_type <> 'error' then user_id || ' ' || event_type end as value, 'wc' as topic from {LAST}")
+def kafka_text_messages(spark, d):
+    """The messages of a topic of changes, written as text; a deletion has no value."""
+    return publishers.KafkaTopic("", "wc", "concat(user_id, ' ', kind)").messages(["user_id"], _last_users(spark, d).withColumns({"_op": F.lit("U"), "_changed": F.lit(True)}))
+
+
+@query("select '[\"' || n_nationkey || '\"]' as \"key\", '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as value from nation")
+def json_messages(spark, d):
+    return schemes.json_records(table(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+@query("select o_custkey as custkey, '{\"value\":' || count(*) || '}' as body from orders group by 1")
+def dashboard_counter(spark, d):
+    v = engine(spark, d).map("{ o_custkey }", "orders(o_orderkey)", Count("o_custkey")).red("{ n }", "perCustomer(custkey)", Sum()).batch()
+    return v.join(publishers.counter(v, "n").distinct(), F.concat(F.lit('{"value":'), "n", F.lit("}")) == F.col("body")).select("custkey", "body")
+
+
+@query("select '[' || string_agg('{\"name\":' || user_id || ',\"values\":[' || n || ']}', ',' order by n desc, user_id desc) || ']' as board from (select user_id, count(*) as n from events group by 1 order by n desc, user_id desc limit 10)")
+def dashboard_leaderboard(spark, d):
+    e = engine(spark, d)
+    e.map("{ user_id }", "events(event_id)", Count("user_id")).red("{ n }", "perUser(user_id)", Sum())
+    top = e.map("{ n user_id }", "perUser(user_id)", TopNMapper("n", "user_id")).red("{ top }", "busiest()", TopN(10)).batch()
+    return publishers.leaderboard(top, "top", "user_id", "n")
+
+
+@query("select event_id as id, event_type as kind from events where event_type <> 'error'")
+def keyed_scheme(spark, d):
+    """Messages without their key field are dropped."""
+    e = table(spark, d, "events").select(F.to_json(F.struct(F.when(F.col("event_type") != "error", F.col("event_id")).alias("id"), F.col("event_type").alias("kind"))).alias("value"))
+    return schemes.KeyedScheme(schemes.JsonScheme("id long, kind string"), ("id",)).apply(e)
+
+
+@query("select case when user_id < 10 then 'a' when user_id < 20 then 'b' end as hostname, case when user_id < 10 then 9092 when user_id < 20 then 9093 end::bigint as port, user_id % 10 as \"partition\", count(*)::bigint as n from events group by all")
+def static_brokers(spark, d):
+    """Where messages come from, with ten partitions on each of two brokers."""
+    live = table(spark, d, "events").select(F.lit("events").alias("topic"), F.col("user_id").cast("int").alias("partition"), F.col("event_id").alias("offset"), F.encode("event_type", "UTF-8").alias("value"))
+    options = schemes.KafkaOptions("a:9092", "events", hosts=schemes.StaticHosts(("a", "b:9093"), 10))
+    found = replay.ReplayOptions(options, "", schemes.StringScheme()).messages(live)
+    return found.groupBy("hostname", F.col("port").cast("long").alias("port"), F.col("partition").cast("long").alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _work(spark) -> str:
+    return f"{work_dir(spark)}/foldview-query-{uuid.uuid4().hex}"
+
+
+@query("select user_id as \"partition\", count(*)::bigint as n, sum(length(event_type))::bigint as letters from events group by 1")
+def archive_written(spark, d):
+    """Messages kept in an archive, some of them twice: each is read once."""
+    kept, m = replay.Archive(spark, _work(spark)), _messages(spark, d)
+    kept.write(m)
+    kept.write(m.where("offset < 5"))
+    return kept.read().groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).cast("long").alias("letters"))
+
+
+@query("select cast(user_id as varchar) as id, 'amount' as \"column\", cast(cast(floor(value) as bigint) as varchar) as value from (select *, row_number() over (partition by user_id order by ts desc, floor(value) desc) as r from events) where r = 1 union all select cast(user_id as varchar), 'kind', '\"' || event_type || '\"' from (select *, row_number() over (partition by user_id order by ts desc, event_type desc) as r from events) where r = 1")
+def cluster_snapshot(spark, d):
+    """Two batches of updates written to a cluster, to which another subscribes that had the second alone."""
+    x, work = _updates(spark, d), _work(spark)
+    even = F.col("uuid").cast("long") % 2 == 0
+    a, b = Cluster(spark, f"{work}/a"), Cluster(spark, f"{work}/b")
+    b.put_batch(x.where(~even))
+    a.put_batch(x.where(even))
+    b.take_from(a)
+    return b.snapshot().select(F.get("key", F.lit(0)).alias("id"), F.get("path", F.lit(0)).alias("column"), "value")
+
+
+_NATION = "'{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}'"
+
+
+def _nations(spark, d) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", F.lit(5).alias("ts"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return docstore.flat(n, "nations", ["n_nationkey"], "ts")
+
+
+@query(f"select 'nations' as \"table\", cast(n_nationkey as varchar) as id, {_NATION} as json from nation")
+def document_json(spark, d):
+    return docstore.as_json(_nations(spark, d)).select("table", F.get("key", F.lit(0)).alias("id"), "json")
+
+
+@query("select cast(n_nationkey as varchar) as id, '\"' || n_name || '\"' as name, 5::bigint as name_ts, cast(n_regionkey as varchar) as region from nation")
+def document_maps(spark, d):
+    """A document with its versions: column to value and column to timestamp."""
+    return docstore.documents(_nations(spark, d)).select(F.get("key", F.lit(0)).alias("id"), F.col("doc")["name"].alias("name"), F.col("timestamps")["name"].alias("name_ts"), F.col("doc")["region"].alias("region"))
+
+
+@query("select 'name' as \"column\", '\"' || n_name || '\"' as value from nation where n_nationkey = 7 union all select 'region', cast(n_regionkey as varchar) from nation where n_nationkey = 7")
+def point_read(spark, d):
+    return docstore.get(_nations(spark, d), "nations", ["7"]).select(F.get("path", F.lit(0)).alias("column"), "value")
+
+
+@query("select '[\"nations\",\"' || n_nationkey || '\"]' as \"key\", '{\"table\":\"nations\",\"key\":[\"' || n_nationkey || '\"],\"value\":' || " + _NATION + " || ',\"ts\":5,\"uuid\":\"\"}' as value from nation")
+def update_messages(spark, d):
+    return wire.update_messages(_nations(spark, d))
+
+
+@query("select cast(o_custkey as varchar) as id, 'orders/' || cast(o_orderkey as varchar) || '/status' as path, '\"' || o_orderstatus || '\"' as value, 9::bigint as ts, 'u' as uuid from orders")
+def messages_as_updates(spark, d):
+    """Orders as child documents of their customers, in one message a customer, read back column by column."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(9).alias("ts"), F.lit("u").alias("uuid"), F.col("o_orderstatus").alias("status"))
+    sent = wire.update_messages(docstore.flat(o, "customers", ["o_custkey", "o_orderkey"], "ts", "uuid", prefix=("orders", "$o_orderkey")))
+    return wire.updates(sent).select(F.get("key", F.lit(0)).alias("id"), F.array_join("path", "/").alias("path"), "value", "ts", "uuid")
+
+
+@query("select cast(n_nationkey as varchar) as id, cast(n_regionkey + 1 as varchar) as region, 6::bigint as ts, '\"' || n_name || '\"' as name, 1::bigint as n_update from nation")
+def messages_as_changes(spark, d):
+    """Changes of one column, each sent with its whole document, read back."""
+    before = _nations(spark, d)
+    moved = before.where("path[0] = 'region'").withColumns({"value": F.expr("cast(cast(value as long) + 1 as string)"), "ts": F.lit(6).cast("long")})
+    got = wire.changes(wire.change_messages(docstore.change_log(moved, before), docstore.subscribe(before, moved)))
+    at = lambda cells, name: F.get(F.filter(cells, lambda c: F.get(c["path"], F.lit(0)) == name), F.lit(0))["value"]
+    return got.select(F.get("key", F.lit(0)).alias("id"), at("snapshot", "region").alias("region"), F.col("timestamp").alias("ts"), at("snapshot", "name").alias("name"), F.size("update").cast("long").alias("n_update"))
+
+
+@query("select o_custkey as custkey, (count(*) // 2)::bigint as pairs, max(o_orderkey)::bigint as newest from orders group by 1")
+def text_views(spark, d):
+    """A view in the text front end, with a fold and a format written as expressions."""
+    script = "MAP { o_custkey o_orderkey } FROM orders(o_orderkey) USE {[o_custkey, 1L, o_orderkey]}\nRED { n newest } INTO perCustomer(custkey) USE { a, b -> [a.n + b.n, greatest(a.newest, b.newest)] }\nFMT { pairs newest } USE {[n div 2, newest]}"
+    return language.run(engine(spark, d), script)[-1].batch()
+
+
+@query("select n, count(*)::bigint as customers from (select o_custkey, count(*)::bigint as n from orders where o_orderstatus = 'F' group by 1) group by 1")
+def sql_over_views(spark, d):
+    """A transformed DataFrame as a source, and SQL over the view it feeds."""
+    e = Engine(spark, namespace=f"ns{uuid.uuid4().hex}").source("done(o_orderkey)", table(spark, d, "orders").where("o_orderstatus = 'F'"))
+    e.map("{ o_custkey }", "done(o_orderkey)", Count("o_custkey")).red("{ n }", "perCustomer(custkey)", Sum())
+    e.register("perCustomer")
+    return spark.sql(f"select n, count(*) as customers from {e.namespace}_perCustomer group by n")
+
+
+@query("select 'status' as view, o_orderstatus as \"key\", count(*)::bigint as n from orders group by all union all select 'priority', o_orderpriority, count(*) from orders group by all")
+def published_views(spark, d):
+    """Two views published to one table store, and read back."""
+    from .sinks.publishers import ParquetTable
+
+    e = engine(spark, d)
+    e.map("{ o_orderstatus }", "orders(o_orderkey)", Count("o_orderstatus")).red("{ n }", "status(key)", Sum())
+    e.map("{ o_orderpriority }", "orders(o_orderkey)", Count("o_orderpriority")).red("{ n }", "priority(key)", Sum())
+    store = ParquetTable(spark, _work(spark))
+    publishers.publish_all(e, ["status", "priority"], store)
+    one = lambda name: store.read(name).select(F.lit(name).alias("view"), "key", "n")
+    return one("status").unionByName(one("priority"))
+
+
 def _streamed(spark: SparkSession, d: str, build, name: str) -> DataFrame:
     """Run a view as a stream over the events' files in a few batches; its rows after the last one."""
     from .sinks.publishers import ParquetTable

@@ -13,6 +13,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.schemes import json_records
 from .buckets import NUMBER, Buckets
 
 
@@ -92,37 +93,86 @@ class KeyValue:
     def __init__(self, client: Callable[[], object]):
         self.client = client
 
-    def write(self, table, ids, rows, batch_id):
+    @staticmethod
+    def cells(ids: Sequence[str], rows: DataFrame) -> DataFrame:
+        """row, gone and cells: what `write` sends."""
         key = F.concat_ws("/", *[F.col(i).cast("string") for i in ids]) if ids else F.lit("{}")
         fields = [c for c in rows.columns if c not in ids and c not in ("_op", "_changed")]
-        cells = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.expr(f"substring(to_json(struct(`{f}` as v), map('ignoreNullFields', 'false')), 6)") for f in fields])) if fields else F.create_map().cast("map<string,string>")
+        cell = lambda f: F.expr(f"regexp_extract(to_json(struct(`{f}` as v), map('ignoreNullFields', 'false')), '(?s)^.{{5}}(.*).$', 1)")
+        cells = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*map(cell, fields))) if fields else F.create_map().cast("map<string,string>")
+        return rows.select(key.alias("row"), is_delete(rows, ids).alias("gone"), cells.alias("cells"))
+
+    def write(self, table, ids, rows, batch_id):
         make = self.client
 
         def send(part):
             store = make()
             for r in part:
-                store.delete(table, r["row"]) if r["gone"] else store.put(table, r["row"], {k: v[:-1] for k, v in (r["cells"] or {}).items()})
+                store.delete(table, r["row"]) if r["gone"] else store.put(table, r["row"], dict(r["cells"] or {}))
 
-        rows.select(key.alias("row"), is_delete(rows, ids).alias("gone"), cells.alias("cells")).foreachPartition(send)
+        self.cells(ids, rows).foreachPartition(send)
 
 
 class HttpDocuments:
-    """Documents over HTTP: _id is the JSON list of table and ids, type the table; update handlers replace or delete."""
+    """Documents over HTTP: _id is the JSON list of table and ids, type the table; update handlers replace or delete.
 
-    def __init__(self, post: Callable[[str, str, str], None]):
-        self.post = post
+    A request that raises is sent again after `pause` seconds, `tries` times in all; then the batch fails and comes again.
+    """
 
-    def write(self, table, ids, rows, batch_id):
+    def __init__(self, post: Callable[[str, str, str], None], tries: int = 3, pause: float = 5.0):
+        self.post, self.tries, self.pause = post, tries, pause
+
+    @staticmethod
+    def requests(table: str, ids: Sequence[str], rows: DataFrame) -> DataFrame:
+        """id, gone and body: what `write` sends."""
         fields = [c for c in rows.columns if c not in ("_op", "_changed")]
         doc = F.to_json(F.array(F.lit(table), *[F.col(i).cast("string") for i in ids]))
         body = F.to_json(F.struct(doc.alias("_id"), F.lit(table).alias("type"), *fields), {"ignoreNullFields": "false"})
-        post = self.post
+        return rows.select(doc.alias("id"), is_delete(rows, ids).alias("gone"), body.alias("body"))
+
+    def write(self, table, ids, rows, batch_id):
+        post, tries, pause = self.post, self.tries, self.pause
 
         def send(part):
+            import time
+
             for r in part:
-                post("delete" if r["gone"] else "replace", r["id"], r["body"])
+                for left in reversed(range(tries)):
+                    try:
+                        post("delete" if r["gone"] else "replace", r["id"], r["body"])
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+                        time.sleep(pause)
 
-        rows.select(doc.alias("id"), is_delete(rows, ids).alias("gone"), body.alias("body")).foreachPartition(send)
+        self.requests(table, ids, rows).foreachPartition(send)
+
+
+class KafkaTopic:
+    """A topic of changes: key the JSON list of the ids, value by default the row as a JSON object, whose nulls delete.
+
+    `text` gives another value, an expression such as ``concat(word, ' ', n)``.  `save` writes the messages; by default
+    Spark's Kafka writer, which must be on the class path.
+    """
+
+    def __init__(self, servers: str, topic: str, text: str | None = None, save: Callable[[DataFrame], None] | None = None):
+        self.servers, self.topic, self.text, self.save = servers, topic, text, save
+
+    def messages(self, ids: Sequence[str], rows: DataFrame) -> DataFrame:
+        """topic, key and value.  With `text`, a deleted row's value is null."""
+        plain = rows.drop("_op", "_changed")
+        if self.text is None:
+            return json_records(plain, ids).select(F.lit(self.topic).alias("topic"), "key", "value")
+        key = F.to_json(F.array(*[F.col(i).cast("string") for i in ids])) if ids else F.lit("[]")
+        return plain.select(F.lit(self.topic).alias("topic"), key.alias("key"), F.when(~is_delete(plain, ids), F.expr(self.text).cast("string")).alias("value"))
+
+    def write(self, table, ids, rows, batch_id):
+        out = self.messages(ids, rows)
+        if self.save:
+            self.save(out)
+        else:
+            out.write.format("kafka").option("kafka.bootstrap.servers", self.servers).save()
 
 
 def counter(rows: DataFrame, field: str) -> DataFrame:

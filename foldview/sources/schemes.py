@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 META = ("topic", "hostname", "port", "partition", "offset", "nextOffset")
@@ -96,6 +97,24 @@ class MetaScheme(Scheme):
         return self.inner.apply(df, value, (*meta, *[m for m in self.meta if m in df.columns]))
 
 
+@dataclass(frozen=True)
+class StaticHosts:
+    """Brokers as "host:port" with so many partitions each, numbered on from broker to broker."""
+
+    hosts: tuple[str, ...]
+    per_host: int = 1
+
+    @property
+    def count(self) -> int:
+        return len(self.hosts) * self.per_host
+
+    def place(self, partition: Column) -> tuple[Column, Column, Column]:
+        """The host, port and own partition number that a topic's partition has; null beyond the last broker."""
+        named = [h.partition(":") for h in self.hosts]
+        at = F.floor(partition / self.per_host).cast("int")
+        return F.get(F.array(*[F.lit(h) for h, _, _ in named]), at), F.get(F.array(*[F.lit(int(p or 9092)) for _, _, p in named]), at), F.pmod(partition, F.lit(self.per_host)).cast("int")
+
+
 @dataclass(frozen=True)
 class KafkaOptions:
     """Reader options of a Kafka topic; what brokers, offsets and back-pressure were set by."""
@@ -106,6 +125,15 @@ class KafkaOptions:
     max_offsets: int | None = None
     fail_on_loss: bool = True
     partitions: int | None = None
+    hosts: StaticHosts | None = None
+
+    def resumed(self, stored: Mapping[int, int], force: bool = False) -> KafkaOptions:
+        """Where a reader without a checkpoint begins: at the offsets it has stored, by partition, and at the end (HEAD) of those without; `force` begins all at `starting`."""
+        if force:
+            return self
+        numbers = range(max([self.hosts.count if self.hosts else 0, *(p + 1 for p in stored)]))
+        at = {str(p): stored.get(p, -1) for p in numbers}
+        return replace(self, starting=json.dumps({self.topic: at}) if at else "latest")
 
     def options(self) -> dict[str, str]:
         out = {"kafka.bootstrap.servers": self.servers, "subscribe": self.topic, "startingOffsets": self.starting, "failOnDataLoss": str(self.fail_on_loss).lower()}

@@ -151,3 +151,35 @@ def test_replayed_source(spark, tmp_path):
     topic = spark.createDataFrame([("t", 0, i, json.dumps({"id": i}).encode()) for i in range(10)], "topic string, partition int, offset long, value binary")
     replay.Archive(spark, str(tmp_path / "a")).write(options.messages(topic.where("offset < 6")))
     assert rows(options.read(spark, topic.where("offset >= 4"))) == [(i,) for i in range(10)]
+
+
+def test_where_a_reader_begins():
+    o = schemes.KafkaOptions("h:1", "t", hosts=schemes.StaticHosts(("a", "b"), 2))
+    assert json.loads(o.resumed({1: 7}).starting) == {"t": {"0": -1, "1": 7, "2": -1, "3": -1}}
+    assert o.resumed({1: 7}, force=True).starting == "earliest"
+    assert schemes.KafkaOptions("h:1", "t").resumed({}).starting == "latest"
+
+
+def test_kafka_topic(spark):
+    rows_ = spark.createDataFrame([("pear", 3, True, "U"), ("fig", None, True, "D")], "word string, n long, _changed boolean, _op string")
+    sent = []
+    publishers.KafkaTopic("", "words", "concat(word, ' ', n)", save=lambda df: sent.extend(df.collect())).write("v", ["word"], rows_, 0)
+    assert sorted(map(tuple, sent), key=str) == [("words", '["fig"]', None), ("words", '["pear"]', "pear 3")]
+    whole = publishers.KafkaTopic("", "words").messages(["word"], rows_)
+    assert sorted(r["value"] for r in whole.collect()) == ['{"word":"fig","n":null}', '{"word":"pear","n":3}']
+
+
+def test_http_documents_are_sent_again(spark, tmp_path):
+    place = str(tmp_path)
+
+    def post(kind, id_, body):
+        import os
+
+        n = len(os.listdir(place))
+        open(f"{place}/{n}", "w").close()
+        if n < 2:
+            raise OSError("not now")
+
+    one = spark.createDataFrame([("a", 1)], "k string, x long").coalesce(1)
+    publishers.HttpDocuments(post, tries=3, pause=0.01).write("t", ["k"], one, 0)
+    assert len(list(tmp_path.iterdir())) == 3
