@@ -5,7 +5,7 @@ pairs whose concatenation is a piece the best-scored one, leftmost among equals,
 left; what is no piece then falls back to bytes.  The agenda is a plain array of ranks for short segments
 and a heap for long ones.  A text is cut first where no piece of the vocabulary can reach across (verified
 on the vocabulary: no piece has a word mark after another character, none contains a line feed), so
-segments are independent and their ids are cached, boundedly, in each Python worker.
+segments are independent and their ids are cached, boundedly, in each Python worker, in two ages of dictionaries.
 
 Every segment that enters the cache is checked against the sentencepiece library once in each Arrow batch,
 and so is the first document of each batch as a whole; a difference raises.  Vocabularies that normalise text or break
@@ -59,6 +59,7 @@ class MergeEncoder:
         self.unchecked: list[tuple[str, str]] = []
         self.marked: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"": b""}
+        self.aged: dict[str, dict[str, bytes]] = {MARK: {}, "": {}}  # by mark, what was cached before
 
     def merge(self, text: str) -> list[str]:
         return self._scan(list(text)) if len(text) <= SHORT else self._heap(list(text))
@@ -118,15 +119,21 @@ class MergeEncoder:
         return self.numbers(MARK + text.replace(" ", MARK)) if text else []
 
     def _learn(self, words: list[str], cache: dict[str, bytes], mark: str) -> None:
+        """Put words into the cache; when it is full it becomes the aged one, from which words in use come back unmerged."""
+        aged = self.aged[mark]
         fresh = [w for w in dict.fromkeys(words) if w not in cache]
         if len(cache) + len(fresh) > self.size:
+            aged.clear()
+            aged.update(cache)
             cache.clear()
             cache[""] = b"" if not mark else np.array(self.numbers(mark), "<u4").tobytes()
             fresh = [w for w in dict.fromkeys(words) if w not in cache]
-        mine = [self._split(w, mark) for w in fresh]
-        for w, ids in zip(fresh, mine):
-            cache[w] = np.array(ids, "<u4").tobytes()
-        self.unchecked += [(mark, w) for w in fresh]
+        for w in fresh:
+            known = aged.get(w)
+            if known is None:
+                known = np.array(self._split(w, mark), "<u4").tobytes()
+                self.unchecked.append((mark, w))
+            cache[w] = known
 
     def check(self) -> None:
         """Hold the segments learnt since the last check against the library, as one text for each few hundred."""
@@ -150,7 +157,7 @@ class MergeEncoder:
         if len(head) == len(word) or not head or head[-1] + word[len(head)] in self.pairs:
             return self.numbers(mark + word)
         cache = self.marked if mark else self.bare
-        known = cache.get(head)
+        known = cache.get(head, self.aged[mark].get(head))
         first = self.numbers(mark + head) if known is None else np.frombuffer(known, "<u4").tolist()
         if known is None and len(cache) < self.size:
             cache[head] = np.array(first, "<u4").tobytes()

@@ -43,6 +43,19 @@ def test_cache_that_is_emptied():
     small.check()
 
 
+def test_words_in_use_outlive_a_full_cache():
+    small = pieces.MergeEncoder(MODEL, cache=50)
+    merged = []
+    split = small._split
+    small._split = lambda word, mark: merged.append(word) or split(word, mark)
+    for at in range(0, 400, 20):
+        text = " ".join(["always", "again.", *(f"only{n}" for n in range(at, at + 20))])
+        assert np.frombuffer(small.encode_bytes(text), "<u4").tolist() == small.lib.encode(text)
+        small.check()
+    assert merged.count("always") == merged.count("again.") == 1
+    assert len(small.marked) <= 50 and len(small.aged[pieces.MARK]) <= 50
+
+
 def test_rows(frame, odd_rows, enc):
     got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in pieces.encode_rows(frame(odd_rows), MODEL).collect()}
     want = set()
