@@ -68,7 +68,8 @@ class Buckets:
             self.spark.createDataFrame([(rows.schema.json(),)], "s string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
         fs, place = self._at(f"v={version}")
         fs.delete(place, True)
-        rows.withColumn("_b", self.bucket(ids)).write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/v={version}")
+        # one file for each bucket, not one for each bucket and task
+        rows.withColumn("_b", self.bucket(ids)).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/v={version}")
         fs, done = self._at(f"v={version}", _LIST + "-".join(map(str, buckets)))
         fs.create(done).close()
         self._forget(buckets)

@@ -1,11 +1,12 @@
 """Views as stateful streams: a chain of transformWithState operators that emit only what changed.
 
-Stage M, keyed by document, remembers what a document emitted last; a new version emits its values anew and nulls under
-keys it has left.  Stage R, keyed by view key, keeps every document's value and emits the key's new row.  A running total
+Stage M remembers what each document emitted last; a new version emits its values anew and nulls under keys it has left.
+It is keyed by groups of documents, and maps of one source share it.  Stage R, keyed by view key, keeps every document's value and emits the key's new row.  A running total
 is kept as long as the reducer can take old values out of it; where it cannot (the largest value is gone, an opaque
 function) the key's values are folded again.  A view with salts folds each key in buckets first, which bounds what one
 update of a hot key has to read.  Folds in SQL expressions always have buckets: their stage keeps and emits a bucket's
-values, which the expressions fold outside of it.
+values, which the expressions fold outside of it.  Both keep documents in pickled chunks of some hundred (`Packed`), as a
+call to the state store costs more than a chunk's pickling; an update reads and writes the chunks that it touches.
 
 Rows of one document inside a micro-batch are put in order by the source's `seq`.  A view that is a source of another
 numbers the rows of each key as it makes them.  Output: keys, values, _changed, _op (U or D), in update mode.
@@ -13,10 +14,12 @@ numbers the rows of each key as it makes them.  Output: keys, values, _changed,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
@@ -29,6 +32,8 @@ from ..plans.spec import ViewSpec
 
 #: buckets of a fold in expressions
 BUCKETS = 16
+#: groups of a source's documents; checkpoints depend on it
+GROUPS = 1024
 
 
 def plain(x: Any) -> Any:
@@ -49,27 +54,106 @@ def shaped(x: Any, kind: DataType) -> Any:
     return x
 
 
+class Packed:
+    """The documents of a state's key, and something kept beside them: one pickled value while there are few, chunks by hash when there are many.
+
+    `open` it for the key whose turn it is, `close` it when that is done.  One chunk is held at a time, so documents are
+    best worked off in the order of `placed`.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, most: int = 256):
+        self.head = handle.getValueState("head", "v binary")
+        self.chunks = handle.getMapState("chunks", "n int", "v binary")
+        self.most = most
+
+    def open(self) -> Any:
+        held = self.head.get()
+        self.kept, self.count, self.level, self.chunk = pickle.loads(held[0]) if held else (None, 0, 0, {})
+        self.at, self.changed = (None, False) if self.level else (0, False)
+        return self.kept
+
+    def _place(self, doc: tuple) -> int:
+        return zlib.crc32(repr(doc).encode()) & ((1 << self.level) - 1) if self.level else 0
+
+    def placed(self, docs: Iterable[tuple]) -> Iterable[tuple]:
+        return sorted(docs, key=self._place) if self.level else docs
+
+    def _read(self, place: int) -> dict[tuple, Any]:
+        return pickle.loads(self.chunks.getValue((place,))[0])
+
+    def _write(self, place: int, chunk: dict[tuple, Any]) -> None:
+        self.chunks.updateValue((place,), (pickle.dumps(chunk, 5),))
+
+    def _turn(self, place: int | None) -> None:
+        if place != self.at:
+            if self.changed:
+                self._write(self.at, self.chunk)
+            self.at, self.changed, self.chunk = place, False, {} if place is None else self._read(place)
+
+    def get(self, doc: tuple) -> Any:
+        self._turn(self._place(doc))
+        return self.chunk.get(doc)
+
+    def put(self, doc: tuple, value: Any) -> None:
+        """None takes the document out."""
+        self._turn(self._place(doc))
+        self.count += (value is not None) - (doc in self.chunk)
+        if value is not None:
+            self.chunk[doc], self.changed = value, True
+        elif doc in self.chunk:
+            del self.chunk[doc]
+            self.changed = True
+
+    def items(self) -> Iterator[tuple[tuple, Any]]:
+        for place in range(1 << self.level):
+            self._turn(place)
+            yield from self.chunk.items()
+
+    def close(self, kept: Any = None) -> None:
+        if self.count > self.most << self.level:
+            old, self.level = self.level, (2 * self.count // self.most).bit_length()
+            for place in range(1 << old):
+                self._turn(place)
+                parts: dict[int, dict[tuple, Any]] = {k: {} for k in range(place, 1 << self.level, 1 << old)}
+                for doc, value in self.chunk.items():
+                    parts[self._place(doc)][doc] = value
+                self.changed = False
+                for k, chunk in parts.items():
+                    self._write(k, chunk)
+            self.at, self.chunk = None, {}
+        elif self.level:
+            self._turn(None)
+        self.head.update((pickle.dumps((kept, self.count, self.level, {} if self.level else self.chunk), 5),))
+
+
 class Diff(StatefulProcessor):
-    """Keyed by document: the newest version's emitted rows, against what was emitted before."""
+    """Keyed by group of documents: the rows that each document's newest version emits (map, keys, values), against what was emitted before."""
 
     def __init__(self, n_keys: int, item: StructType, out: StructType):
         self.n_keys, self.item, self.row = n_keys, item, Row(*out.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.before = handle.getValueState("before", StructType([StructField("seq", ArrayType(LongType())), StructField("rows", ArrayType(self.item))]))
+        self.documents = Packed(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        seq, emitted = max(((plain(r["_seq"]), plain(r["_rows"])) for r in rows), key=lambda x: x[0])
-        last = plain(self.before.get()) if self.before.exists() else ((), ())
-        if last[0] > seq:
-            return
-        kinds = [f.dataType for f in self.item]
-        self.before.update((list(seq), [shaped(r, self.item) for r in emitted]))
-        n, kept = self.n_keys, {r[: self.n_keys] for r in emitted}
-        for k in dict.fromkeys(r[:n] for r in last[1] if r[:n] not in kept):
-            yield self.row(*key, list(seq), True, *[shaped(v, t) for v, t in zip(k, kinds)], *[None] * (len(kinds) - n))
-        for r in emitted:
-            yield self.row(*key, list(seq), False, *[shaped(v, t) for v, t in zip(r, kinds)])
+        newest: dict[tuple, tuple[tuple, tuple]] = {}
+        for r in rows:
+            doc, seq = (r["_id"],), plain(r["_seq"])
+            if doc not in newest or seq > newest[doc][0]:
+                newest[doc] = (seq, plain(r["_rows"]))
+        self.documents.open()
+        kinds, n = [f.dataType for f in self.item], self.n_keys + 1
+        for doc in self.documents.placed(newest):
+            (seq, emitted), last = newest[doc], self.documents.get(doc) or ((), ())
+            if last[0] > seq:
+                continue
+            self.documents.put(doc, (seq, emitted))
+            kept = {r[:n] for r in emitted}
+            for k in dict.fromkeys(r[:n] for r in last[1] if r[:n] not in kept):
+                yield self.row(k[0], *doc, list(seq), True, *[shaped(v, t) for v, t in zip(k[1:], kinds[1:])], *[None] * (len(kinds) - n))
+            for r in emitted:
+                yield self.row(r[0], *doc, list(seq), False, *[shaped(v, t) for v, t in zip(r[1:], kinds[1:])])
+        self.documents.close()
 
     def close(self) -> None:
         pass
@@ -96,23 +180,21 @@ class Gather(StatefulProcessor):
         self.values, self.row = values, Row(*out.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = handle.getMapState("documents", "src string, id string", StructType([StructField("v", ArrayType(self.values))]))
-        self.version = handle.getValueState("version", StructType([StructField("version", LongType())]))
+        self.documents = Packed(handle)
 
     def _listed(self) -> list[tuple]:
-        held = sorted((plain(k), plain(v)[0]) for k, v in self.documents.iterator())
+        held = sorted(self.documents.items(), key=lambda x: x[0])
         return [shaped(x, self.values) for _, v in held for x in v]
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest = _newest(rows, len(self.values), lambda a, b: (*a, *b), lambda x: (x,))
+        version = (self.documents.open() or 0) + 1
         was = self._listed()
-        for doc, (_, value) in _newest(rows, len(self.values), lambda a, b: (*a, *b), lambda x: (x,)).items():
-            if value is not None:
-                self.documents.updateValue(doc, ([shaped(x, self.values) for x in value],))
-            elif self.documents.containsKey(doc):
-                self.documents.removeKey(doc)
-        version = (plain(self.version.get())[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        yield self.row(*key, self._listed(), was, [version])
+        for doc in self.documents.placed(newest):
+            self.documents.put(doc, newest[doc][1])
+        now = self._listed()
+        self.documents.close(version)
+        yield self.row(*key, now, was, [version])
 
     def close(self) -> None:
         pass
@@ -125,8 +207,7 @@ class Fold(StatefulProcessor):
         self.reducer, self.values, self.n_keys, self.final, self.row = reducer, values, n_keys, final, Row(*out.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = handle.getMapState("documents", "src string, id string", StructType([StructField("v", self.values)]))
-        self.total = handle.getValueState("total", StructType([StructField("v", self.values), StructField("n", LongType()), StructField("version", LongType())]))
+        self.documents = Packed(handle)
 
     def _join(self, key: tuple, a: tuple | None, b: tuple) -> tuple:
         if a is None:
@@ -135,38 +216,35 @@ class Fold(StatefulProcessor):
 
     def _refold(self, key: tuple) -> tuple | None:
         total = None
-        held = ((plain(k), plain(v)[0]) for k, v in self.documents.iterator())
+        held = self.documents.items()
         for _, v in sorted(held, key=lambda x: x[0]) if isinstance(self.reducer, PyFold) else held:
             total = self._join(key, total, v)
         return total
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         own, n = plain(key)[: self.n_keys], len(self.values)
-        before, count, version = plain(self.total.get()) if self.total.exists() else (None, 0, 0)
         newest = _newest(rows, n, lambda a, b: self._join(own, a, b))
+        before, version = self.documents.open() or (None, 0)
         total, exact, added = before, self.reducer.inverse is not None, []
-        for doc, (_, value) in newest.items():
-            old = plain(self.documents.getValue(doc))[0] if self.documents.containsKey(doc) else None
-            count += (value is not None) - (old is not None)
+        for doc in self.documents.placed(newest):
+            old, value = self.documents.get(doc), newest[doc][1]
+            self.documents.put(doc, value)
             if value is not None:
-                self.documents.updateValue(doc, (shaped(value, self.values),))
                 added.append(value)
-            elif old is not None:
-                self.documents.removeKey(doc)
             if exact and old is not None:
                 total = plain(self.reducer.inverse(total, old))
                 exact = total is not None
-        if not count:
+        if not self.documents.count:
             total = None
         elif exact:
-            total = None if count == len(added) else total
+            total = None if self.documents.count == len(added) else total
             for v in added:
                 total = self._join(own, total, v)
         else:
             total = self._refold(own)
         # the key's rows are numbered as they are made: what reads this view must take the last one, whatever its documents' order
         version += 1
-        self.total.update((shaped(total, self.values), count, version))
+        self.documents.close((total, version))
         shown = [None if t is None else plain(self.reducer.finish(t)) if self.final else t for t in (before, total)]
         out = [None] * n if shown[1] is None else [shaped(v, f.dataType) for v, f in zip(shown[1], self.values)]
         yield self.row(*key, *out, [version], shown[0] != shown[1], "D" if shown[1] is None else "U")
@@ -180,29 +258,46 @@ def _longs(c, kind: DataType):
     return F.unix_micros(c.cast("timestamp")) if kind.typeName().startswith("timestamp") else c.cast("long")
 
 
-def _diffed(df: DataFrame, view: ViewSpec, number: int, seq: list[str]) -> DataFrame:
-    """One map of a view through stage M: _src, _id, _seq, _gone, keys, values."""
+def _listed(view: ViewSpec, number: int) -> Column:
+    """What one map of a view emits for a record: an array of structs _src, keys, values."""
     m, names = view.maps[number], [*view.keys, *view.values]
-    order = F.col("_seq") if seq == ["_seq"] else F.array(*[_longs(F.col(c), df.schema[c].dataType) for c in seq])
-    ids = F.array(*[F.col(c).cast("string") for c in m.source.ids]) if m.source.ids else F.array().cast("array<string>")
     there = batch.defined(m.values, m.source.ids)
     if isinstance(m.mapper, PyMap):
         rows = m.mapper.listed(m.values, len(names), there)
     else:
         emitted = m.mapper.listed(m.values, len(names))
         rows = F.when(there, emitted).otherwise(F.slice(emitted, 1, 0))
-    rows = F.transform(rows, lambda r: F.struct(*[r[f"_{i}"].alias(n) for i, n in enumerate(names)]))
-    one = df.select(F.lit(m.name or str(number)).alias("_src"), F.to_json(ids).alias("_id"), order.alias("_seq"), rows.alias("_rows"))
-    item = one.schema["_rows"].dataType.elementType
-    out = StructType([StructField("_src", StringType()), StructField("_id", StringType()), StructField("_seq", ArrayType(LongType())), StructField("_gone", BooleanType()), *[StructField(f.name, f.dataType) for f in item]])
-    return one.groupBy("_src", "_id").transformWithState(Diff(len(view.keys), StructType([StructField(f.name, f.dataType) for f in item]), out), out, "Update", "None")
+    return F.transform(rows, lambda r: F.struct(F.lit(m.name or str(number)).alias("_src"), *[r[f"_{i}"].alias(n) for i, n in enumerate(names)]))
+
+
+def _diffed(df: DataFrame, view: ViewSpec, numbers: list[int], seq: list[str]) -> DataFrame:
+    """Maps of one source through stage M: _src, _id, _seq, _gone, keys, values."""
+    own = view.maps[numbers[0]].source.ids
+    order = F.col("_seq") if seq == ["_seq"] else F.array(*[_longs(F.col(c), df.schema[c].dataType) for c in seq])
+    ids = F.array(*[F.col(c).cast("string") for c in own]) if own else F.array().cast("array<string>")
+    rows = [_listed(view, i) for i in numbers]
+    one = df.select(F.to_json(ids).alias("_id"), order.alias("_seq"), (F.concat(*rows) if len(rows) > 1 else rows[0]).alias("_rows"))
+    item = StructType([StructField(f.name, f.dataType) for f in one.schema["_rows"].dataType.elementType])
+    out = StructType([item.fields[0], StructField("_id", StringType()), StructField("_seq", ArrayType(LongType())), StructField("_gone", BooleanType()), *item.fields[1:]])
+    one = one.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(GROUPS)).cast(IntegerType()))
+    return one.groupBy("_group").transformWithState(Diff(len(view.keys), item, out), out, "Update", "None")
+
+
+def _alike(view: ViewSpec, frames: dict[str, DataFrame]) -> list[list[int]]:
+    """The numbers of maps that can share a stage M: of one source and its ids, with rows of one type."""
+    alike: dict[tuple, list[int]] = {}
+    for i, m in enumerate(view.maps):
+        kind = frames[m.source.name or ""].select(_listed(view, i).alias("_r")).schema["_r"].dataType
+        alike.setdefault((m.source.name, m.source.ids, kind.simpleString()), []).append(i)
+    return list(alike.values())
 
 
 def lower_view(view: ViewSpec, frames: dict[str, DataFrame], seqs: dict[str, list[str]]) -> DataFrame:
     """keys, values, _seq, _changed, _op."""
     keys, values, parts = list(view.keys), list(view.values), None
-    for i, m in enumerate(view.maps):
-        one = _diffed(frames[m.source.name or ""], view, i, seqs[m.source.name or ""])
+    for numbers in _alike(view, frames):
+        name = view.maps[numbers[0]].source.name or ""
+        one = _diffed(frames[name], view, numbers, seqs[name])
         parts = one if parts is None else parts.unionByName(one)
     if not keys:
         keys, parts = ["_all"], parts.withColumn("_all", F.lit(1))

@@ -10,6 +10,7 @@ from foldview.functions.reducers import BoolOr, FirstNonNull, FoldExpr, MaxValue
 from foldview.plans.engine import Engine
 from foldview.plans.language import run
 from foldview.sinks.publishers import ParquetTable
+from foldview.streaming.stateful import Packed
 
 SCHEMA = "id long, account long, amount long, s long"
 
@@ -127,3 +128,57 @@ def test_files_that_come_out_of_order(spark, tmp_path):
     assert f.step("histogram", (1, 1, 1), (2, 1, 1), (3, 2, 1)) == [(1, 1), (2, 1)]
     f.n = 50
     assert f.step("histogram", (4, 1, 1), (5, 2, 1)) == [(2, 1), (3, 1)]
+
+
+class Store:
+    """A state store for one key that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, name, *schemas):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.map.get(k)
+
+    def updateValue(self, k, v):
+        self.calls, self.map[k] = self.calls + 1, v
+
+
+def test_documents_in_chunks():
+    """Thousands of documents take few calls; one of them reads and writes its chunk alone."""
+    store, rnd, held = Store(), random.Random(4), {}
+    for n in (3, 200, 3000, 1, 5000, 1):
+        packed = Packed(store)
+        store.calls, kept = 0, packed.open()
+        assert kept == (len(held) or None)
+        new = {("0", f"[{rnd.randrange(6000)}]"): rnd.choice([None, (rnd.randrange(9),)]) for _ in range(n)}
+        for doc in packed.placed(new):
+            assert packed.get(doc) == held.get(doc)
+            packed.put(doc, new[doc])
+        held = {d: v for d, v in (held | new).items() if v is not None}
+        assert packed.count == len(held)
+        packed.close(len(held))
+        assert store.calls <= (4 if n == 1 else 2 + 3 * 64)
+        packed.open()
+        assert dict(packed.items()) == held
+    assert len(store.map) >= 8
+
+
+def test_maps_of_one_source_share_a_stage(spark, tmp_path):
+    """One stage M for each source and type of rows, and one fold."""
+    e = Engine(spark).source("deposits(id)", spark.readStream.schema(SCHEMA).json(str(tmp_path)), seq="s")
+    e.map("{ account amount }", "deposits(id)").map("{ account amount }", "deposits(id)", "account; -amount").red("{ balance }", "accounts(account)", Sum())
+    plan = e.stream("accounts")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 2
