@@ -1,12 +1,16 @@
 """Views as stateful streams: a chain of transformWithState operators that emit only what changed.
 
 Stage M remembers what each document emitted last; a new version emits its values anew and nulls under keys it has left.
-It is keyed by groups of documents, and maps of one source share it.  Stage R, keyed by view key, keeps every document's value and emits the key's new row.  A running total
+Maps of one source share it.  Stage R keeps every document's value under its view key and emits the key's new row.  A running total
 is kept as long as the reducer can take old values out of it; where it cannot (the largest value is gone, an opaque
 function) the key's values are folded again.  A view with salts folds each key in buckets first, which bounds what one
 update of a hot key has to read.  Folds in SQL expressions always have buckets: their stage keeps and emits a bucket's
-values, which the expressions fold outside of it.  Both keep documents in pickled chunks of some hundred (`Packed`), as a
-call to the state store costs more than a chunk's pickling; an update reads and writes the chunks that it touches.
+values, which the expressions fold outside of it.
+
+Both stages are keyed by groups, of documents and of view keys: Spark hands a stage its rows one at a time, cell by cell, and
+makes an Arrow batch for each of its keys.  So rows travel as pickled lists, one for each group and task (`_dealt`), and become
+columns again only where SQL reads them (`_columns`).  State is kept in pickled chunks of some hundred documents (`Packed`,
+`Keyed`), as a call to the state store costs more than a chunk's pickling; an update reads and writes the chunks that it touches.
 
 Rows of one document inside a micro-batch are put in order by the source's `seq`.  A view that is a source of another
 numbers the rows of each key as it makes them.  Output: keys, values, _changed, _op (U or D), in update mode.
@@ -14,15 +18,19 @@ numbers the rows of each key as it makes them.  Output: keys, values, _changed,
 
 from __future__ import annotations
 
+import datetime
+import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, DataType, LongType, StringType, StructField, StructType
 
 from ..functions.mappers import PyMap, column
 from ..functions.reducers import FoldExpr, PyFold, Reducer
@@ -32,8 +40,10 @@ from ..plans.spec import ViewSpec
 
 #: buckets of a fold in expressions
 BUCKETS = 16
-#: groups of a source's documents; checkpoints depend on it
+#: groups of a source's documents, and of a view's keys; checkpoints depend on it
 GROUPS = 1024
+#: rows, and bytes, that a task holds before it hands them on
+HELD, HELD_BYTES = 200_000, 64 << 20
 
 
 def plain(x: Any) -> Any:
@@ -43,15 +53,49 @@ def plain(x: Any) -> Any:
     return tuple(plain(v) for v in x) if isinstance(x, (Row, list, tuple)) else x
 
 
-def shaped(x: Any, kind: DataType) -> Any:
-    """A plain value as the type wants it: lists for arrays, tuples for structs."""
-    if x is None:
-        return None
-    if isinstance(kind, ArrayType):
-        return [shaped(v, kind.elementType) for v in x]
-    if isinstance(kind, StructType):
-        return tuple(shaped(v, f.dataType) for v, f in zip(x, kind))
-    return x
+def same(x: Any) -> Any:
+    """A plain key as what grouping in SQL tells apart: one zero, one NaN, instants whatever their zone."""
+    if isinstance(x, tuple):
+        return tuple(map(same, x))
+    if isinstance(x, float):
+        return "NaN" if math.isnan(x) else x + 0.0
+    return x.astimezone(datetime.timezone.utc) if isinstance(x, datetime.datetime) and x.tzinfo else x
+
+
+def one_zero(x: Any) -> Any:
+    """A plain key as grouping in SQL gives it back."""
+    return tuple(map(one_zero, x)) if isinstance(x, tuple) else x + 0.0 if isinstance(x, float) else x
+
+
+def values(column: pa.Array) -> list:
+    """A column's plain values, worked off by leaves."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        out: list = list(zip(*map(values, column.flatten()))) if kind.num_fields else [()] * len(column)
+        return [x if there else None for x, there in zip(out, column.is_valid().to_pylist())] if column.null_count else out
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        flat, at, out = values(column.flatten()), 0, []
+        for n in column.value_lengths().to_pylist():
+            out.append(None if n is None else tuple(flat[at : at + n]))
+            at += n or 0
+        return out
+    if pa.types.is_integer(kind) and not column.null_count:
+        return column.to_numpy().tolist()
+    return [plain(x) for x in column.to_pylist()] if pa.types.is_nested(kind) else column.to_pylist()
+
+
+def array(given: list, kind: pa.DataType) -> pa.Array:
+    """Plain values as a column."""
+    if pa.types.is_struct(kind) and kind.num_fields:
+        fields = [array([None if v is None else v[i] for v in given], f.type) for i, f in enumerate(kind)]
+        return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pa.array([v is None for v in given], pa.bool_()))
+    if pa.types.is_list(kind):
+        ends = [0]
+        for v in given:
+            ends.append(ends[-1] + len(v or ()))
+        flat = array([x for v in given for x in v or ()], kind.value_type)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=kind, mask=pa.array([v is None for v in given], pa.bool_()))
+    return pa.array(given, kind)
 
 
 class Packed:
@@ -61,10 +105,10 @@ class Packed:
     best worked off in the order of `placed`.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, most: int = 256):
+    def __init__(self, handle: Any, most: int = 256, weight: Callable[[Any], int] = lambda value: 1):
         self.head = handle.getValueState("head", "v binary")
         self.chunks = handle.getMapState("chunks", "n int", "v binary")
-        self.most = most
+        self.most, self.weight = most, weight
 
     def open(self) -> Any:
         held = self.head.get()
@@ -97,7 +141,7 @@ class Packed:
     def put(self, doc: tuple, value: Any) -> None:
         """None takes the document out."""
         self._turn(self._place(doc))
-        self.count += (value is not None) - (doc in self.chunk)
+        self.count += (0 if value is None else self.weight(value)) - (self.weight(self.chunk[doc]) if doc in self.chunk else 0)
         if value is not None:
             self.chunk[doc], self.changed = value, True
         elif doc in self.chunk:
@@ -126,131 +170,300 @@ class Packed:
         self.head.update((pickle.dumps((kept, self.count, self.level, {} if self.level else self.chunk), 5),))
 
 
-class Diff(StatefulProcessor):
-    """Keyed by group of documents: the rows that each document's newest version emits (map, keys, values), against what was emitted before."""
+class _Own:
+    """The states of one key among others of its kind, for `Packed`."""
 
-    def __init__(self, n_keys: int, item: StructType, out: StructType):
-        self.n_keys, self.item, self.row = n_keys, item, Row(*out.names)
+    def __init__(self, heads: Any, chunks: Any, key: tuple):
+        self.heads, self.chunks, self.key = heads, chunks, repr(key).encode()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = Packed(handle)
+    def getValueState(self, *_: Any) -> _Own:
+        return self
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest: dict[tuple, tuple[tuple, tuple]] = {}
-        for r in rows:
-            doc, seq = (r["_id"],), plain(r["_seq"])
-            if doc not in newest or seq > newest[doc][0]:
-                newest[doc] = (seq, plain(r["_rows"]))
-        self.documents.open()
-        kinds, n = [f.dataType for f in self.item], self.n_keys + 1
-        for doc in self.documents.placed(newest):
-            (seq, emitted), last = newest[doc], self.documents.get(doc) or ((), ())
-            if last[0] > seq:
-                continue
-            self.documents.put(doc, (seq, emitted))
-            kept = {r[:n] for r in emitted}
-            for k in dict.fromkeys(r[:n] for r in last[1] if r[:n] not in kept):
-                yield self.row(k[0], *doc, list(seq), True, *[shaped(v, t) for v, t in zip(k[1:], kinds[1:])], *[None] * (len(kinds) - n))
-            for r in emitted:
-                yield self.row(r[0], *doc, list(seq), False, *[shaped(v, t) for v, t in zip(r[1:], kinds[1:])])
-        self.documents.close()
+    getMapState = getValueState
 
-    def close(self) -> None:
-        pass
+    def get(self) -> tuple | None:
+        return self.heads.getValue((self.key,))
 
+    def update(self, value: tuple) -> None:
+        self.heads.updateValue((self.key,), value)
 
-def _newest(rows: Iterator[Row], n: int, join: Callable[[Any, Any], Any], one: Callable[[tuple], Any] = lambda x: x) -> dict[tuple, tuple[tuple, Any]]:
-    """(version, value or None) of each document's newest version; several rows of one version are joined."""
-    newest: dict[tuple, tuple[tuple, Any]] = {}
-    for r in rows:
-        doc, at = (r["_src"], r["_id"]), plain(r["_seq"])
-        value = None if r["_gone"] else one(plain(r)[-n:])
-        have = newest.get(doc)
-        if have is None or at > have[0] or (at == have[0] and have[1] is None):
-            newest[doc] = (at, value)
-        elif at == have[0] and value is not None:
-            newest[doc] = (at, join(have[1], value))
-    return newest
+    def getValue(self, n: tuple) -> tuple | None:
+        return self.chunks.getValue((self.key, *n))
 
+    def updateValue(self, n: tuple, value: tuple) -> None:
+        self.chunks.updateValue((self.key, *n), value)
 
-class Gather(StatefulProcessor):
-    """Keyed by view key and bucket: every document's values, and what they were, in the order of documents."""
 
-    def __init__(self, values: StructType, out: StructType):
-        self.values, self.row = values, Row(*out.names)
+class _Few:
+    """A key's documents in memory, used as `Packed` is."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = Packed(handle)
+    def __init__(self, documents: dict[tuple, Any]):
+        self.documents = documents
+        self.get, self.items = documents.get, documents.items
+
+    @property
+    def count(self) -> int:
+        return len(self.documents)
+
+    def placed(self, docs: Iterable[tuple]) -> Iterable[tuple]:
+        return docs
+
+    def put(self, doc: tuple, value: Any) -> None:
+        if value is None:
+            self.documents.pop(doc, None)
+        else:
+            self.documents[doc] = value
+
+
+class Keyed:
+    """A group's keys: what is kept of each and its documents, which have states of their own where a key has many.
+
+    `keys` are opened and closed for a group, and in between each of them in turn.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, most: int = 256):
+        self.keys = Packed(handle, 8 * most, lambda entry: 1 + entry[2])
+        self.own = handle.getMapState("own", "k binary", "v binary"), handle.getMapState("own_chunks", "k binary, n int", "v binary")
+        self.most = most
+
+    def open(self, key: tuple) -> tuple[Any, Packed | _Few]:
+        """What is kept, and the documents."""
+        kept, few, _ = self.keys.get(key) or (None, {}, 0)
+        if few is not None:
+            return kept, _Few(few)
+        documents = Packed(_Own(*self.own, key), self.most)
+        return documents.open(), documents
+
+    def close(self, key: tuple, kept: Any, documents: Packed | _Few) -> None:
+        if isinstance(documents, _Few) and documents.count > self.most:
+            few, documents = documents, Packed(_Own(*self.own, key), self.most)
+            documents.open()
+            for doc, value in few.items():
+                documents.put(doc, value)
+            self.keys.put(key, (None, None, 0))
+        if isinstance(documents, _Few):
+            self.keys.put(key, (kept, documents.documents, documents.count))
+        else:
+            documents.close(kept)
+
+
+PICKLED, DEALT = "_rows binary", "_group int, _rows binary"
+Turn = Callable[[tuple], tuple[int, tuple] | None]
+
+
+def _group(x: Any) -> int:
+    return zlib.crc32(repr(x).encode()) % GROUPS
+
+
+def _dealt(df: DataFrame, turn: Turn) -> DataFrame:
+    """Pickled rows by group from pickled rows, or from rows of columns; `turn` gives a row's group and what goes there, or None."""
+    pickled = df.columns == ["_rows"]
 
-    def _listed(self) -> list[tuple]:
-        held = sorted(self.documents.items(), key=lambda x: x[0])
-        return [shaped(x, self.values) for _, v in held for x in v]
+    def out(groups: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        numbers, cells, size = [], [], 0
+        for n, held in groups.items():
+            numbers.append(n)
+            cells.append(pickle.dumps(held, 5))
+            size += len(cells[-1])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(cells, pa.binary())], names=["_group", "_rows"])
+                numbers, cells, size = [], [], 0
+        if numbers:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(cells, pa.binary())], names=["_group", "_rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list] = {}
+        n = size = 0
+        for batch in batches:
+            parts = map(pickle.loads, batch.column(0).to_pylist()) if pickled else [zip(*map(values, batch.columns))]
+            for rows in parts:
+                for row in rows:
+                    to = turn(row)
+                    if to is not None:
+                        groups.setdefault(to[0], []).append(to[1])
+                        n += 1
+            size += batch.nbytes
+            if n > HELD or size > HELD_BYTES:
+                yield from out(groups)
+                groups, n, size = {}, 0, 0
+        yield from out(groups)
+
+    return df.mapInArrow(run, DEALT)
+
+
+def _columns(df: DataFrame, kind: StructType) -> DataFrame:
+    """Pickled rows as columns."""
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                cols = zip(*pickle.loads(cell.as_py()))
+                yield pa.RecordBatch.from_arrays([array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+class _Stage(StatefulProcessor):
+    """Takes a group's pickled rows and gives pickled rows."""
+
+    def made(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest = _newest(rows, len(self.values), lambda a, b: (*a, *b), lambda x: (x,))
-        version = (self.documents.open() or 0) + 1
-        was = self._listed()
-        for doc in self.documents.placed(newest):
-            self.documents.put(doc, newest[doc][1])
-        now = self._listed()
-        self.documents.close(version)
-        yield self.row(*key, now, was, [version])
+        one, held = Row("_rows"), []
+        for row in self.made(x for r in rows for x in pickle.loads(r["_rows"])):
+            held.append(row)
+            if len(held) == 10_000:
+                yield one(pickle.dumps(held, 5))
+                held = []
+        if held:
+            yield one(pickle.dumps(held, 5))
 
     def close(self) -> None:
         pass
 
 
-class Fold(StatefulProcessor):
-    """Keyed by view key (and bucket): every document's value, and the total."""
+class Diff(_Stage):
+    """Of documents (id, seq, rows): the rows that each one's newest version emits (map, keys, values), against what was emitted before.
 
-    def __init__(self, reducer: Reducer, values: StructType, n_keys: int, final: bool, out: StructType):
-        self.reducer, self.values, self.n_keys, self.final, self.row = reducer, values, n_keys, final, Row(*out.names)
+    Gives map, id, seq, gone, keys, values.
+    """
+
+    def __init__(self, n_keys: int, n_values: int):
+        self.n_keys, self.n_values = n_keys, n_values
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = Packed(handle)
+        self.documents = Packed(handle, 1024)
+
+    def made(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        newest: dict[tuple, tuple[tuple, tuple]] = {}
+        for name, seq, emitted in rows:
+            doc = (name,)
+            if doc not in newest or seq > newest[doc][0]:
+                newest[doc] = (seq, emitted or ())
+        self.documents.open()
+        n, nulls = self.n_keys + 1, (None,) * self.n_values
+        for doc in self.documents.placed(newest):
+            (seq, emitted), last = newest[doc], self.documents.get(doc) or ((), ())
+            if last[0] > seq:
+                continue
+            self.documents.put(doc, (seq, emitted))
+            if last[1]:
+                kept = {r[:n] for r in emitted}
+                for k in dict.fromkeys(r[:n] for r in last[1] if r[:n] not in kept):
+                    yield k[0], *doc, seq, True, *k[1:], *nulls
+            for r in emitted:
+                yield r[0], *doc, seq, False, *r[1:]
+        self.documents.close()
+
 
-    def _join(self, key: tuple, a: tuple | None, b: tuple) -> tuple:
+class _ByKey(_Stage):
+    """Takes rows of map, id, seq, gone, keys, values; works off the keys of a group in turn."""
+
+    def __init__(self, n_keys: int):
+        self.n_keys = n_keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = Keyed(handle)
+
+    def joined(self, key: tuple, a: Any, b: Any) -> Any:
+        """Two values of one version of a document."""
+        raise NotImplementedError
+
+    def one(self, value: tuple) -> Any:
+        return value
+
+    def turn(self, key: tuple, newest: dict[tuple, tuple[tuple, Any]], kept: Any, documents: Packed | _Few) -> tuple[Any, tuple]:
+        """What is kept from now on, and the key's new row, from (version, value or None) of each document's newest version."""
+        raise NotImplementedError
+
+    def made(self, rows: Iterator[tuple]) -> Iterator[tuple]:
+        keys: dict[tuple, tuple[tuple, dict[tuple, tuple[tuple, Any]]]] = {}
+        for source, name, at, gone, *rest in rows:
+            key, doc = tuple(rest[: self.n_keys]), (source, name)
+            k = same(key)
+            if k not in keys:
+                keys[k] = one_zero(key), {}
+            key, newest = keys[k]
+            value, have = None if gone else self.one(tuple(rest[self.n_keys :])), newest.get(doc)
+            if have is None or at > have[0] or (at == have[0] and have[1] is None):
+                newest[doc] = (at, value)
+            elif at == have[0] and value is not None:
+                newest[doc] = (at, self.joined(key, have[1], value))
+        self.state.keys.open()
+        for k in self.state.keys.placed(keys):
+            key, newest = keys[k]
+            kept, documents = self.state.open(k)
+            kept, row = self.turn(key, newest, kept, documents)
+            self.state.close(k, kept, documents)
+            yield *key, *row
+        self.state.keys.close()
+
+
+class Gather(_ByKey):
+    """Of each key and bucket every document's values, and what they were, in the order of documents; and a version."""
+
+    def joined(self, key: tuple, a: Any, b: Any) -> Any:
+        return (*a, *b)
+
+    def one(self, value: tuple) -> Any:
+        return (value,)
+
+    @staticmethod
+    def _listed(documents: Packed | _Few) -> tuple:
+        return tuple(x for _, v in sorted(documents.items(), key=lambda x: x[0]) for x in v)
+
+    def turn(self, key, newest, kept, documents):
+        version, was = (kept or 0) + 1, self._listed(documents)
+        for doc in documents.placed(newest):
+            documents.put(doc, newest[doc][1])
+        return version, (self._listed(documents), was, (version,))
+
+
+class Fold(_ByKey):
+    """Of each key (and bucket) every document's value, and the total; gives values, version, whether they changed, operation."""
+
+    def __init__(self, reducer: Reducer, n_keys: int, n_own: int, n_values: int, final: bool):
+        super().__init__(n_keys)
+        self.reducer, self.n_own, self.n_values, self.final = reducer, n_own, n_values, final
+
+    def joined(self, key: tuple, a: tuple | None, b: tuple) -> tuple:
         if a is None:
             return b
-        return plain(self.reducer.step(key, a, b) if isinstance(self.reducer, PyFold) else self.reducer.fold(a, b))
+        return plain(self.reducer.step(key[: self.n_own], a, b) if isinstance(self.reducer, PyFold) else self.reducer.fold(a, b))
 
-    def _refold(self, key: tuple) -> tuple | None:
+    def _refold(self, key: tuple, documents: Packed | _Few) -> tuple | None:
         total = None
-        held = self.documents.items()
+        held = documents.items()
         for _, v in sorted(held, key=lambda x: x[0]) if isinstance(self.reducer, PyFold) else held:
-            total = self._join(key, total, v)
+            total = self.joined(key, total, v)
         return total
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        own, n = plain(key)[: self.n_keys], len(self.values)
-        newest = _newest(rows, n, lambda a, b: self._join(own, a, b))
-        before, version = self.documents.open() or (None, 0)
+    def turn(self, key, newest, kept, documents):
+        before, version = kept or (None, 0)
         total, exact, added = before, self.reducer.inverse is not None, []
-        for doc in self.documents.placed(newest):
-            old, value = self.documents.get(doc), newest[doc][1]
-            self.documents.put(doc, value)
+        for doc in documents.placed(newest):
+            old, value = documents.get(doc), newest[doc][1]
+            documents.put(doc, value)
             if value is not None:
                 added.append(value)
             if exact and old is not None:
                 total = plain(self.reducer.inverse(total, old))
                 exact = total is not None
-        if not self.documents.count:
+        if not documents.count:
             total = None
         elif exact:
-            total = None if self.documents.count == len(added) else total
+            total = None if documents.count == len(added) else total
             for v in added:
-                total = self._join(own, total, v)
+                total = self.joined(key, total, v)
         else:
-            total = self._refold(own)
+            total = self._refold(key, documents)
         # the key's rows are numbered as they are made: what reads this view must take the last one, whatever its documents' order
         version += 1
-        self.documents.close((total, version))
         shown = [None if t is None else plain(self.reducer.finish(t)) if self.final else t for t in (before, total)]
-        out = [None] * n if shown[1] is None else [shaped(v, f.dataType) for v, f in zip(shown[1], self.values)]
-        yield self.row(*key, *out, [version], shown[0] != shown[1], "D" if shown[1] is None else "U")
-
-    def close(self) -> None:
-        pass
+        out = (None,) * self.n_values if shown[1] is None else shown[1]
+        return (total, version), (*out, (version,), shown[0] != shown[1], "D" if shown[1] is None else "U")
 
 
 def _longs(c, kind: DataType):
@@ -270,17 +483,19 @@ def _listed(view: ViewSpec, number: int) -> Column:
     return F.transform(rows, lambda r: F.struct(F.lit(m.name or str(number)).alias("_src"), *[r[f"_{i}"].alias(n) for i, n in enumerate(names)]))
 
 
-def _diffed(df: DataFrame, view: ViewSpec, numbers: list[int], seq: list[str]) -> DataFrame:
-    """Maps of one source through stage M: _src, _id, _seq, _gone, keys, values."""
+def _staged(df: DataFrame, stage: _Stage) -> DataFrame:
+    return df.groupBy("_group").transformWithState(stage, PICKLED, "Update", "None")
+
+
+def _diffed(df: DataFrame, view: ViewSpec, numbers: list[int], seq: list[str], kind: StructType) -> DataFrame:
+    """Maps of one source through stage M: pickled rows _src, _id, _seq, _gone, keys, values."""
     own = view.maps[numbers[0]].source.ids
     order = F.col("_seq") if seq == ["_seq"] else F.array(*[_longs(F.col(c), df.schema[c].dataType) for c in seq])
     ids = F.array(*[F.col(c).cast("string") for c in own]) if own else F.array().cast("array<string>")
     rows = [_listed(view, i) for i in numbers]
-    one = df.select(F.to_json(ids).alias("_id"), order.alias("_seq"), (F.concat(*rows) if len(rows) > 1 else rows[0]).alias("_rows"))
-    item = StructType([StructField(f.name, f.dataType) for f in one.schema["_rows"].dataType.elementType])
-    out = StructType([item.fields[0], StructField("_id", StringType()), StructField("_seq", ArrayType(LongType())), StructField("_gone", BooleanType()), *item.fields[1:]])
-    one = one.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(GROUPS)).cast(IntegerType()))
-    return one.groupBy("_group").transformWithState(Diff(len(view.keys), item, out), out, "Update", "None")
+    rows = (F.concat(*rows) if len(rows) > 1 else rows[0]).cast(ArrayType(kind))
+    one = df.select(F.to_json(ids).alias("_id"), order.alias("_seq"), rows.alias("_emitted"))
+    return _staged(_dealt(one, lambda r: (_group(r[0]), r)), Diff(len(view.keys), len(view.values)))
 
 
 def _alike(view: ViewSpec, frames: dict[str, DataFrame]) -> list[list[int]]:
@@ -294,40 +509,56 @@ def _alike(view: ViewSpec, frames: dict[str, DataFrame]) -> list[list[int]]:
 
 def lower_view(view: ViewSpec, frames: dict[str, DataFrame], seqs: dict[str, list[str]]) -> DataFrame:
     """keys, values, _seq, _changed, _op."""
-    keys, values, parts = list(view.keys), list(view.values), None
+    keys, names, parts, kind, staged = list(view.keys), list(view.values), None, None, []
     for numbers in _alike(view, frames):
-        name = view.maps[numbers[0]].source.name or ""
-        one = _diffed(frames[name], view, numbers, seqs[name])
-        parts = one if parts is None else parts.unionByName(one)
-    if not keys:
-        keys, parts = ["_all"], parts.withColumn("_all", F.lit(1))
-    kinds = StructType([StructField(v, parts.schema[v].dataType) for v in values])
-
-    def fold(df: DataFrame, by: list[str], final: bool) -> DataFrame:
-        out = StructType([*[StructField(k, df.schema[k].dataType) for k in by], *kinds.fields, StructField("_seq", ArrayType(LongType())), StructField("_changed", BooleanType()), StructField("_op", StringType())])
-        return df.select(*by, "_src", "_id", "_seq", "_gone", *values).groupBy(*by).transformWithState(Fold(view.reducer, kinds, len(view.keys), final, out), out, "Update", "None")
-
-    def by_expressions(df: DataFrame, by: list[str]) -> DataFrame:
-        out = StructType([*[StructField(k, df.schema[k].dataType) for k in by], StructField("_rows", ArrayType(kinds)), StructField("_was", ArrayType(kinds)), StructField("_seq", ArrayType(LongType()))])
-        gathered = df.select(*by, "_src", "_id", "_seq", "_gone", *values).groupBy(*by).transformWithState(Gather(kinds, out), out, "Update", "None")
+        staged.append((name := view.maps[numbers[0]].source.name or "", numbers))
+        row = frames[name].select(F.explode(_listed(view, numbers[0])).alias("_r")).select("_r.*")
+        kind = row if kind is None else kind.unionByName(row)
+    for name, numbers in staged:
+        one = _diffed(frames[name], view, numbers, seqs[name], kind.schema)
+        parts = one if parts is None else parts.union(one)
+    own, n = [StructField(k, kind.schema[k].dataType) for k in keys], len(keys)
+    kinds = StructType([StructField(v, kind.schema[v].dataType) for v in names])
+    version, salt = StructField("_seq", ArrayType(LongType())), StructField("_salt", LongType())
+    folded = [version, StructField("_changed", BooleanType()), StructField("_op", StringType())]
+
+    def fold(dealt: DataFrame, by: list[StructField], final: bool) -> DataFrame:
+        return _staged(dealt, Fold(view.reducer, len(by), n, len(names), final))
+
+    def by_expressions(dealt: DataFrame, by: list[StructField]) -> DataFrame:
+        rows = [StructField("_rows", ArrayType(kinds)), StructField("_was", ArrayType(kinds))]
+        gathered = _columns(_staged(dealt, Gather(len(by))), StructType([*by, *rows, version]))
         now, was = (view.reducer.over(c, kinds) for c in ("_rows", "_was"))
         gone = F.size("_rows") == 0
-        return gathered.select(*by, "_seq", now.alias("_v"), (~now.eqNullSafe(was)).alias("_changed"), F.when(gone, "D").otherwise("U").alias("_op")).select(*by, "_v.*", "_seq", "_changed", "_op")
+        named = [f.name for f in by]
+        return gathered.select(*named, "_seq", now.alias("_v"), (~now.eqNullSafe(was)).alias("_changed"), F.when(gone, "D").otherwise("U").alias("_op")).select(*named, "_v.*", "_seq", "_changed", "_op")
 
-    salts = view.salts
-    if isinstance(view.reducer, FoldExpr):
-        fold, salts = lambda df, by, final: by_expressions(df, by), max(salts, BUCKETS)
+    def to_key(r: tuple) -> tuple[int, tuple]:
+        return _group(same(r[4 : 4 + n])), r
+
+    def to_bucket(r: tuple) -> tuple[int, tuple]:
+        key = (*r[4 : 4 + n], zlib.crc32(repr(r[:2]).encode()) % salts)
+        return _group(same(key)), (*r[:4], *key, *r[4 + n :])
+
+    def from_bucket(r: tuple) -> tuple[int, tuple] | None:
+        """A bucket is a document of its key."""
+        *row, at, changed, op = r
+        return to_key(("", str(row[n]), at, op == "D", *row[:n], *row[n + 1 :])) if changed else None
+
+    expressions = isinstance(view.reducer, FoldExpr)
+    salts = max(view.salts, BUCKETS) if expressions else view.salts
     if salts > 1:
-        split = parts.withColumn("_salt", F.pmod(F.xxhash64("_src", "_id"), F.lit(salts)).cast(IntegerType()))
-        folded = fold(split, [*keys, "_salt"], False).where("_changed")
-        parts = folded.select(*keys, F.lit("").alias("_src"), F.col("_salt").cast("string").alias("_id"), "_seq", (F.col("_op") == "D").alias("_gone"), *values)
-    out = fold(parts, keys, True)
+        split = _dealt(parts, to_bucket)
+        dealt = _dealt(by_expressions(split, [*own, salt]) if expressions else fold(split, [*own, salt], False), from_bucket)
+    else:
+        dealt = _dealt(parts, to_key)
+    out = by_expressions(dealt, own) if expressions else _columns(fold(dealt, own, True), StructType([*own, *kinds.fields, *folded]))
     if view.formats:
         there = F.lit(True)
-        for v in values:
+        for v in names:
             there &= F.col(v).isNotNull()
         out = out.select(*keys, *[F.when(there, column(f)).alias(n) for f, n in zip(view.formats, view.format_values)], "_seq", "_changed", "_op")
-    return out.drop("_all") if not view.keys else out
+    return out
 
 
 def lower(engine, name: str) -> DataFrame:
