@@ -10,10 +10,12 @@ What keeps the shuffles small, without leaving a case out:
   * minimisers met in one document only cannot mark anything and do not travel: minimisers are counted first, as
     numbers, and only documents with a shared one are read again;
   * a packed string that its task has sent before for a smaller doc_id is marked on the spot.
-A minimiser with more than `most` strings has several buckets, and a string goes to one of them by its document and
-place.  Each bucket is sorted as any other; of the windows that it leaves unmarked, the hash, document and place go on,
-and the smallest document of a window over all buckets of its minimiser is found by that hash.  So strings travel once,
-whole, and no task gathers a minimiser, or a window, that a large part of all documents share.
+The windows of a minimiser with more than `most` strings have a second one, the smallest hash of longer runs (`finer`), and
+travel as the shorter strings that share both.  Near copies that differ by a word mostly part there, so a window that only one
+of them has meets few others.  Of both together, what still has more than `most` strings has several buckets, and a string goes
+to one of them by its document and place.  Each bucket is sorted as any other; of the windows that it leaves unmarked, the hash, document and place go on,
+and the smallest document of a window over all its buckets is found by that hash.  So strings travel once,
+and no task gathers a minimiser, or a window, that a large part of all documents share.
 
 Windows are compared by 128 bits of hash over 64-bit word hashes.  Defined results: null text counts as empty; texts
 below one window lose nothing; windows that repeat inside one document, or in rows of equal doc_id, do not mark each
@@ -24,8 +26,6 @@ cut whole, their strings travelling apart; an empty table gives an empty table;
 from __future__ import annotations
 
 import hashlib
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +57,17 @@ def valid_starts(words: Words, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + k <= ends)
 
 
-def minimisers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def finer(window: int, gram: int) -> int:
+    """Words in a run of the second minimiser: a word that differs is in two thirds of the runs of a window that has it."""
+    return max(gram, window - window // 3)
+
+
+def minimisers(words: Words, window: int, gram: int, seed: int = 0x51ED) -> tuple[np.ndarray, np.ndarray]:
     """(start, minimiser) of each valid window."""
     starts = valid_starts(words, window)
     if not len(starts):
         return starts, np.empty(0, U64)
-    h, width = window_hashes(words, gram, 0x51ED), window - gram + 1
+    h, width = window_hashes(words, gram, seed), window - gram + 1
     # minimum over `width` neighbours by doubling; a valid window's grams all lie inside its document
     span, low = 1, h
     while span * 2 <= width:
@@ -123,7 +128,10 @@ SENT = "m long, salt int, doc_id long, h long, start long, n long, packed binary
 
 
 def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
-    """SENT rows of documents (doc_id, h, text, ms, salts): packed strings, or null where the whole run is marked already."""
+    """SENT rows of documents (doc_id, h, text, ms, salts): packed strings, or null where the whole run is marked already.
+
+    Where a minimiser has several salts, m is of both minimisers, and salt 1 (otherwise 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
@@ -133,6 +141,10 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
             for a, b, raw, offsets in string_chunks(batch.column("text")):
                 words, rows = Words(raw, offsets), []
                 starts, low = minimisers(words, window, gram)
+                both = low
+                if any(x > 1 for own in salts[a:b] for x in own):
+                    with np.errstate(over="ignore"):
+                        both = splitmix(low ^ splitmix(minimisers(words, window, finer(window, gram), 0x3C6F)[1])).view(np.int64)
                 low = low.view(np.int64)
                 doc = np.searchsorted(words.first, starts, side="right") - 1
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
@@ -145,7 +157,8 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                     order = np.array(sorted(wanted), dtype=np.int64)
                     at = np.minimum(np.searchsorted(order, key), len(order) - 1)
                     good = np.flatnonzero(order[at] == key)
-                    key, where = key[good], starts[lo:hi][good]
+                    split = np.array([wanted[m] > 1 for m in order.tolist()])[at][good]
+                    key, where = np.where(split, both[lo:hi][good].view(np.int64), key[good]), starts[lo:hi][good]
                     first, count = runs_of(where, key)
                     tokens = raw[offsets[d] : offsets[d + 1]].tobytes().split()
                     base = int(words.first[d])
@@ -160,10 +173,7 @@ def _super_kmers(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                             if len(sent) > 300_000:
                                 sent.clear()
                             sent[mark] = ids[a + d]
-                        parts = wanted[int(key[f])]
-                        # by document, version and place, so that strings of one document are dealt out too
-                        salt = 1 + zlib.crc32(struct.pack("<qqq", ids[a + d], hs[a + d], s)) % parts if parts > 1 else 0
-                        rows.append((int(key[f]), salt, ids[a + d], hs[a + d], s, c, packed))
+                        rows.append((int(key[f]), int(split[f]), ids[a + d], hs[a + d], s, c, packed))
                 cols = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in SENT.split(", ")])
 
@@ -227,6 +237,16 @@ def _buckets(sent: DataFrame, window: int, block: int = 4 << 20) -> DataFrame:
     return sent.repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(run, FOUND)
 
 
+def _salted(sent: DataFrame, most: int) -> DataFrame:
+    """SENT rows that have strings, dealt to several buckets (salts from 1) where one would have more than `most` of them."""
+    strings = sent.where("packed is not null")
+    # at most one row for `most` strings
+    many = strings.where("salt > 0").groupBy("m").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1")
+    # by document, version and place, so that strings of one document are dealt out too
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "h", "start"), F.col("parts"))).cast("int")
+    return strings.join(F.broadcast(many), "m", "left").withColumn("salt", salt).drop("parts")
+
+
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, h and an array of (start, n) runs of marked windows, for documents that have any; n = -1: all windows."""
     spark = docs.sparkSession
@@ -242,9 +262,9 @@ def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = M
     sent = settled(spark, _super_kmers(keyed.join(flags, ["doc_id", "h"]), window, gram), "super-kmers")
     discard(spark, entries)
     at_once = sent.where("packed is null").select("doc_id", "h", "start", "n", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"))
-    found = settled(spark, at_once.unionByName(_buckets(sent.where("packed is not null"), window)), "marked")
+    found = settled(spark, at_once.unionByName(_buckets(_salted(sent, most), window)), "marked")
     discard(spark, sent)
-    # of a split minimiser's windows each bucket names those of its smallest document: at most one a bucket, and rows of one document
+    # of a split bucket's windows each bucket names those of its smallest document: at most one a bucket, and rows of one document
     least = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
     across = found.where("k1 is not null").withColumn("least", least).where("least < doc_id").select("doc_id", "h", "start", "n")
     reps = seen.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s1", "s2", "rep")

@@ -71,6 +71,23 @@ def test_blocks_of_one_bucket(frame, spark):
     sent.unpersist()
 
 
+def test_windows_of_one_document_alone_stay_behind(frame, monkeypatch):
+    """Of near copies that each differ by a word, most windows with that word do not go to the second round."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        text = [f"p{k}" for k in range(150)]
+        text[rnd.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(text), "en", "s", 1))
+    kept = {}
+    settled = substring.settled
+    monkeypatch.setattr(substring, "settled", lambda spark, df, name: kept.setdefault(name, settled(spark, df, name)))
+    got = substring.removed(frame(rows, 4), most=32)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 50)
+    alone = sum(1 for _, t, *_ in rows for i in range(101) if any(w[0] == "x" for w in t.split()[i : i + 50]))
+    assert kept["marked"].where("k1 is not null").count() < 0.6 * alone
+
+
 def test_empty_table_and_clashing_columns(frame, corpus):
     assert substring.removed(frame([])).count() == 0
     df = frame(corpus).withColumn("h", F.lit(1)).withColumn("marks", F.lit("x")).withColumn("_key2", F.lit(1))
